@@ -64,8 +64,7 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return head + body + CLOSE, len(head) if role == TRAINED_ROLE else end, end
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*) </turn>\n", re.S)
-_UNTIL = re.compile(r" </turn>\n")
+_ROLE = re.compile(r"(?:[^\\:]|\\.)*", re.S)
 
 
 def read_turn(formatted: str, at: int = 0) -> tuple[str, str, int]:
@@ -73,13 +72,11 @@ def read_turn(formatted: str, at: int = 0) -> tuple[str, str, int]:
     if not formatted.startswith(OPEN, at):
         raise ValueError(f"no turn starts at {at}")
     k = at + len(OPEN)
-    m = re.compile(r"(?:[^\\:]|\\.)*", re.S).match(formatted, k)
+    m = _ROLE.match(formatted, k)
     role, k = unescape(m[0]), m.end() + len(SEPARATOR)
-    end = k
-    while True:
-        end = formatted.index(CLOSE, end)
-        # a close that is escaped has a backslash right before "</turn>", so " </turn>" is never one
-        return role, unescape(formatted[k:end]), end + len(CLOSE)
+    # an escaped close has a backslash right before "</turn>", so the first " </turn>" is the real one
+    end = formatted.index(CLOSE, k)
+    return role, unescape(formatted[k:end]), end + len(CLOSE)
 
 
 _TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
@@ -89,13 +86,14 @@ _TURNS_DDL = "conv_id long, turn long, formatted string, loss_start long, loss_e
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a partition sorted by conversation, message and sequence -> one row per final message."""
     out: list[tuple] = []
-    key: object = None
-    conv: object = object()
+    none = object()
+    key: object = none
+    conv: object = none
     role, parts, turn = "", [], 0
 
     def close() -> None:
         nonlocal turn
-        if key is not None:
+        if key is not none:
             formatted, start, end = render(role, "".join(parts))
             out.append((conv_now, turn, formatted, start, end))
             turn += 1
@@ -105,10 +103,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         for c, opened, target, kind, r, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "opened", "target", "kind", "role", "text")), strict=True):
             kind, text = kind or "message", text or ""
-            opens = target is None or key is None or conv != c or key != opened
+            opens = target is None or key is none or conv != c or key != opened
             if opens:
                 close()
-                if conv != c or key is None:
+                if conv != c or key is none:
                     turn = 0
                 conv, conv_now, key, role, parts = c, c, opened, r or "", [text] if kind != "regenerate" else []
             elif kind == "delta":
