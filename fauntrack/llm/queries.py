@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP4_SQL, op4_chat_formatting
 from .html_extract import op1_html_extraction
 from .mixing import op10_mixing
+from .ngram_join import op8_ngram_jaccard
 from .packing import op6_packing
 from .quality import OP9_SQL, op9_quality_rules
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1_html_extraction,
         "op4_chat_formatting": op4_chat_formatting,
         "op6_packing": op6_packing,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
     }
