@@ -12,11 +12,13 @@ from .mixing import op10_mixing
 from .ngram_join import op8_ngram_jaccard
 from .packing import op6_packing
 from .quality import OP9_SQL, op9_quality_rules
+from .substring_dedup import op2_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op4_chat_formatting": op4_chat_formatting,
         "op6_packing": op6_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
