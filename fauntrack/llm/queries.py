@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP4_SQL, op4_chat_formatting
 from .html_extract import op1_html_extraction
+from .line_dedup import op3_line_dedup
 from .mixing import op10_mixing
 from .ngram_join import op8_ngram_jaccard
 from .packing import op6_packing
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op4_chat_formatting": op4_chat_formatting,
         "op6_packing": op6_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
