@@ -10,6 +10,7 @@ from .chat import OP4_SQL, op4_chat_formatting
 from .html_extract import op1_html_extraction
 from .line_dedup import op3_line_dedup
 from .mixing import op10_mixing
+from .nearest import op5_nearest
 from .ngram_join import op8_ngram_jaccard
 from .packing import op6_packing
 from .quality import OP9_SQL, op9_quality_rules
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_nearest": op5_nearest,
         "op6_packing": op6_packing,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
