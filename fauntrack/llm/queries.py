@@ -13,6 +13,7 @@ from .mixing import op10_mixing
 from .nearest import op5_nearest
 from .ngram_join import op8_ngram_jaccard
 from .packing import op6_packing
+from .pii import op7_personal_data
 from .quality import OP9_SQL, op9_quality_rules
 from .substring_dedup import op2_suffix_dedup
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_nearest": op5_nearest,
         "op6_packing": op6_packing,
+        "op7_personal_data": op7_personal_data,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
