@@ -63,7 +63,13 @@ def infill(units: DataFrame, edges: DataFrame, known: str, rho: float = 0.95, ba
     draws) are many groups and run side by side through the column `mesh`.
     """
     u = units if "mesh" in units.columns else units.withColumn("mesh", F.lit(0))
-    e = edges if "mesh" in edges.columns else edges.join(u.select("mesh").distinct().hint("broadcast"))
+    if "mesh" in edges.columns:
+        e = edges
+    elif "mesh" not in units.columns:
+        e = edges.withColumn("mesh", F.lit(0))
+    else:  # one set of edges for all meshes: repeated for each, so that every group has its own
+        meshes = [r["mesh"] for r in units.select("mesh").distinct().collect()]  # months or draws
+        e = edges.withColumn("mesh", F.explode(F.array(*map(F.lit, meshes))))
 
     def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a = a.sort_values("s_idx").reset_index(drop=True)
@@ -91,5 +97,5 @@ def infill(units: DataFrame, edges: DataFrame, known: str, rho: float = 0.95, ba
                 h[far] = blend * h[have][near] + (1 - blend) * mean
         return pd.DataFrame({"mesh": a["mesh"], "s_idx": a["s_idx"], "hsi": np.clip(np.nan_to_num(h), 0, 1)})
 
-    left = u.select("mesh", "s_idx", "x", "y", F.col("hsi").cast("double").alias("hsi"), F.expr(known).alias("known")).groupBy("mesh")
-    return left.cogroup(e.select("mesh", "src", "dst", "w").groupBy("mesh")).applyInPandas(solve, "mesh int, s_idx int, hsi double")
+    left = u.select(F.col("mesh").cast("int").alias("mesh"), "s_idx", "x", "y", F.col("hsi").cast("double").alias("hsi"), F.expr(known).alias("known")).groupBy("mesh")
+    return left.cogroup(e.select(F.col("mesh").cast("int").alias("mesh"), "src", "dst", "w").groupBy("mesh")).applyInPandas(solve, "mesh int, s_idx int, hsi double")
