@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fauntrack.functions import geo
-from fauntrack.operators import ecology, habitat, kernel, markov, mesh, resample, telemetry
+from fauntrack.operators import ecology, grids, habitat, kernel, markov, mesh, posterior, resample, telemetry
 from fauntrack.plans import fixtures as X
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -675,5 +675,78 @@ def bottleneck_index(s, d):
     return v.join(deg, "s_idx").select("s_idx", F.round(F.col("c") / F.col("deg"), 6).alias("bottleneck"))
 
 
+# ------------------------------------------------------------------ draws, grids, adaptive meshes
+
+
+def _parameters(s) -> DataFrame:
+    return s.createDataFrame([(k, 0.4 + 0.02 * k, 0.3 + 0.01 * k, 0.8 + 0.1 * k) for k in range(5)], "draw int, alpha double, rho double, gamma double")
+
+
+@query()
+def posterior_circuit(s, d):
+    e = _few(s, d).where("release <= 6")
+    return posterior.summarize_draws(posterior.circuit_draws(e, X.units(s, d), X.edges(s, d), N, draws=5), "density").select("s_idx", r6("mean"), r6("sd"), r6("lower"), r6("upper"), r6("pinch_prob"))
+
+
+@query()
+def resistance_covariance(s, d):
+    c = posterior.resistance_covariance(markov.conductance(X.units(s, d), X.edges(s, d)), N, form="matern32")
+    return c.select("s_idx", "other", r6("covariance"))
+
+
+@query()
+def path_credible_intervals(s, d):
+    p = posterior.path_draws(_few(s, d), X.units(s, d), X.edges(s, d), _parameters(s), N)
+    return posterior.path_intervals(p).select("release", "recapture", r6("mean"), "n_waypoints", "modal_waypoint")
+
+
+@query()
+def bayesian_ensemble(s, d):
+    p = posterior.ensemble(_few(s, d).where("k <= 4"), X.units(s, d), X.edges(s, d), _parameters(s), N)
+    return p.groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", F.round("prob", 4).alias("prob"))
+
+
+@query()
+def predictive_check(s, d):
+    return posterior.predictive_check(X.pairs(s, d), kern(s, d), N, draws=10).select("draw", F.round("brier", 9).alias("brier"), r6("kl"))
+
+
+@query()
+def persistence_gain(s, d):
+    return posterior.persistence_gain(X.pairs(s, d), kern(s, d), X.units(s, d), N).select("kappa", r6("loglik"))
+
+
+@query()
+def bathymetry(s, d):
+    return grids.bathymetry(s, -64.0, -62.0, 43.0, 45.0, 0.05).select("i", "j", r6("depth"), r6("slope"), "is_land")
+
+
+@query()
+def water_column(s, d):
+    w = grids.water_column(grids.bathymetry(s, -64.0, -62.0, 43.0, 45.0, 0.1), [0, 10, 20, 50, 100, 200])
+    return w.select("i", "j", "lev", r6("temperature"), r6("density"))
+
+
+@query()
+def area_weighted_transfer(s, d):
+    return grids.area_weights(_coarse(s, d), X.units(s, d), 12.0, 10.0).select("target", "source", r6("w"))
+
+
+@query()
+def adaptive_mesh(s, d):
+    return grids.adaptive_mesh(X.units(s, d), "is_land OR row < 2", 10.0, 5.0).select("s_idx", r6("x"), r6("y"), "radius_km", "is_fine")
+
+
+@query()
+def reconnect_components(s, d):
+    return grids.reconnect(X.units(s, d), X.edges(s, d), "row NOT IN (4)")[0]
+
+
+@query(X.with_sql("units", "edges", body=f"SELECT CAST(floor(({_BEAR} + 22.5) / 45.0) % 8 AS INT) AS sector, count(*) AS n FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst GROUP BY 1"))
+def sector8(s, d):
+    e = _ends(s, d).withColumn("b", geo.bearing_deg("lon1", "lat1", "lon2", "lat2"))
+    return e.groupBy(ecology.sector("b", 8).alias("sector")).agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_flow(spark, sf_dir)
