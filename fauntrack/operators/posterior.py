@@ -33,6 +33,13 @@ def _by_draw(events: DataFrame, draws: int) -> DataFrame:
     return events.select("release", "recapture", "k").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).groupBy("draw")
 
 
+def _crossed(events: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Every event under every parameter draw: the draws (a bounded table) become one array literal."""
+    rows = parameters.select("draw", "alpha", "rho", "gamma").collect()
+    one = [F.struct(F.lit(int(r["draw"])).alias("draw"), *[F.lit(float(r[c])).alias(c) for c in ("alpha", "rho", "gamma")]) for r in rows]
+    return events.withColumn("_p", F.explode(F.array(*one))).select("*", "_p.*").drop("_p")
+
+
 def circuit_draws(events: DataFrame, units: DataFrame, edges: DataFrame, n_units: int, draws: int = 10, sd: float = 0.05, seed: int = 1) -> DataFrame:
     """draw, s_idx, density: mean current of the events' endpoints under a habitat draw."""
     shared = _mesh(units, edges, n_units)
@@ -93,7 +100,7 @@ def resistance_covariance(conductance: DataFrame, n_units: int, length: float =
 def path_draws(events: DataFrame, units: DataFrame, edges: DataFrame, parameters: DataFrame, n_units: int) -> DataFrame:
     """release, recapture, draw, s_idx, length: most probable paths under every parameter draw (draw, alpha, rho, gamma)."""
     shared = _mesh(units, edges, n_units)
-    grid = parameters.select("draw", "alpha", "rho", "gamma").join(events.select("release", "recapture").distinct())
+    grid = _crossed(events.select("release", "recapture").distinct(), parameters)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mesh, g = shared.value
@@ -125,7 +132,7 @@ def path_intervals(paths: DataFrame) -> DataFrame:
 def ensemble(events: DataFrame, units: DataFrame, edges: DataFrame, parameters: DataFrame, n_units: int) -> DataFrame:
     """release, recapture, k, tau, s_idx, prob: the bridge corridor averaged over parameter draws."""
     shared = _mesh(units, edges, n_units)
-    grid = parameters.select("draw", "alpha", "rho", "gamma").join(events.select("release", "recapture", "k").distinct())
+    grid = _crossed(events.select("release", "recapture", "k").distinct(), parameters)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mesh, g = shared.value

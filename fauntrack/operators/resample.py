@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Unit tables up to this many rows may be broadcast; their count is checked, beyond it joins run on a grid.
@@ -34,12 +38,33 @@ def snap(points: DataFrame, units: DataFrame, cell: float, edges: DataFrame | No
     near = p.join(spread, ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= cell).groupBy("_k").agg(F.min(F.struct("d", "s_idx")).alias("b"))
     rest = p.join(near.select("_k"), "_k", "left_anti")
     if u.count() <= SMALL_UNITS:
-        far = rest.join(F.broadcast(u)).withColumn("d", d).groupBy("_k").agg(F.min(F.struct("d", "s_idx")).alias("b"))
+        found = _nearest(rest.select("_k", "x", "y"), u, 1)
+        far = found.select(F.col("_k"), F.struct("d", "s_idx").alias("b"))
     else:
         far = snap(rest.select(F.col("_k").alias(key), "x", "y"), units, cell * 4, edges, key).select(F.col(key).alias("_k"), F.struct(F.col("distance").alias("d"), "s_idx").alias("b"))
     return near.union(far).select(F.col("_k").alias(key), F.col("b.s_idx").alias("s_idx"), F.col("b.d").alias("distance"))
 
 
+def _nearest(points: DataFrame, units: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """(_k, r, s_idx, d) of the k nearest units (s_idx, ux, uy) of points (_k, x, y), ties (to `digits`) to the smaller s_idx; the units travel as one checked array."""
+    u = units.orderBy("s_idx").toPandas()
+    shared = points.sparkSession.sparkContext.broadcast((u["s_idx"].to_numpy("int32"), u["ux"].to_numpy(float), u["uy"].to_numpy(float)))
+    kind = points.schema["_k"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, ux, uy = shared.value
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for pdf in batches:
+            for s in range(0, len(pdf), step):
+                part = pdf.iloc[s : s + step]
+                d = np.hypot(part["x"].to_numpy()[:, None] - ux, part["y"].to_numpy()[:, None] - uy)
+                best = np.argsort(d if digits is None else np.round(d, digits), axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                yield pd.DataFrame({"_k": np.repeat(part["_k"].to_numpy(), n), "r": np.tile(np.arange(1, n + 1, dtype="int32"), len(part)), "s_idx": ids[best.ravel()], "d": np.take_along_axis(d, best, 1).ravel()})
+
+    return points.mapInPandas(run, f"_k {kind}, r int, s_idx int, d double")
+
+
 def knn_weights(target: DataFrame, source: DataFrame, k: int = 4, power: float = 2.0) -> DataFrame:
     """(target, source, w): inverse-distance weights of the k nearest sources, rows sum to 1; an exact hit takes all.
 
@@ -47,13 +72,12 @@ def knn_weights(target: DataFrame, source: DataFrame, k: int = 4, power: float =
     """
     if source.count() > SMALL_UNITS:
         raise ValueError("the source mesh is too large for a broadcast; reshard it in parts")
-    s = source.select(F.col("s_idx").alias("source"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    d = target.select(F.col("s_idx").alias("target"), "x", "y").join(F.broadcast(s)).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")))
-    w = Window.partitionBy("target")
-    d = d.withColumn("r", F.row_number().over(w.orderBy("d", "source"))).where(F.col("r") <= k)
-    d = d.withColumn("hit", F.min("d").over(w) < 1e-9)
-    raw = F.when(F.col("hit"), F.when(F.col("r") == 1, 1.0).otherwise(0.0)).otherwise(1 / F.pow("d", F.lit(power)))
-    return d.withColumn("raw", raw).select("target", "source", (F.col("raw") / F.sum("raw").over(w)).alias("w"))
+    near = _nearest(target.select(F.col("s_idx").alias("_k"), "x", "y"), source.select("s_idx", F.col("x").alias("ux"), F.col("y").alias("uy")), k)
+    all_ = near.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("r", "s_idx", "d"))).alias("a"))  # k entries
+    raw = F.when(F.col("a")[0]["d"] < 1e-9, F.transform("a", lambda x: F.when(x["r"] == 1, 1.0).otherwise(0.0))).otherwise(F.transform("a", lambda x: 1 / F.pow(x["d"], F.lit(power))))
+    w = all_.withColumn("raw", raw).withColumn("total", F.aggregate("raw", F.lit(0.0), lambda t, x: t + x))
+    w = w.select(F.col("_k").alias("target"), "total", F.explode(F.arrays_zip(F.col("a.s_idx").alias("source"), "raw")).alias("z"))
+    return w.select("target", F.col("z.source").alias("source"), (F.col("z.raw") / F.col("total")).alias("w"))
 
 
 def reshard(field: DataFrame, weights: DataFrame, columns: tuple[str, ...], sd: tuple[str, ...] = ()) -> DataFrame:
@@ -72,9 +96,8 @@ def snap_pruned(pairs: DataFrame, units: DataFrame, keep: str) -> DataFrame:
     kept = units.where(keep)
     if not kept.limit(1).count():
         raise ValueError("no unit is kept")
-    away = units.where(f"NOT ({keep})").select(F.col("s_idx").alias("old"), F.col("lon").alias("ol"), F.col("lat").alias("oa"))
-    d = F.pow(F.col("ol") - F.col("lon"), 2) + F.pow(F.col("oa") - F.col("lat"), 2)
-    moved = away.join(F.broadcast(kept.select("s_idx", "lon", "lat"))).groupBy("old").agg(F.min(F.struct(d.alias("d"), "s_idx")).alias("b")).select("old", F.col("b.s_idx").alias("new"))
+    away = units.where(f"NOT ({keep})").select(F.col("s_idx").alias("_k"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    moved = _nearest(away, kept.select("s_idx", F.col("lon").alias("ux"), F.col("lat").alias("uy")), 1, digits=9).select(F.col("_k").alias("old"), F.col("s_idx").alias("new"))
     for c in ("release", "recapture"):
         pairs = pairs.join(moved.select(F.col("old").alias("_o"), F.col("new").alias("_n")), F.col(c) == F.col("_o"), "left")
         pairs = pairs.withColumn(f"{c}_orig", F.col(c)).withColumn(c, F.coalesce("_n", c)).drop("_o", "_n")
