@@ -7,6 +7,7 @@ keeps state between tasks, so a lost executor only repeats its own tasks.
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -28,7 +29,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
+    """One of the driver's tables; operators on it pass small batches to Python."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,12 +62,39 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A lookup table up to this many bytes may be broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 16_000_000
+
+
+def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
+    """df, marked for broadcast only if its rows have been counted and stay below BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
+
+
+#: Most rows and bytes of an Arrow batch between JVM and Python: bounds the memory of both sides.
+BATCH_ROWS, BATCH_BYTES = 2000, "12m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for small Arrow batches in this session: texts are long, and two workers share an executor's spare memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice that finished shuffles are no longer referenced, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -78,8 +107,19 @@ def blocks_for(size: int, each: int, least: int = 1) -> int:
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts; one number reaches the driver."""
-    row = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()
-    return int(row["n"] or 0)
+    return text_totals(docs, column)[0]
+
+
+def text_totals(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """Bytes of all texts, and the number of rows."""
+    row = docs.agg(F.sum(F.octet_length(column)).alias("b"), F.count("*").alias("n")).first()
+    return int(row["b"] or 0), int(row["n"])
+
+
+def hash_sample(df: DataFrame, keys: list[str], rows: int, total: int) -> DataFrame:
+    """About `rows` of `total` rows, twice as many at most, chosen by a hash of keys: a filter, no sort and no shuffle of what is not chosen."""
+    share = min(1 << 40, (rows << 40) // max(1, total))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < share).limit(2 * rows)
 
 
 # ---------------------------------------------------------------- hashing

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, table
+from .common import blocks_for, hash_sample, table
 
 #: Neighbours, divisor of query ids, rows of the fitting sample, candidates reranked per block.
 NEIGHBOURS, QUERY_EVERY, SAMPLE, RERANK = 20, 20, 4096, 200
@@ -184,7 +184,9 @@ def search(vectors: DataFrame, query_every: int = QUERY_EVERY, neighbours: int =
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dimension, n, n_queries = sizes[0]["d"], sizes[0]["n"], sizes[0]["q"]
     v = v.where(F.size("v") == dimension)
-    sample = v.orderBy(F.xxhash64("vec_id")).select("v").limit(SAMPLE).collect()  # bounded by SAMPLE
+    sample = hash_sample(v, ["vec_id"], SAMPLE, n).select("v").collect()  # bounded by 2 * SAMPLE
+    if not sample:
+        sample = v.select("v").limit(SAMPLE).collect()
     books = fit(np.array([r["v"] for r in sample]))
     row_blocks, query_blocks = blocks_for(n, ROWS_BLOCK), blocks_for(n_queries, QUERIES_BLOCK)
     coded = v.mapInArrow(_encode_rows(books), "vec_id long, v array<double>, code binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_buffer
+from .common import hash_sample, table, text_buffer
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -404,7 +404,7 @@ def _find(parameters: dict[str, np.ndarray]):
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, for every document."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id")).select(F.substring("text", 1, 4000).alias("t")).limit(CARRIERS).collect()  # carriers only: bounded by CARRIERS
+    rows = hash_sample(docs.where("text is not null"), ["doc_id"], CARRIERS, docs.count()).select(F.substring("text", 1, 4000).alias("t")).collect()  # carriers only: bounded by CARRIERS
     tagger = train([r["t"] for r in rows])
     return docs.select("doc_id", "text").mapInArrow(_find(tagger.p), _DDL)
 
