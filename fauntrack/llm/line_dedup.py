@@ -29,13 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linkage as K
-from .common import U64, materialise, mix, pieces, prefix_hash, span_hash, table, text_buffer, text_bytes
+from .common import U64, materialise, mix, pieces, prefix_hash, sized, span_hash, table, text_buffer, text_bytes
 
 #: Most edits between linked lines, and bytes under which a line is left alone.
 EDITS, LEAST_BYTES = 2, 24
-#: A lookup table up to this many bytes may be broadcast; beyond it the join is shuffled.
-BROADCAST_BYTES = 16_000_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -109,7 +107,7 @@ def _sign(buckets: int):
                 for sig, of in segment_keys(prefix, starts[one], ends[one]):
                     sigs.append(sig)
                     ents.append(ids[one[of]])
-                if sum(map(len, sigs)) > 2_000_000:
+                if sum(map(len, sigs)) > 600_000:
                     yield from K.pack_signatures(np.concatenate(sigs), np.concatenate(ents), buckets)
                     sigs, ents = [], []
             if sigs:
@@ -184,7 +182,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ent, line of the line numbers asked for."""
+    """ent, line, n and a sketch (counts of bytes in 64 bins, at most 255) of the line numbers asked for."""
     for batch in batches:
         ents, lines = [], []
         for text, asked in zip(batch.column("text"), batch.column("asked").to_pylist(), strict=True):
@@ -192,7 +190,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in asked:
                 ents.append(x["ent"])
                 lines.append(cut[x["line"]].strip(b" \t\n\x0b\x0c\r"))
-        yield pa.record_batch([pa.array(ents, pa.int64()), pa.array(lines, pa.binary())], names=["ent", "line"])
+        sketch = [np.minimum(np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64), 255).astype(np.uint8).tobytes() for x in lines]
+        yield pa.record_batch([pa.array(ents, pa.int64()), pa.array(lines, pa.binary()), pa.array(list(map(len, lines)), pa.int64()), pa.array(sketch, pa.binary())], names=["ent", "line", "n", "sketch"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,22 +219,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(k) for k in rest), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=[*rest, "text", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
-    """df, marked for broadcast if its size has been counted and is below BROADCAST_BYTES."""
-    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
-
-
 def line_classes(docs: DataFrame) -> DataFrame:
     """key, line, class_key, first for every occurrence in a class of several: docs needs doc_id, text, key."""
     found = K.exchange(docs.select("key", "text").mapInArrow(_sign(K.bucket_count(text_bytes(docs) // 3, docs)), K.ROWS_DDL), "lines")
     own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("key"), F.col("b").alias("ent"), F.col("n").cast("int").alias("line"))
     members = found.where(F.col("kind") == K.MEMBER).select("a", "b")
-    stars = found.where(F.col("kind") == K.EDGE).select("a", "b").distinct()
+    stars = materialise(K.star_pairs(found), "line-stars")
     touched = members.select(F.col("b").alias("t")).union(stars.select("a")).union(stars.select("b")).distinct()
     places = own.join(touched, F.col("ent") == F.col("t"), "left_semi").groupBy("ent").agg(F.min(F.struct("key", "line")).alias("at"))
     asked = materialise(places.groupBy(F.col("at.key").alias("of")).agg(F.collect_list(F.struct("ent", F.col("at.line").alias("line"))).alias("asked")), "line-places")
-    lines = docs.select("key", "text").join(_small(asked, 64), F.col("key") == F.col("of")).select("text", "asked")
-    lines = materialise(lines.mapInArrow(_lines, "ent long, line binary").dropDuplicates(["ent"]), "line-texts")
+    lines = docs.select("key", "text").join(sized(asked, 64), F.col("key") == F.col("of")).select("text", "asked")
+    lines = materialise(lines.mapInArrow(_lines, "ent long, line binary, n long, sketch binary"), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda k: lines.select(F.col("ent").alias(f"e{k}"), F.col("line").alias(f"f{k}"))
@@ -245,7 +239,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     links = materialise(verified(stars), "line-links")
     labels = K.components(links, "line-labels")
     open_ = K.unsettled(members, labels).select(F.col("a").alias("key"), F.col("b").alias("ent"), "label")
-    more = materialise(verified(K.cross_pairs(open_)), "line-links")
+    more = materialise(verified(K.cross_pairs(open_, lines, lambda n: n + EDITS, lambda n, m: np.full(np.broadcast(n, m).shape, 2 * EDITS))), "line-links")
     if more.limit(1).count():
         labels = K.components(links.union(more), "line-labels")
     return own.join(labels, F.col("ent") == F.col("node"), "left").select("key", "line", F.coalesce("label", "ent").alias("class"))
@@ -264,7 +258,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first = again.groupBy(F.col("class").alias("c")).agg(F.min(F.struct("doc_id", "key", "line")).alias("first"))
     later = again.join(first, F.col("class") == F.col("c")).where((F.col("key") != F.col("first.key")) | (F.col("line") != F.col("first.line")))
     drop = materialise(later.groupBy(F.col("key").alias("of")).agg(F.collect_set("line").alias("drop")), "line-drop")
-    out = keyed.join(_small(drop, 64), F.col("key") == F.col("of"), "left").drop("key", "of")
+    out = keyed.join(sized(drop, 64), F.col("key") == F.col("of"), "left").drop("key", "of")
     schema = docs.drop("text").schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
     return out.mapInArrow(_cut, schema).select(*docs.columns, "n_lines", "n_dropped", "kept_sha256")
 

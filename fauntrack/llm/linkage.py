@@ -30,7 +30,7 @@ _LOW = _FLAG - U64(1)
 #: A batch lists the members of a signature itself from this number on.
 LOCAL_GROUP = 6
 #: Bytes of signatures that a bucket should hold.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 
 ROWS_DDL = "kind int, bucket int, a long, b long, n long, payload binary"
 ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
@@ -54,8 +54,7 @@ def pack_signatures(sig: np.ndarray, ent: np.ndarray, buckets: int) -> Iterator[
     """Payload rows of one batch of (signature, entity) pairs, and its own groups for hot signatures."""
     if not len(sig):
         return
-    bucket = ((sig >> U64(40)) * U64(buckets)) >> U64(24)
-    low = sig & _LOW
+    bucket, low = split(sig, buckets)
     order = np.lexsort((ent, low, bucket))
     bucket, low, ent = bucket[order], low[order], ent[order]
     same = (bucket[1:] == bucket[:-1]) & (low[1:] == low[:-1])
@@ -73,7 +72,11 @@ def pack_signatures(sig: np.ndarray, ent: np.ndarray, buckets: int) -> Iterator[
         yield rows(EDGE, a=np.ascontiguousarray(pair[0]), b=np.ascontiguousarray(pair[1]))
         low[first[hot]] |= _FLAG
         bucket, low, ent = bucket[~member], low[~member], ent[~member]
-    # within a bucket, by entity: an entity's number stands once before its signatures
+    yield pack_lists(bucket, low, ent)
+
+
+def pack_lists(bucket: np.ndarray, low: np.ndarray, ent: np.ndarray) -> pa.RecordBatch:
+    """One payload row a bucket; within it, an entity's number stands once before its signatures."""
     order = np.lexsort((ent, bucket))
     bucket, low, ent = bucket[order], low[order], ent[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -86,10 +89,15 @@ def pack_signatures(sig: np.ndarray, ent: np.ndarray, buckets: int) -> Iterator[
         five = low[s:e].view(np.uint8).reshape(-1, 8)[:, :5]
         payloads.append(np.uint32(len(new)).tobytes() + who[new].tobytes() + times.tobytes() + np.ascontiguousarray(five).tobytes())
         names.append(int(bucket[s]))
-    yield rows(PAYLOAD, bucket=np.array(names, np.int32), payload=payloads)
+    return rows(PAYLOAD, bucket=np.array(names, np.int32), payload=payloads)
+
 
+def split(sig: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and low bits of signatures."""
+    return ((sig >> U64(40)) * U64(buckets)) >> U64(24), sig & _LOW
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+
+def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(payload, np.uint32, 1)[0])
     who = np.frombuffer(payload, np.uint64, n, 4)
     times = np.frombuffer(payload, np.uint32, n, 4 + 8 * n)
@@ -100,7 +108,7 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-    parts = [_unpack(p) for p in payloads]
+    parts = [unpack(p) for p in payloads]
     low, ent = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     sig = low & _LOW
     order = np.argsort(sig, kind="stable")
@@ -139,14 +147,20 @@ def _groups(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield rows(EDGE, a=np.ascontiguousarray(pair[0]), b=np.ascontiguousarray(pair[1]))
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def each_bucket(solve: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]):
+    """Runs solve over the payloads of every bucket of a partition sorted by kind and bucket; other rows pass through."""
+    return lambda batches: _by_bucket(batches, solve)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], solve=None) -> Iterator[pa.RecordBatch]:
+    solve = solve or _groups
     at, held = None, []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         for k in np.flatnonzero(kind == PAYLOAD):
             bucket = batch.column("bucket")[int(k)].as_py()
             if bucket != at and held:
-                yield from _groups(at, held)
+                yield from solve(at, held)
                 held = []
             at = bucket
             held.append(batch.column("payload")[int(k)].as_py())
@@ -154,23 +168,60 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest.any():
             yield batch.filter(pa.array(rest))
     if held:
-        yield from _groups(at, held)
+        yield from solve(at, held)
 
 
 def exchange(signed: DataFrame, name: str) -> DataFrame:
     """Rows of a signature pass -> materialised MEMBER, EDGE and OWN rows."""
-    spark = signed.sparkSession
-    dealt = signed.repartition(partitions(spark), F.when(F.col("kind") == PAYLOAD, F.col("bucket").cast("long")).otherwise(F.xxhash64("a", "b"))).sortWithinPartitions("kind", "bucket")
-    return materialise(dealt.mapInArrow(_by_bucket, ROWS_DDL), name)
+    return materialise(by_bucket(signed).mapInArrow(_by_bucket, ROWS_DDL), name)
+
+
+def by_bucket(signed: DataFrame) -> DataFrame:
+    """Rows dealt by bucket (payloads) or at large (others), each partition sorted for each_bucket."""
+    dealt = signed.repartition(partitions(signed.sparkSession), F.when(F.col("kind") == PAYLOAD, F.col("bucket").cast("long")).otherwise(F.xxhash64("a", "b")))
+    return dealt.sortWithinPartitions("kind", "bucket")
+
+
+def star_pairs(found: DataFrame) -> DataFrame:
+    """Star edges worth verifying first: of each entity, to its least centre and to the one with the least hash.
+
+    Two a row at most, whatever the groups; what they leave unlinked stays open
+    for the exact second way of the join.
+    """
+    e = found.where(F.col("kind") == EDGE).groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.xxhash64("a")).alias("a2"))
+    return e.select("b", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a")).select("a", "b")
+
+
+#: Up to this many counted edges (16 bytes each) one task finds the components; beyond it they are found by rounds of joins.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "label"])
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """node, label (least node of its component) for the nodes of edges a-b.
+    """node, label (least node of its component) for the nodes of edges a-b, which are a written table.
 
-    Least-label propagation with pointer jumping; every round is written to the
+    Few edges (their number is checked) go through one task. Otherwise: least-label propagation with pointer jumping; every round is written to the
     shared folder. Rounds grow with the logarithm of a component's diameter on
     the star-like graphs at hand, and stop only when nothing changes.
     """
+    if edges.count() <= ONE_TASK_EDGES:
+        return materialise(edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "node long, label long"), name)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, f"{name}-edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), name)
@@ -187,22 +238,73 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entities in groups that hold more than one class: b and its label."""
-    named = groups.join(labels, groups["b"] == labels["node"], "left").select("a", "b", F.coalesce("label", "b").alias("label"))
+    """Entities in groups that hold more than one class: group a, entity b and its label, each once."""
+    named = groups.distinct().join(labels, groups["b"] == labels["node"], "left").select("a", "b", F.coalesce("label", "b").alias("label"))
     mixed = named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("a").alias("gid"))
     return named.join(mixed, named["a"] == mixed["gid"], "left_semi")
 
 
-def cross_pairs(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs of different labels within a key: (key, ent, label) -> a, b.
+def mixed_groups(keyed: DataFrame) -> DataFrame:
+    """Rows (key, ent, label) of keys with more than one label."""
+    mixed = keyed.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return keyed.join(mixed, F.col("key") == F.col("_key"), "left_semi")
 
-    Keys whose members share one label are dropped before any pair is made.
-    """
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("_key"))
-    left = keyed.join(mixed, keyed["key"] == mixed["_key"], "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.ent") < F.col("y.ent")) & (F.col("x.label") != F.col("y.label"))).select(F.col("x.ent").alias("a"), F.col("y.ent").alias("b")).distinct()
 
+def _folded(sketch: list[bytes], most: int = 64) -> np.ndarray:
+    """Sketches folded to one common width."""
+    width = min([most, *map(len, sketch)])
+    return np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(0, dtype=np.int32) for x in sketch]).astype(np.int16)
+
+
+def cross_pairs(keyed: DataFrame, facts: DataFrame, reach: Callable, bound: Callable, exact: Callable | None = None) -> DataFrame:
+    """Distinct pairs a-b of different labels within a key that may be linked, by sketches; keyed: key, ent, label, facts: ent, n, sketch.
+
+    Keys whose members share one label are dropped first. The members of a key
+    are compared in numpy, a block of rows at a time, sorted by size: reach(n)
+    is the largest size worth comparing, bound(n, m) the most by which folded
+    sketches may differ (a sketch with a full bin always passes), and exact, if
+    given, looks at the pair's two members again. Only pairs that pass leave.
+    """
 
-def classes(edges: Callable[[], DataFrame]) -> DataFrame:  # pragma: no cover - small convenience for interactive use
-    return components(edges())
+    def across(group: list[tuple]) -> tuple[list[int], list[int]]:
+        group.sort(key=lambda x: (x[2], x[0]))
+        label, n = np.array([x[1] for x in group]), np.array([x[2] for x in group])
+        flat = _folded([x[3] for x in group])
+        full = np.array([max(x[3]) == 255 for x in group])
+        last = np.searchsorted(n, reach(n), side="right")
+        step = max(1, 2_000_000 // (len(group) * flat.shape[1]))
+        out_a, out_b = [], []
+        for s in range(0, len(group), step):
+            e = min(len(group), s + step)
+            to = int(last[e - 1])
+            apart = np.abs(flat[s:e, None] - flat[None, s:to]).sum(2, dtype=np.int32)
+            at = np.arange(s, to)
+            ok = (at[None] > np.arange(s, e)[:, None]) & (at[None] < last[s:e, None]) & (label[s:e, None] != label[None, s:to])
+            ok &= (apart <= bound(n[s:e, None], n[None, s:to])) | full[s:e, None] | full[None, s:to]
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                x, y = group[s + i], group[s + j]
+                if exact is None or exact(x, y):
+                    out_a.append(min(x[0], y[0]))
+                    out_b.append(max(x[0], y[0]))
+        return out_a, out_b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(group) > 1 and len({x[1] for x in group}) > 1:
+                a, b = across(group)
+                if a:
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "ent", "label", "n", "sketch")), strict=True):
+                if key != at:
+                    yield from close()
+                    at, group = key, []
+                group.append(tuple(member))
+        yield from close()
+
+    rows_ = mixed_groups(keyed).join(facts.select("ent", "n", "sketch"), "ent").select("key", "ent", "label", "n", "sketch")
+    dealt = rows_.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()

@@ -13,8 +13,8 @@ each other by the exact second way.
 
 Exact second way (flagged sets, and groups whose members are not all linked by
 then): two sets with J >= 0.8 share a feature among the rarest
-n - ceil(0.8 n) + 1 of either; rarity is judged on a bounded sample, which
-changes the cost only, since any fixed order is correct.
+n - ceil(0.8 n) + 1 of either; rarity is counted over the sets that take part,
+and any fixed order is correct.
 
 Equal sets are one entity from the start, so exact copies cost one entry.
 
@@ -37,17 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linkage as K
-from .common import U64, materialise, mix, mix_int, pieces, prefix_hash, span_hash, table, text_buffer, text_bytes
+from .common import U64, hash_sample, materialise, mix, mix_int, partitions, pieces, prefix_hash, sized, span_hash, table, text_buffer, text_totals
 
 #: Words of a shingle; similarity is at least NUMERATOR / DENOMINATOR.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Growth of the size bands, spare first-level partitions, second-level partitions.
 BAND, SPARE, SECOND = 1.5, 1.15, 3
-#: Bins of the sketch that bounds the difference of two sets from below.
-BINS = 64
-#: Bounds of the sample on which the order of features is judged.
-ORDER_SETS, ORDER_FEATURES = 2000, 50_000
-_CHUNK = 1 << 20
+#: Features for each bin of the sketch that bounds the difference of two sets from below, and least bins.
+BIN_FEATURES, LEAST_BINS = 4, 16
+#: Bounds of the sample on which features are judged frequent: texts, features of a text, features in all.
+SAMPLE_SETS, SAMPLE_FEATURES, FREQUENT = 2000, 4096, 50_000
+_CHUNK = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -126,9 +126,25 @@ def bands() -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def signatures(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set number) pairs of all sets, and which sets ran out of partitions."""
+def _known(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places in the sorted array `known`, -1 where a value is not in it."""
+    if not len(known):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+def signatures(values: np.ndarray, cut: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number) pairs of all sets, and which sets ran out of partitions.
+
+    Frequent features (passages that many unlike texts share) are left out of
+    the domain: without them two sets differ in no more features than with
+    them, so the bound k holds as before, and a shared passage makes no group.
+    """
     n = np.diff(cut)
+    rare = _known(values, frequent) < 0
+    values = values[rare]
+    cut = np.r_[0, np.cumsum(rare)][cut]
     low = bands()
     own = np.searchsorted(low, n, side="right") - 1
     failed = np.zeros(len(n), bool)
@@ -142,18 +158,18 @@ def signatures(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndar
         docs = np.flatnonzero(part)
         if not len(docs):
             continue
-        size, band = n[docs], band[docs]
+        size, band, left = n[docs], band[docs], np.diff(cut)[docs]
         upper = low[band + 1] - 1
         first = np.ceil(SPARE * (2 * upper * (DENOMINATOR - NUMERATOR) / (DENOMINATOR + NUMERATOR) / 2 + 1)).astype(np.int64)
         need = most_different(size, np.minimum(upper, size * DENOMINATOR // NUMERATOR)) // 2 + 1
         cells = first * SECOND
         base = np.r_[0, np.cumsum(cells)]
-        span = np.repeat(np.arange(len(docs)), size)
-        at = np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size) + np.repeat(cut[docs], size)
+        span = np.repeat(np.arange(len(docs)), left)
+        at = np.arange(left.sum()) - np.repeat(np.r_[0, np.cumsum(left)[:-1]], left) + np.repeat(cut[docs], left)
         cell = base[span] + (((values[at] >> U64(32)) * cells[span].astype(np.uint64)) >> U64(32)).astype(np.int64)
         count = np.bincount(cell, minlength=base[-1])
         # values are sorted, so the features of a cell stand together
-        end = np.cumsum(count) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], cells) + np.repeat(cut[docs], cells)
+        end = np.cumsum(count) - np.repeat(np.r_[0, np.cumsum(left)[:-1]], cells) + np.repeat(cut[docs], cells)
         begin = end - count
         sums = (total[end] - total[begin]).reshape(-1, SECOND)
         filled = count.reshape(-1, SECOND) > 0
@@ -175,15 +191,32 @@ def signatures(values: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(sigs), np.concatenate(owners), failed
 
 
-def sketches(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Counts of each set's features in BINS bins, one byte each (255: that many or more)."""
-    n = len(cut) - 1
-    owner = np.repeat(np.arange(n), np.diff(cut))
-    bins = (values & U64(BINS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(owner * BINS + bins, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
-
-
-def _sign(buckets: int):
+def sketches(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """Counts of each set's features in a power of two of bins, one byte each (255: that many or more)."""
+    out = []
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        bins = LEAST_BINS
+        while bins * BIN_FEATURES < e - s:
+            bins *= 2
+        out.append(np.minimum(np.bincount((values[s:e] & U64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes())
+    return out
+
+
+def _least_apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of features in which two sets differ; the finer sketch is folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.max() == 255 or b.max() == 255:
+        return 0
+    a, b = a.astype(np.int32), b.astype(np.int32)
+    least = min(len(a), len(b))
+    if len(a) > least:
+        a = a.reshape(-1, least).sum(0)
+    elif len(b) > least:
+        b = b.reshape(-1, least).sum(0)
+    return int(np.abs(a - b).sum())
+
+
+def _sign(buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_buffer(batch.column("text"))
@@ -191,17 +224,17 @@ def _sign(buckets: int):
             for s, e in pieces(offsets, _CHUNK):
                 values, cut = shingle_sets(buf[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
                 ids = set_ids(values, cut)
-                sig, owner, failed = signatures(values, cut)
+                sig, owner, failed = signatures(values, cut, frequent)
                 yield pa.record_batch(
                     [
                         pa.array(np.full(e - s, K.OWN, np.int32)), pa.array(failed.astype(np.int32)), batch.column("doc_id").slice(s, e - s).cast(pa.int64()),
-                        pa.array(ids.view(np.int64)), pa.array(np.diff(cut)), pa.array([x.tobytes() for x in sketches(values, cut)], pa.binary()),
+                        pa.array(ids.view(np.int64)), pa.array(np.diff(cut)), pa.array(sketches(values, cut), pa.binary()),
                     ],
                     schema=K.ROWS,
                 )
                 sigs.append(sig)
                 ents.append(ids[owner])
-                if sum(map(len, sigs)) > 2_000_000:
+                if sum(map(len, sigs)) > 600_000:
                     yield from K.pack_signatures(np.concatenate(sigs), np.concatenate(ents), buckets)
                     sigs, ents = [], []
             if sigs:
@@ -227,8 +260,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in ("sa", "sb"))
-        apart = np.abs(x - y).sum(1)
+        apart = np.array([_least_apart(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)])
         n, m = (batch.column(k).to_numpy() for k in ("na", "nb"))
         yield batch.select(["a", "b"]).filter(pa.array(apart <= most_different(n, m)))
 
@@ -245,33 +277,145 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
 
 
-def _rare(frequent: dict[int, int]):
-    """Rarest features of each set as (key, ent): sample frequency first, then the number itself."""
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least SAMPLE_FEATURES features of each text."""
+    for batch in batches:
+        buf, offsets = text_buffer(batch.column("text"))
+        for s, e in pieces(offsets, _CHUNK):
+            values, cut = shingle_sets(buf[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
+            yield pa.record_batch([pa.array([values[a : min(b, a + SAMPLE_FEATURES)].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["features"])
+
+
+def frequent_features(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Sorted features that at least three unlike texts of a bounded sample share.
+
+    Copies and near copies in the sample count once, so that the features of a
+    large group of copies do not look like a shared passage. The choice decides
+    cost only.
+    """
+    rows = hash_sample(docs.where("text is not null"), ["doc_id"], SAMPLE_SETS, n_docs).select("text").mapInArrow(_sample, "features binary").collect()
+    seen: dict[int, int] = {}
+    unlike = []
+    for k, r in enumerate(rows):  # bounded by SAMPLE_SETS
+        x = np.frombuffer(bytes(r["features"]), np.uint64)
+        least = x[:16].tolist()
+        before = [seen[v] for v in least if v in seen]
+        if not before or 3 * max(map(before.count, before)) < len(least):
+            unlike.append(x)
+        for v in least:
+            seen.setdefault(v, k)
+    if not unlike:
+        return np.zeros(0, np.uint64)
+    known, times = np.unique(np.concatenate(unlike), return_counts=True)
+    often = np.flatnonzero(times >= 3)
+    often = np.sort(often[np.argsort(-times[often], kind="stable")[:FREQUENT]])
+    return known[often]
+
+
+#: A feature that this many sets of one Arrow batch share counts as common; common ones come last in every order.
+COMMON = 16
+_HIGHEST = np.uint32(0xFFFFFFFF)
+
+
+def _features(buckets: int):
+    """All features of sets by bucket; a set's size and its common features, of which only a flag travels, stay in one OWN row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.array(sorted(frequent), np.uint64)
-        often = np.array([frequent[int(k)] for k in known], np.int64)
         for batch in batches:
-            keys, ents = [], []
-            for ent, raw in zip(batch.column("ent").to_pylist(), batch.column("features"), strict=True):
-                x = np.frombuffer(raw.as_buffer(), np.uint64)
-                seen = np.zeros(len(x), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    seen = np.where(known[at] == x, often[at], 0)
-                keep = len(x) - -(-NUMERATOR * len(x) // DENOMINATOR) + 1
-                keys.append(x[np.lexsort((x, seen))[:keep]])
-                ents.append(np.full(len(keys[-1]), ent, np.int64))
-            if keys:
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ents))], names=["key", "ent"])
+            if not batch.num_rows:
+                continue
+            sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column("features")]
+            ent = np.repeat(batch.column("ent").to_numpy().view(np.uint64), list(map(len, sets)))
+            bucket, low = K.split(mix(np.concatenate(sets)), buckets)
+            order = np.lexsort((low, bucket))
+            bucket, low, ent = bucket[order], low[order], ent[order]
+            first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])])
+            count = np.diff(np.r_[first, len(low)])
+            common = np.repeat(count >= COMMON, count)
+            ids, who = (bucket[common] << U64(40)) | low[common], ent[common]
+            order = np.argsort(who, kind="stable")
+            ids, who = ids[order], who[order]
+            names = batch.column("ent").to_numpy().view(np.uint64)
+            s, e = np.searchsorted(who, names), np.searchsorted(who, names, side="right")
+            yield K.rows(K.OWN, b=names, n=np.array(list(map(len, sets)), np.int64), payload=[ids[i:j].tobytes() + np.full(j - i, _HIGHEST).tobytes() for i, j in zip(s, e, strict=True)])
+            flags = first[count >= COMMON]
+            yield K.pack_lists(np.r_[bucket[~common], bucket[flags]], np.r_[low[~common], low[flags] | K._FLAG], np.r_[ent[~common], np.zeros(len(flags), np.uint64)])
 
     return run
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("features"):
-            yield pa.record_batch([pa.array(np.frombuffer(raw.as_buffer(), np.int64))], names=["key"])
+def _frequencies(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Per set: its features in this bucket that other sets have too, with their frequency."""
+    parts = [K.unpack(p) for p in payloads]
+    low, ent = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    sig, flag = low & K._LOW, low >= K._FLAG
+    order = np.lexsort((ent, sig))
+    sig, ent, flag = sig[order], ent[order], flag[order]
+    one = np.r_[True, (sig[1:] != sig[:-1]) | (ent[1:] != ent[:-1])]  # a set that came twice counts once
+    sig, ent, flag = sig[one], ent[one], flag[one]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    count = np.diff(np.r_[first, len(sig)])
+    often = np.where(np.logical_or.reduceat(flag, first), _HIGHEST, count.astype(np.uint32))
+    often = np.repeat(often, count)
+    real = (ent != 0) & (often > 1)
+    sig, ent, often = sig[real], ent[real], often[real]
+    if not len(ent):
+        return
+    order = np.argsort(ent, kind="stable")
+    sig, ent, often = (U64(bucket) << U64(40)) | sig[order], ent[order], often[order]
+    cut = np.flatnonzero(np.r_[True, ent[1:] != ent[:-1]])
+    yield K.rows(K.OWN, b=ent[cut], n=np.zeros(len(cut), np.int64), payload=[sig[s:e].tobytes() + often[s:e].tobytes() for s, e in zip(cut, np.r_[cut[1:], len(ent)], strict=True)])
+
+
+def _rarest(buckets: int):
+    """Rows of a partition sorted by set -> signatures of each set's rarest shared features within its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ents = [], []
+        at, n, held = None, 0, []
+
+        def close() -> None:
+            ids = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 12) for p in held])
+            often = np.concatenate([np.frombuffer(p, np.uint32, len(p) // 12, len(p) // 12 * 8) for p in held])
+            ids, one = np.unique(ids, return_index=True)
+            often = often[one]
+            # features that the set has alone are rarer than all others
+            keep = n - -(-NUMERATOR * n // DENOMINATOR) + 1 - (n - len(ids))
+            if keep <= 0 or not len(ids):
+                return
+            keys.append(mix(ids[np.lexsort((ids, often))[:keep]]))
+            ents.append(np.full(len(keys[-1]), at & 0xFFFFFFFFFFFFFFFF, np.uint64))
+
+        for batch in batches:
+            for ent, size, payload in zip(batch.column("b").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if ent != at:
+                    if at is not None:
+                        close()
+                    at, n, held = ent, 0, []
+                n = max(n, size)
+                held.append(payload)
+            if sum(map(len, keys)) > 600_000:
+                yield from K.pack_signatures(np.concatenate(keys), np.concatenate(ents), buckets)
+                keys.clear()
+                ents.clear()
+        if at is not None:
+            close()
+        if keys:
+            yield from K.pack_signatures(np.concatenate(keys), np.concatenate(ents), buckets)
+
+    return run
+
+
+def rare_groups(sets: DataFrame, buckets: int) -> DataFrame:
+    """MEMBER and EDGE rows of sets that share one of the rarest features of either.
+
+    Features are ordered by their frequency among the given sets, common ones
+    last, ties by number. Features that a set has alone come first and make no
+    group, so sets that only share passages never meet.
+    """
+    counted = K.by_bucket(sets.select("ent", "features").mapInArrow(_features(buckets), K.ROWS_DDL)).mapInArrow(K.each_bucket(_frequencies), K.ROWS_DDL)
+    by_set = counted.repartition(partitions(sets.sparkSession), "b").sortWithinPartitions("b")
+    return K.exchange(by_set.mapInArrow(_rarest(buckets), K.ROWS_DDL), "ngram-prefixes")
 
 
 def _sketched(pairs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -282,7 +426,12 @@ def _sketched(pairs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda k: sets.select(F.col("ent").alias(f"e{k}"), F.col("features").alias(f"f{k}"))
+    """The pairs (a written table) with J >= 0.8; only sets that stand in a pair are shuffled."""
+
+    def side(k: str) -> DataFrame:
+        own = sets.join(sized(pairs.select(F.col(k).alias("_k")).distinct(), 16), F.col("ent") == F.col("_k"), "left_semi")
+        return own.select(F.col("ent").alias(f"e{k}"), F.col("features").alias(f"f{k}"))
+
     p = pairs.join(side("a"), F.col("a") == F.col("ea")).join(side("b"), F.col("b") == F.col("eb")).select("a", "b", "fa", "fb")
     return p.mapInArrow(_linked, "a long, b long")
 
@@ -290,29 +439,36 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     docs = docs.select("doc_id", "text")
-    found = K.exchange(docs.mapInArrow(_sign(K.bucket_count(text_bytes(docs) // 2, docs)), K.ROWS_DDL), "ngrams")
+    size, n_docs = text_totals(docs)
+    known = frequent_features(docs, n_docs)
+    found = K.exchange(docs.mapInArrow(_sign(K.bucket_count(size // 2, docs), known), K.ROWS_DDL), "ngrams")
     own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.col("payload").alias("sketch"))
     members = found.where(F.col("kind") == K.MEMBER).select("a", "b")
-    stars = found.where(F.col("kind") == K.EDGE).select("a", "b").distinct()
+    stars = K.star_pairs(found)
     entities = own.where("n > 0").groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max("failed").alias("failed"), F.min("doc_id").alias("doc_id"))
     entities = materialise(entities, "ngram-entities")
     close = materialise(_sketched(stars, entities), "ngram-pairs")
     touched = close.select(F.col("a").alias("t")).union(close.select("b")).union(members.select("b")).union(entities.where("failed > 0").select("ent")).distinct()
     asked = entities.join(touched, F.col("ent") == F.col("t"), "left_semi").select("ent", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    texts = docs.join(asked, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == asked["id"]).select("ent", "text")
-    sets = materialise(texts.mapInArrow(_sets, "ent long, n long, features binary").dropDuplicates(["ent"]), "ngram-sets")
+    asked = materialise(asked, "ngram-asked")
+    texts = docs.join(sized(asked, 16), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == asked["id"]).select("ent", "text")
+    # where doc_ids repeat a set may come twice, which only repeats links
+    sets = materialise(texts.mapInArrow(_sets, "ent long, n long, features binary"), "ngram-sets")
     links = materialise(_verified(close, sets), "ngram-links")
     labels = K.components(links, "ngram-labels")
-    # groups that are not of one class, and flagged sets, by the exact second way
-    open_ = K.unsettled(members, labels).select(F.col("b").alias("ent"), "label")
-    failed = entities.where("failed > 0").join(labels, F.col("ent") == F.col("node"), "left").select("ent", F.coalesce("label", "ent").alias("label"))
-    rest = materialise(open_.union(failed).distinct(), "ngram-open")
-    left = sets.join(rest, "ent").select("ent", "label", "features")
-    sample = left.select("features").limit(ORDER_SETS).mapInArrow(_features, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(ORDER_FEATURES).collect()
-    frequent = {r["key"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in sample}  # bounded by ORDER_FEATURES
-    keyed = left.select("ent", "features").mapInArrow(_rare(frequent), "key long, ent long").join(rest, "ent")
-    more = _verified(materialise(_sketched(K.cross_pairs(keyed), entities), "ngram-pairs"), sets)
-    more = materialise(more, "ngram-links")
+    # groups that are not of one class, and flagged sets, by the exact second way: stars first, then pairs across classes
+    rest = K.unsettled(members, labels).select(F.col("b").alias("ent")).union(entities.where("failed > 0").select("ent")).distinct()
+    rest = materialise(rest, "ngram-open")
+    left = sets.join(sized(rest, 16), "ent", "left_semi")
+    prefixes = rare_groups(left, K.bucket_count(int(left.agg(F.sum("n")).first()[0] or 0) * 8, docs))
+    again = materialise(_sketched(K.star_pairs(prefixes), entities), "ngram-pairs")
+    links = links.union(materialise(_verified(again, sets), "ngram-links"))
+    labels = K.components(links, "ngram-labels")
+    keyed = prefixes.where(F.col("kind") == K.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("ent")).distinct().join(labels, F.col("ent") == F.col("node"), "left").select("key", "ent", F.coalesce("label", "ent").alias("label"))
+    reach = lambda n: n * DENOMINATOR // NUMERATOR
+    exact = lambda x, y: _least_apart(x[3], y[3]) <= most_different(x[2], y[2])
+    across = materialise(K.cross_pairs(keyed, entities, reach, most_different, exact), "ngram-pairs")
+    more = materialise(_verified(across, sets), "ngram-links")
     if more.limit(1).count():
         labels = K.components(links.union(more), "ngram-labels")
     named = own.select("doc_id", "ent", "n").join(labels, F.col("ent") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "ent")).alias("label"))
