@@ -36,8 +36,9 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 _SPAN = LENGTH - GRAM + 1  # grams of a window
 #: Bytes of text in a block, and of contexts in one suffix array.
-BLOCK_BYTES, SHARD_BYTES = 8_000_000, 6_000_000
-_CHUNK = (1 << 20) - LENGTH
+BLOCK_BYTES, SHARD_BYTES = 4_000_000, 2_000_000
+_CHUNK = (1 << 19) - LENGTH
+_BITS = -(-_SPAN // 8)  # bytes of a context's mask
 _LAST = np.iinfo(np.int64).max
 _CODEC = "zstd"
 
@@ -231,8 +232,8 @@ def _contexts(buckets: int):
             return _ROWS.empty_table()
         # equal contexts: same bytes around the same anchor
         text = np.empty(len(h), np.uint64)
-        for s in range(0, len(h), 1 << 16):
-            text[s : s + (1 << 16)] = _context_hash(buf, at[s : s + (1 << 16)], lo[s : s + (1 << 16)], hi[s : s + (1 << 16)])
+        for s in range(0, len(h), 1 << 13):
+            text[s : s + (1 << 13)] = _context_hash(buf, at[s : s + (1 << 13)], lo[s : s + (1 << 13)], hi[s : s + (1 << 13)])
         order = np.lexsort((at, text, h))  # positions rise with doc_id, so the first is the earliest
         at, h, lo, hi, text = at[order], h[order], lo[order], hi[order], text[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
@@ -275,7 +276,7 @@ def repeated_windows(context_bytes: np.ndarray, size: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n), size)
     text[np.arange(len(context_bytes)) + owner] = context_bytes
     order = suffix_array(text, 256)
-    lanes = max(1, min(len(text) // 64, 1 << 16))
+    lanes = max(1, min(len(text) // 64, 1 << 13))
     prefix = common_prefixes(text, order, LENGTH, lanes)
     # windows in suffix order; neighbours with a common prefix of 100 bytes are one group
     windows = size - LENGTH + 1
@@ -310,9 +311,14 @@ def _solve(held: list[tuple[int, bytes]], bucket: int) -> Iterator[pa.RecordBatc
     distinct[order] = np.cumsum(new) - 1
     is_first = np.zeros(len(order), bool)
     is_first[firsts] = True
+    # an anchor with one distinct context has no rival: its first occurrence stays, all others go
+    hf = all_["h"][firsts]
+    alike = hf[1:] == hf[:-1]
+    rivals = np.flatnonzero(np.r_[False, alike] | np.r_[alike, False])
+    every = np.zeros((len(firsts), _BITS), np.uint8)
+    firsts, hf = firsts[rivals], hf[rivals]
     mask = np.zeros((len(firsts), _SPAN), bool)
     # shards of whole anchor groups, contexts in order of their places
-    hf = all_["h"][firsts]
     ends = np.flatnonzero(np.r_[hf[1:] != hf[:-1], True]) + 1
     bytes_to = np.cumsum(size[firsts] + 1)
     start = 0
@@ -328,12 +334,12 @@ def _solve(held: list[tuple[int, bytes]], bucket: int) -> Iterator[pa.RecordBatc
         bytes_ = raw[np.repeat(begin[f] - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(span.sum())]
         mask[ids] = repeated_windows(bytes_, span)
         start = end
-    bits = np.packbits(mask, axis=1, bitorder="little")
+    every[rivals] = np.packbits(mask, axis=1, bitorder="little")
     at = 0
     for (block, _), n in zip(held, counts, strict=True):
         own = slice(at, at + n)
         at += n
-        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(first=is_first[own], bits=bits[distinct[own]].ravel())], pa.binary())], schema=_ROWS)
+        yield pa.record_batch([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([_pack(first=is_first[own], bits=every[distinct[own]].ravel())], pa.binary())], schema=_ROWS)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +389,7 @@ def _remove(with_text: bool):
                 start = lo[some[row]] + col
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + LENGTH, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         out: list[tuple] = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             g = gone[a:b]
@@ -401,12 +407,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     size = text_bytes(docs)
     blocks = blocks_for(size, BLOCK_BYTES, partitions(spark))
-    hash_buckets = blocks_for(size // 4, BLOCK_BYTES, partitions(spark))
+    hash_buckets = blocks_for(size // 4, 2 * BLOCK_BYTES, partitions(spark))
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
     by_block = dealt.groupBy("block")
     by_bucket = dealt.mapInArrow(_emit_hashes(hash_buckets), "bucket int, payload binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
     repeated = by_bucket.mapInArrow(_find_repeated, "block long, payload binary")
-    contexts = by_block.cogroup(repeated.groupBy("block")).applyInArrow(_contexts(blocks), _ROWS_DDL)
+    contexts = by_block.cogroup(repeated.groupBy("block")).applyInArrow(_contexts(2 * blocks), _ROWS_DDL)
     shard = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.col("block"))
     solved = contexts.repartition(partitions(spark), shard).sortWithinPartitions("bucket").mapInArrow(_shards, _ROWS_DDL)
     return by_block.cogroup(solved.groupBy("block")).applyInArrow(_remove(with_text), _RESULT_DDL + (", kept binary" if with_text else ""))
