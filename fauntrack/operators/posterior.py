@@ -173,10 +173,10 @@ def predictive_check(pairs: DataFrame, kernel: DataFrame, n_units: int, draws: i
     return d.groupBy("draw").agg(F.avg(F.pow(F.col("o") - F.col("q"), 2)).alias("brier"), F.coalesce(F.sum(F.when(both, F.col("o") * F.log(F.col("o") / F.col("q")))), F.lit(0.0)).alias("kl"))
 
 
-def persistence_gain(pairs: DataFrame, kernel: DataFrame, units: DataFrame, n_units: int, kappas: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0), headings: int = 6, most_steps: int = 12) -> DataFrame:
-    """kappa, loglik (mean per pair) of the kernel with turning cost; kappas are dealt over tasks."""
+def persistence_gain(pairs: DataFrame, kernel: DataFrame, units: DataFrame, n_units: int, kappas: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0), headings: int = 6) -> DataFrame:
+    """kappa, loglik (mean over all pairs, whatever their k) of the kernel with turning cost; kappas are dealt over tasks."""
     u = units.select("s_idx", "lon", "lat").orderBy("s_idx").toPandas()  # mesh-sized
-    obs = pairs.where(F.col("k") <= most_steps).groupBy("release", "recapture", "k").agg(F.count("*").alias("n"))
+    obs = pairs.groupBy("release", "recapture", "k").agg(F.count("*").alias("n"))
     if obs.count() > G.MOST_EDGES:
         raise ValueError("too many distinct transitions for one task a kappa")
     shared = pairs.sparkSession.sparkContext.broadcast((u, G.collect_csr(kernel, n_units), obs.toPandas()))
@@ -197,7 +197,7 @@ def persistence_gain(pairs: DataFrame, kernel: DataFrame, units: DataFrame, n_un
                 m /= np.maximum(m.sum(1, keepdims=True), 1e-300)
                 x = np.repeat(np.eye(n_units), headings, axis=1) / headings
                 total, seen = 0.0, {k: p for k, p in o.groupby("k")}
-                for k in range(1, most_steps + 1):
+                for k in range(1, int(o["k"].max()) + 1 if len(o) else 0):
                     x = x @ m
                     if k in seen:
                         p = seen[k]
