@@ -8,6 +8,7 @@ tags, draws or agents.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,6 +163,28 @@ def bridge(g: Csr, u: int, v: int, k: int, land: np.ndarray | None = None) -> np
     return c / np.maximum(c.sum(1, keepdims=True), 1e-300)
 
 
+def bridges(g: Csr, u: int, events: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+    """bridge() of every (v, k) from one unit: one forward sweep serves them all, and one backward sweep each v."""
+    src = np.repeat(np.arange(g.n), np.diff(g.start))
+    most = max((k for _, k in events), default=0)
+    f = np.zeros((most + 1, g.n))
+    f[0, u] = 1
+    for t in range(1, most + 1):
+        f[t] = np.bincount(g.dst, f[t - 1][src] * g.w, g.n)
+    back: dict[int, np.ndarray] = {}
+    for v, k in events:
+        if k <= 0 or f[k, v] <= 1e-15:
+            yield bridge(g, u, v, k)
+            continue
+        if v not in back:
+            b = back[v] = np.zeros((most + 1, g.n))
+            b[0, v] = 1
+            for t in range(1, most + 1):
+                b[t] = np.bincount(src, g.w * b[t - 1][g.dst], g.n)
+        c = f[: k + 1] * back[v][k::-1] / f[k, v]
+        yield c / np.maximum(c.sum(1, keepdims=True), 1e-300)
+
+
 def viterbi_hmm(kernels: list[np.ndarray], emission: np.ndarray) -> np.ndarray:
     """Most likely states of log emissions (time x units) under kernels of the steps; ties to the smaller unit."""
     t, n = emission.shape
@@ -229,6 +252,34 @@ def circuit(g: Csr, u: int, v: int, current: float = 1.0) -> tuple[float, np.nda
     return float(volt[u] / current), volt
 
 
+def potentials(g: Csr) -> tuple[np.ndarray, np.ndarray]:
+    """Component of each unit, and the inverse Laplacian of each component: one inversion serves every circuit()."""
+    label, out = np.full(g.n, -1), np.zeros((g.n, g.n))
+    dense = g.dense()
+    for u in range(g.n):
+        if label[u] < 0:
+            own = component_of(g, u)
+            label[own] = u
+            c = dense[np.ix_(own, own)]
+            c = (c + c.T) / 2
+            out[np.ix_(own, own)] = np.linalg.inv(np.diag(c.sum(1)) - c + np.ones((len(own), len(own))) / len(own))
+    return label, out
+
+
+def solved_circuit(solved: tuple[np.ndarray, np.ndarray], u: int, v: int) -> tuple[float, np.ndarray]:
+    """circuit() for one unit of current, from potentials()."""
+    label, inverse = solved
+    volt = np.zeros(len(label))
+    if u == v:
+        return 0.0, volt
+    if label[u] != label[v]:
+        return np.inf, volt
+    own = label == label[u]
+    volt[own] = inverse[own, u] - inverse[own, v]
+    volt[own] -= volt[v]
+    return float(volt[u]), volt
+
+
 def node_current(g: Csr, volt: np.ndarray, u: int, v: int) -> np.ndarray:
     """Current through each unit: half the sum over its edges, 1 at both ends."""
     src = np.repeat(np.arange(g.n), np.diff(g.start))

@@ -236,13 +236,14 @@ def space_use(walks: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def circuits(sources: DataFrame, conductance: DataFrame, n_units: int) -> DataFrame:
-    """release, recapture, resistance, s_idx, current for distinct endpoints: one solve each, dealt over tasks."""
+    """release, recapture, resistance, s_idx, current for distinct endpoints, dealt over tasks: one inversion a task serves all of its endpoints."""
     g = _share(conductance, G.collect_csr(conductance, n_units, "c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        solved = G.potentials(g.value)
         for pdf in batches:
             for u, v in pdf.itertuples(index=False):
-                r, volt = G.circuit(g.value, u - 1, v - 1)
+                r, volt = G.solved_circuit(solved, u - 1, v - 1)
                 j = G.node_current(g.value, volt, u - 1, v - 1) if np.isfinite(r) else np.zeros(n_units)
                 yield pd.DataFrame({"release": np.int32(u), "recapture": np.int32(v), "resistance": r, "s_idx": np.arange(1, n_units + 1, dtype="int32"), "current": j})
 

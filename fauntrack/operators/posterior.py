@@ -54,8 +54,9 @@ def circuit_draws(events: DataFrame, units: DataFrame, edges: DataFrame, n_units
         c = G.make_csr(src[ok], g.dst[ok], (g.w * np.exp(0.5 * (h[src] + h[g.dst])))[ok], n_units)
         total = np.zeros(n_units)
         ends = pdf[["release", "recapture"]].drop_duplicates()
+        solved = G.potentials(c)
         for u, v in ends.itertuples(index=False):
-            ohm, volt = G.circuit(c, u - 1, v - 1)
+            ohm, volt = G.solved_circuit(solved, u - 1, v - 1)
             if u != v and np.isfinite(ohm):
                 total += G.node_current(c, volt, u - 1, v - 1)
         return pd.DataFrame({"draw": np.int32(draw), "s_idx": np.arange(1, n_units + 1, dtype="int32"), "density": total / max(1, len(ends))})
@@ -130,24 +131,29 @@ def path_intervals(paths: DataFrame) -> DataFrame:
 
 
 def ensemble(events: DataFrame, units: DataFrame, edges: DataFrame, parameters: DataFrame, n_units: int) -> DataFrame:
-    """release, recapture, k, tau, s_idx, prob: the bridge corridor averaged over parameter draws."""
+    """release, recapture, k, tau, s_idx, prob: the bridge corridor averaged over parameter draws; events are dealt by release."""
     shared = _mesh(units, edges, n_units)
-    grid = _crossed(events.select("release", "recapture", "k").distinct(), parameters)
+    rows = [tuple(float(r[c]) for c in ("gamma", "rho", "alpha")) for r in parameters.select("gamma", "rho", "alpha").collect()]  # a bounded table
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mesh, g = shared.value
-        a, r, c = (float(pdf[k].iloc[0]) for k in ("alpha", "rho", "gamma"))
-        p = _kernel(mesh, g, mesh["hsi"].to_numpy(), c, r, a)
-        out = []
-        for u, v, k in pdf[["release", "recapture", "k"]].itertuples(index=False):
-            b = G.bridge(p, u - 1, v - 1, int(k))
-            t, s = np.nonzero(b > 1e-9)
-            out.append(pd.DataFrame({"release": u, "recapture": v, "k": k, "tau": t, "s_idx": s + 1, "prob": b[t, s]}))
-        return pd.concat(out)
-
-    n = parameters.count()
-    found = grid.groupBy("draw").applyInPandas(run, "release int, recapture int, k int, tau int, s_idx int, prob double")
-    return found.groupBy("release", "recapture", "k", "tau", "s_idx").agg((F.sum("prob") / n).alias("prob"))
+        kernels = [_kernel(mesh, g, mesh["hsi"].to_numpy(), *r) for r in rows]
+        for pdf in batches:
+            for u, part in pdf.groupby("release"):
+                events = list(zip((part["recapture"] - 1).tolist(), part["k"].tolist(), strict=True))
+                out = []
+                for (v, k), *found in zip(events, *(G.bridges(p, int(u) - 1, events) for p in kernels), strict=True):
+                    b = sum(np.where(x > 1e-9, x, 0) for x in found) / len(rows)
+                    t, s = np.nonzero(b)
+                    out.append(pd.DataFrame({"release": np.int32(u), "recapture": np.int32(v + 1), "k": np.int32(k), "tau": t.astype("int32"), "s_idx": (s + 1).astype("int32"), "prob": b[t, s]}))
+                    if len(out) == 200:
+                        yield pd.concat(out)
+                        out = []
+                if out:
+                    yield pd.concat(out)
+
+    distinct = events.select("release", "recapture", "k").distinct().repartition("release").sortWithinPartitions("release")
+    return distinct.mapInPandas(run, "release int, recapture int, k int, tau int, s_idx int, prob double")
 
 
 def predictive_check(pairs: DataFrame, kernel: DataFrame, n_units: int, draws: int = 30, most_steps: int = 10, seed: int = 1) -> DataFrame:

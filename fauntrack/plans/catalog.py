@@ -479,7 +479,7 @@ def chain_health(s, d):
 
 @query()
 def mh_chain(s, d):
-    return markov.metropolis(X.pairs(s, d).where("k <= 6"), X.units(s, d), X.edges(s, d), N, chains=2, draws=10, warmup=5).select("chain", "draw", r6("velocity"), r6("gamma"), "accepted")
+    return markov.metropolis(X.pairs(s, d), X.units(s, d), X.edges(s, d), N, chains=2, draws=10, warmup=5).select("chain", "draw", r6("velocity"), r6("gamma"), "accepted")
 
 
 # ------------------------------------------------------------------ paths, corridors, agents, circuits
@@ -515,7 +515,7 @@ def exact_k_path_cost(s, d):
 
 @query()
 def stochastic_paths(s, d):
-    return markov.stochastic_paths(_few(s, d).where("release <= 10"), X.units(s, d), X.edges(s, d), N, draws=5).select("release", "recapture", "s_idx", r6("visit_prob"), r6("mean_cost"))
+    return markov.stochastic_paths(_few(s, d), X.units(s, d), X.edges(s, d), N, draws=5).select("release", "recapture", "s_idx", r6("visit_prob"), r6("mean_cost"))
 
 
 @query(X.with_sql("kernel", recursive=True, body=", ev AS (SELECT 2 AS u, 25 AS v, 6 AS k UNION ALL SELECT 13, 45, 8), f AS (SELECT u, v, k, u AS node, CAST(1 AS DOUBLE) AS p, 0 AS t FROM ev UNION ALL SELECT f.u, f.v, f.k, q.dst, sum(f.p * q.p), f.t + 1 FROM f JOIN kernel q ON q.src = f.node WHERE f.t < f.k GROUP BY f.u, f.v, f.k, q.dst, f.t + 1), b AS (SELECT u, v, k, v AS node, CAST(1 AS DOUBLE) AS p, 0 AS t FROM ev UNION ALL SELECT b.u, b.v, b.k, q.src, sum(b.p * q.p), b.t + 1 FROM b JOIN kernel q ON q.dst = b.node WHERE b.t < b.k GROUP BY b.u, b.v, b.k, q.src, b.t + 1), c AS (SELECT f.u, f.v, f.k, f.t, f.node, f.p * b.p AS m FROM f JOIN b ON b.u = f.u AND b.v = f.v AND b.k = f.k AND b.node = f.node AND b.t = f.k - f.t), n AS (SELECT *, m / sum(m) OVER (PARTITION BY u, v, k, t) AS prob FROM c) SELECT u AS release, v AS recapture, k, t AS tau, node AS s_idx, round(prob, 6) + 0.0 AS prob FROM n WHERE prob > 1e-5"))
@@ -532,7 +532,7 @@ def corridor_all(s, d):
 
 @query()
 def steady_corridor(s, d):
-    return markov.steady_corridors(_few(s, d).where("release <= 20"), kern(s, d), N).groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", r6("prob"))
+    return markov.steady_corridors(_few(s, d), kern(s, d), N).groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", r6("prob"))
 
 
 @query()
@@ -572,13 +572,13 @@ def pinchpoints(s, d):
 
 @query()
 def circuit_current(s, d):
-    c = markov.circuits(_few(s, d).where("release <= 8"), markov.conductance(X.units(s, d), X.edges(s, d)), N)
+    c = markov.circuits(_few(s, d), markov.conductance(X.units(s, d), X.edges(s, d)), N)
     return c.groupBy("s_idx").agg(F.sum("current").alias("current")).select("s_idx", r6("current"))
 
 
 @query()
 def effective_resistance(s, d):
-    c = markov.circuits(_few(s, d).where("release <= 8"), markov.conductance(X.units(s, d), X.edges(s, d)), N)
+    c = markov.circuits(_few(s, d), markov.conductance(X.units(s, d), X.edges(s, d)), N)
     return c.select("release", "recapture", r6("resistance")).distinct()
 
 
@@ -684,7 +684,7 @@ def _parameters(s) -> DataFrame:
 
 @query()
 def posterior_circuit(s, d):
-    e = _few(s, d).where("release <= 6")
+    e = _few(s, d)
     return posterior.summarize_draws(posterior.circuit_draws(e, X.units(s, d), X.edges(s, d), N, draws=5), "density").select("s_idx", r6("mean"), r6("sd"), r6("lower"), r6("upper"), r6("pinch_prob"))
 
 
@@ -702,7 +702,7 @@ def path_credible_intervals(s, d):
 
 @query()
 def bayesian_ensemble(s, d):
-    p = posterior.ensemble(_few(s, d).where("k <= 4"), X.units(s, d), X.edges(s, d), _parameters(s), N)
+    p = posterior.ensemble(_few(s, d), X.units(s, d), X.edges(s, d), _parameters(s), N)
     return p.groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", F.round("prob", 4).alias("prob"))
 
 
