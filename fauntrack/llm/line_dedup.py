@@ -11,9 +11,10 @@ pairs at a time. Edits are counted in UTF-8 bytes.
 Classes are connected components of links. Of each class the first occurrence
 stays, by doc_id and line number; every later one is dropped.
 
-Defined results: lines under LEAST_BYTES bytes are never dropped; null or empty
-texts have no lines to drop; rows with the same doc_id and text are one document
-and are treated alike; a null doc_id comes before all others; an empty table
+Defined results: lines under LEAST_BYTES bytes repeat only lines of the same
+bytes, and blank lines are never dropped; null or empty texts have no lines to
+drop; rows with the same doc_id and text are one document and are treated
+alike; a null doc_id comes before all others; an empty table
 gives an empty result; the operator keeps extra columns, and its own columns
 replace columns of the same name.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import linkage as K
 from .common import U64, materialise, mix, pieces, prefix_hash, sized, span_hash, table, text_buffer, text_bytes
 
-#: Most edits between linked lines, and bytes under which a line is left alone.
+#: Most edits between linked lines, and bytes under which only equal lines are linked.
 EDITS, LEAST_BYTES = 2, 24
 _CHUNK = 1 << 19
 _BLANK = np.zeros(256, bool)
@@ -39,7 +40,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every stripped line of LEAST_BYTES or more, its text, and its number there."""
+    """Start and end of every stripped line that is not blank, its text, and its number there."""
     breaks = np.flatnonzero(buf == 10)
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
     starts = starts[np.searchsorted(starts, offsets[0]) :]
@@ -58,7 +59,7 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     ends[is_last] = offsets[1:]
     ends[~is_last] = breaks
     for side in (0, 1):
-        live = np.flatnonzero(ends - starts >= LEAST_BYTES)
+        live = np.flatnonzero(ends > starts)
         while len(live):
             at = starts[live] if side == 0 else ends[live] - 1
             live = live[_BLANK[buf[at]]]
@@ -67,8 +68,8 @@ def line_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             else:
                 ends[live] -= 1
             live = live[ends[live] > starts[live]]
-    long = ends - starts >= LEAST_BYTES
-    return starts[long], ends[long], text[long], number[long]
+    some = ends > starts
+    return starts[some], ends[some], text[some], number[some]
 
 
 def segment_keys(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,6 +105,7 @@ def _sign(buckets: int):
                     schema=K.ROWS,
                 )
                 _, one = np.unique(ids, return_index=True)
+                one = one[ends[one] - starts[one] >= LEAST_BYTES]  # shorter lines are linked by their bytes alone
                 for sig, of in segment_keys(prefix, starts[one], ends[one]):
                     sigs.append(sig)
                     ents.append(ids[one[of]])
