@@ -36,6 +36,7 @@ CUT_WORDS = frozenset(
     "sidebar side comment comments commentlist disqus reply replies respond nav navbar navigation menu breadcrumb breadcrumbs footer header masthead "
     "popup modal overlay newsletter subscribe subscription signup login related recommended recommendations share sharing social widget toolbar pagination pager skip".split()
 )
+REPLY_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 KEEP_WORDS = frozenset("article body content entry main page post story text".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "button"}
@@ -54,10 +55,11 @@ POINT_CHARS, MOST_LENGTH_POINTS, SIBLING_SHARE = 100, 3, 0.2
 
 
 class _Node:
-    __slots__ = ("attrs", "children", "cut", "parent", "score", "tag")
+    __slots__ = ("attrs", "children", "cut", "most", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str = "") -> None:
         self.tag, self.parent, self.attrs, self.children, self.score, self.cut = tag, parent, attrs, [], 0.0, False
+        self.most = False
 
 
 def _words(attrs: str) -> tuple[set[str], dict[str, str]]:
@@ -66,9 +68,37 @@ def _words(attrs: str) -> tuple[set[str], dict[str, str]]:
     return {w.lower() for w in _WORD.findall(named)}, found
 
 
+def _weigh(root: _Node) -> None:
+    """Mark the nodes that hold most of the page's text outside links and furniture, and most of its articles' text (else of main)."""
+    order, skip, inside = [root], [False], [""]
+    text: dict[int, list[int]] = {}
+    for k, node in enumerate(order):  # grows meanwhile; parents come first
+        off = skip[k] or node.tag == "a" or (node.tag in CUT and node.tag != "form")
+        place = node.tag if node.tag == "article" or (node.tag == "main" and not inside[k]) else inside[k]
+        own = 0
+        for x in node.children:
+            if isinstance(x, str):
+                own += 0 if off else len(x.strip())
+            else:
+                order.append(x)
+                skip.append(off)
+                inside.append(place)
+        text[id(node)] = [own, own * (place == "article"), own * (place == "main")]
+    for node in reversed(order):
+        if node.parent is not None:
+            up = text[id(node.parent)]
+            for j, n in enumerate(text[id(node)]):
+                up[j] += n
+    total = text[id(root)]
+    told = 1 if total[1] else 2 if total[2] else 0
+    for node in order:
+        own = text[id(node)]
+        node.most = 2 * own[0] > total[0] and 2 * own[told] > total[told]
+
+
 def _is_cut(node: _Node) -> bool:
     tag = node.tag
-    if tag in CUT:
+    if tag in CUT and not (tag == "form" and node.most):
         return True
     if tag in ("html", "body", "main", "article"):
         return False
@@ -86,7 +116,9 @@ def _is_cut(node: _Node) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    return bool(words & CUT_WORDS) and not (tag == "header" and words & KEEP_WORDS)
+    # whole names only: a part of one, as in no-sidebar, says little; what is not cut here is left to the scores
+    tokens = set(" ".join(attrs.get(k, "") for k in ("class", "id")).lower().split())
+    return bool(tokens & CUT_WORDS) and not words & KEEP_WORDS and (not node.most or bool(tokens & REPLY_WORDS))
 
 
 def parse(page: str) -> _Node:
@@ -209,6 +241,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _weigh(root)
     texts: list[tuple[_Block, str]] = []
     for b in _blocks(root):
         text = _SPACE.sub(" ", "".join(b.parts)).strip()
