@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import math
 import tempfile
+import time
 import uuid
 from functools import lru_cache
 
@@ -40,11 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session sets none (tests on one machine) a temporary folder
-    is made and set.
+    Only where the session sets none and runs on one machine (local mode, as in
+    tests) a temporary folder is made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fauntrack-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -79,6 +83,35 @@ def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
 
 
+#: A key that holds this share of all rows or more is joined by broadcast: there are HOT_SHARE such keys at most.
+HOT_SHARE = 4096
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined to facts (a written table with one row a key, `weight` telling how many of rows have it), without a hot task.
+
+    Keys that hold at least one in HOT_SHARE of all rows are broadcast (at most
+    HOT_SHARE keys, whatever the input); the rows of the others are shuffled.
+    how is inner or left.
+    """
+    count, total = facts.agg(F.count("*"), F.sum(weight)).first()
+    facts_ = facts.drop(weight)
+    if count * 64 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts_), on, how)
+    is_hot = F.col(weight) * HOT_SHARE >= (total or 0)
+    hot = F.broadcast(facts.where(is_hot).drop(weight))
+    cold = rows.join(F.broadcast(facts.where(is_hot).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(cold.join(facts.where(~is_hot).drop(weight), on, how))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, whatever the case of its own."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Most rows and bytes of an Arrow batch between JVM and Python: bounds the memory of both sides.
 BATCH_ROWS, BATCH_BYTES = 2000, "12m"
 
@@ -89,10 +122,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_RELEASED = [0.0]
+
+
 def release(spark: SparkSession) -> None:
-    """Let the driver notice that finished shuffles are no longer referenced, so that their files go."""
+    """Let the driver notice that finished shuffles are no longer referenced, so that their files go; once a second at most."""
+    if time.monotonic() - _RELEASED[0] < 1:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _RELEASED[0] = time.monotonic()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -156,8 +195,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: From this many bytes on a span is hashed by a digest.
+_LONG = 512
+
+
+def strong_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit names of buf[start:end]: eight bytes a step, each step a permutation of the state; long spans by a digest.
+
+    Unlike span_hash, no two spans of a length are sure to meet, whatever their
+    pattern, so that equal names may stand for equal bytes.
+    """
+    wide = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    size = end - start
+    h = mix(size.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(seed * 2 + 1))
+    live = np.flatnonzero((size > 0) & (size < _LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        x = wide[at]
+        last = left < 8
+        x[last] &= (U64(1) << (left[last].astype(np.uint64) * U64(8))) - U64(1)
+        h[live] = mix((h[live] ^ x) * U64(0xD6E8FEB86659FD93) + U64(0xA0761D6478BD642F))
+        go = left > 8
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    for k in np.flatnonzero(size >= _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8, key=seed.to_bytes(4, "little")).digest(), "little")
+    return h
+
+
 def prefix_hash(buf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Polynomial prefix sums of bytes modulo 2**64; see span_hash."""
+    """Polynomial prefix sums of bytes modulo 2**64; see span_hash.
+
+    Cheap, but some patterns of unlike bytes meet for certain: good for finding
+    candidates only. Where equality is concluded, use strong_hash or a digest.
+    """
     out = np.zeros(len(buf) + 1, np.uint64)
     up, _ = powers(len(buf) + 1)
     np.cumsum(_byte_table(seed)[buf] * up[:-1], out=out[1:])

@@ -1,6 +1,9 @@
 """Line dedup: a segment-partition edit join of lines, and documents without repeated lines.
 
-A line, stripped of white space at its ends, is an entity by its bytes. It is
+A line, stripped of white space at its ends, is an entity by a 128-bit digest of
+its bytes (64 bits name it, the others are its tag, checked before two lines are
+called equal; of two lines that share a name by chance, only the first one's
+near lines are looked for). It is
 cut into EDITS + 1 segments; a line within EDITS edits must hold one of them
 unchanged, at a place that the length difference bounds. Each line is indexed
 under its own segments and probes, for every length down to its own less EDITS,
@@ -13,10 +16,11 @@ stays, by doc_id and line number; every later one is dropped.
 
 Defined results: lines under LEAST_BYTES bytes repeat only lines of the same
 bytes, and blank lines are never dropped; null or empty texts have no lines to
-drop; rows with the same doc_id and text are one document and are treated
-alike; a null doc_id comes before all others; an empty table
-gives an empty result; the operator keeps extra columns, and its own columns
-replace columns of the same name.
+drop; a very long line is one entity like any other; rows with the same doc_id
+and text are one document and are treated alike; other rows of one doc_id are
+ordered by a hash of their texts; a null doc_id comes before all others; an
+empty table gives an empty result; the operator keeps all extra columns but
+n_lines, n_dropped and kept_sha256, which its own replace.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linkage as K
-from .common import U64, materialise, mix, pieces, prefix_hash, sized, span_hash, table, text_buffer, text_bytes
+from .common import BROADCAST_BYTES, U64, free_name, join_hot, materialise, mix, pieces, prefix_hash, span_hash, table, text_buffer, text_bytes
 
 #: Most edits between linked lines, and bytes under which only equal lines are linked.
 EDITS, LEAST_BYTES = 2, 24
@@ -98,12 +102,11 @@ def _sign(buckets: int):
                 if not len(starts):
                     continue
                 prefix = prefix_hash(part)
-                ids = span_hash(prefix, starts, ends)
-                keys = batch.column("key").slice(s, e - s).take(pa.array(text))
-                yield pa.record_batch(
-                    [pa.array(np.full(len(ids), K.OWN, np.int32)), pa.array(np.zeros(len(ids), np.int32)), keys.cast(pa.int64()), pa.array(ids.view(np.int64)), pa.array(number), pa.array([None] * len(ids), pa.binary())],
-                    schema=K.ROWS,
-                )
+                raw, at = part.tobytes(), pa.array(text)
+                names = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                ids = np.frombuffer(b"".join(names), np.uint64)[::2].copy()
+                doc, of = (batch.column(c).slice(s, e - s).take(at) for c in ("doc_id", "of"))
+                yield pa.record_batch([pa.array(np.full(len(ids), K.OWN, np.int32)), pa.array(number.astype(np.int32)), doc, pa.array(ids.view(np.int64)), of, pa.array([x[8:] for x in names], pa.binary())], schema=K.ROWS)
                 _, one = np.unique(ids, return_index=True)
                 one = one[ends[one] - starts[one] >= LEAST_BYTES]  # shorter lines are linked by their bytes alone
                 for sig, of in segment_keys(prefix, starts[one], ends[one]):
@@ -184,54 +187,61 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ent, line, n and a sketch (counts of bytes in 64 bins, at most 255) of the line numbers asked for."""
+    """ent, tag, line, n and a sketch (counts of bytes in 64 bins, at most 255) of the line numbers asked for."""
     for batch in batches:
-        ents, lines = [], []
+        ents, tags, lines = [], [], []
         for text, asked in zip(batch.column("text"), batch.column("asked").to_pylist(), strict=True):
             cut = (text.as_py() or "").encode().split(b"\n")
             for x in asked:
                 ents.append(x["ent"])
+                tags.append(x["tag"])
                 lines.append(cut[x["line"]].strip(b" \t\n\x0b\x0c\r"))
         sketch = [np.minimum(np.bincount(np.frombuffer(x, np.uint8) & 63, minlength=64), 255).astype(np.uint8).tobytes() for x in lines]
-        yield pa.record_batch([pa.array(ents, pa.int64()), pa.array(lines, pa.binary()), pa.array(list(map(len, lines)), pa.int64()), pa.array(sketch, pa.binary())], names=["ent", "line", "n", "sketch"])
+        yield pa.record_batch([pa.array(ents, pa.int64()), pa.array(tags, pa.binary()), pa.array(lines, pa.binary()), pa.array(list(map(len, lines)), pa.int64()), pa.array(sketch, pa.binary())], names=["ent", "tag", "line", "n", "sketch"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their dropped lines, and the digest columns."""
-    for batch in batches:
-        kept, total, gone = [], [], []
-        for text, drop in zip(batch.column("text"), batch.column("drop").to_pylist(), strict=True):
-            t = text.as_py()
-            if t is None:
-                kept.append(None)
-                total.append(0)
-                gone.append(0)
-                continue
-            if not drop:
-                kept.append(t)
-                total.append(t.count("\n") + 1)
-                gone.append(0)
-                continue
-            lines, away = t.split("\n"), set(drop)
-            kept.append("\n".join(x for k, x in enumerate(lines) if k not in away))
-            total.append(len(lines))
-            gone.append(len(away))
-        digest = [hashlib.sha256((t or "").encode()).hexdigest() for t in kept]
-        rest = [k for k in batch.schema.names if k not in ("text", "drop")]
-        yield pa.record_batch([*(batch.column(k) for k in rest), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=[*rest, "text", "n_lines", "n_dropped", "kept_sha256"])
-
-
-def line_classes(docs: DataFrame) -> DataFrame:
-    """key, line, class_key, first for every occurrence in a class of several: docs needs doc_id, text, key."""
-    found = K.exchange(docs.select("key", "text").mapInArrow(_sign(K.bucket_count(text_bytes(docs) // 3, docs)), K.ROWS_DDL), "lines")
-    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("key"), F.col("b").alias("ent"), F.col("n").cast("int").alias("line"))
+def _cut(names: dict[str, str]):
+    """Texts without the lines in the column names["drop"], and the digest columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, total, gone = [], [], []
+            for text, drop in zip(batch.column("text"), batch.column(names["drop"]).to_pylist(), strict=True):
+                t = text.as_py()
+                if t is None:
+                    kept.append(None)
+                    total.append(0)
+                    gone.append(0)
+                    continue
+                if not drop:
+                    kept.append(t)
+                    total.append(t.count("\n") + 1)
+                    gone.append(0)
+                    continue
+                lines, away = t.split("\n"), set(drop)
+                kept.append("\n".join(x for k, x in enumerate(lines) if k not in away))
+                total.append(len(lines))
+                gone.append(len(away))
+            digest = [hashlib.sha256((t or "").encode()).hexdigest() for t in kept]
+            rest = [k for k in batch.schema.names if k not in ("text", names["drop"])]
+            yield pa.record_batch([*(batch.column(k) for k in rest), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=[*rest, "text", "n_lines", "n_dropped", "kept_sha256"])
+
+    return run
+
+
+def line_repeats(docs: DataFrame) -> DataFrame:
+    """doc, of (hash of the text) and line of every occurrence but the first of each class; docs needs doc_id and text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
+    found = K.exchange(docs.mapInArrow(_sign(K.bucket_count(text_bytes(docs) // 3, docs)), K.ROWS_DDL), "lines")
+    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc"), F.col("n").alias("of"), F.col("bucket").alias("line"), F.col("b").alias("ent"), F.col("payload").alias("tag"))
     members = found.where(F.col("kind") == K.MEMBER).select("a", "b")
     stars = materialise(K.star_pairs(found), "line-stars")
     touched = members.select(F.col("b").alias("t")).union(stars.select("a")).union(stars.select("b")).distinct()
-    places = own.join(touched, F.col("ent") == F.col("t"), "left_semi").groupBy("ent").agg(F.min(F.struct("key", "line")).alias("at"))
-    asked = materialise(places.groupBy(F.col("at.key").alias("of")).agg(F.collect_list(F.struct("ent", F.col("at.line").alias("line"))).alias("asked")), "line-places")
-    lines = docs.select("key", "text").join(sized(asked, 64), F.col("key") == F.col("of")).select("text", "asked")
-    lines = materialise(lines.mapInArrow(_lines, "ent long, line binary, n long, sketch binary"), "line-texts")
+    places = own.groupBy("ent").agg(F.min(F.struct("doc", "of", "line", "tag")).alias("at")).join(touched, F.col("ent") == F.col("t"), "left_semi")
+    asked = materialise(places.groupBy(F.col("at.doc").alias("_doc"), F.col("at.of").alias("_of")).agg(F.collect_list(F.struct("ent", F.col("at.line").alias("line"), F.col("at.tag").alias("tag"))).alias("asked")), "line-places")
+    few = F.broadcast(asked) if _bytes_in(asked, "asked", 32) <= BROADCAST_BYTES else asked
+    lines = docs.join(few, docs["doc_id"].eqNullSafe(F.col("_doc")) & (docs["of"] == F.col("_of"))).select("text", "asked")
+    lines = materialise(lines.mapInArrow(_lines, "ent long, tag binary, line binary, n long, sketch binary"), "line-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda k: lines.select(F.col("ent").alias(f"e{k}"), F.col("line").alias(f"f{k}"))
@@ -240,29 +250,33 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
     links = materialise(verified(stars), "line-links")
     labels = K.components(links, "line-labels")
-    open_ = K.unsettled(members, labels).select(F.col("a").alias("key"), F.col("b").alias("ent"), "label")
-    more = materialise(verified(K.cross_pairs(open_, lines, lambda n: n + EDITS, lambda n, m: np.full(np.broadcast(n, m).shape, 2 * EDITS))), "line-links")
+    open_ = materialise(K.unsettled(members, labels).select(F.col("a").alias("key"), F.col("b").alias("ent"), "label"), "line-open")
+    more = materialise(verified(K.cross_pairs(open_, lines.withColumn("slack", F.lit(0)), lambda n: n + EDITS, lambda n, m: np.full(np.broadcast(n, m).shape, 2 * EDITS))), "line-links")
     if more.limit(1).count():
         labels = K.components(links.union(more), "line-labels")
-    return own.join(labels, F.col("ent") == F.col("node"), "left").select("key", "line", F.coalesce("label", "ent").alias("class"))
+    linked = labels.join(lines.select(F.col("ent").alias("node"), "tag"), "node").select(F.col("node").alias("ent"), "tag", "label")
+    named = K.spread(own, linked, F.struct("doc", "of", "line"), "line")
+    again = join_hot(own, named.select("ent", "tag", "rows", "first"), ["ent", "tag"], "rows")
+    return again.where(~F.struct("doc", "of", "line").eqNullSafe(F.col("first"))).select("doc", "of", "line")
+
+
+def _bytes_in(table_: DataFrame, column: str, bytes_each: int) -> int:
+    """Bytes that a table of one list a row takes."""
+    return 64 * table_.count() + bytes_each * (table_.agg(F.sum(F.size(column))).first()[0] or 0)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text cut, and n_lines, n_dropped, kept_sha256 beside it."""
-    docs = docs.drop("n_lines", "n_dropped", "kept_sha256", "key", "drop", "of")
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    occurrences = materialise(line_classes(keyed), "line-classes")
-    ids = keyed.select("key", "doc_id").dropDuplicates(["key"])
-    # the first occurrence of each class of several, by doc_id and line
-    several = occurrences.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("c"))
-    again = occurrences.join(several, F.col("class") == F.col("c"), "left_semi").join(ids, "key")
-    again = materialise(again, "line-again")
-    first = again.groupBy(F.col("class").alias("c")).agg(F.min(F.struct("doc_id", "key", "line")).alias("first"))
-    later = again.join(first, F.col("class") == F.col("c")).where((F.col("key") != F.col("first.key")) | (F.col("line") != F.col("first.line")))
-    drop = materialise(later.groupBy(F.col("key").alias("of")).agg(F.collect_set("line").alias("drop")), "line-drop")
-    out = keyed.join(sized(drop, 64), F.col("key") == F.col("of"), "left").drop("key", "of")
+    docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
+    drop, doc, of = (free_name(docs, x) for x in ("_drop", "_doc", "_of"))
+    later = line_repeats(docs)
+    gone = materialise(later.groupBy("doc", "of").agg(F.collect_set("line").alias(drop)), "line-drop")
+    size = _bytes_in(gone, drop, 4)
+    gone = gone.select(F.col("doc").alias(doc), F.col("of").alias(of), drop)
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
+    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[doc]) & (F.xxhash64(docs["text"]) == gone[of]), "left").drop(doc, of)
     schema = docs.drop("text").schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
-    return out.mapInArrow(_cut, schema).select(*docs.columns, "n_lines", "n_dropped", "kept_sha256")
+    return out.mapInArrow(_cut({"drop": drop}), schema).select(*docs.columns, "n_lines", "n_dropped", "kept_sha256")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ listed on the spot: a hot signature costs one entry a batch, not one a row.
 From the groups come star edges (least member to each other member), which are
 verified and turned into classes. A group whose members all belong to one class
 is settled; the members of the others are compared again, exactly, by the
-join's own second way, and only across classes.
+join's own second way, and only across classes. An entity's 64-bit name is
+checked by a second one (its tag) before two rows are called equal.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks_for, materialise, mix, partitions
+from .common import U64, blocks_for, join_hot, materialise, mix, partitions
 
 #: Bits of a signature in a payload; the highest one says that a batch listed more members itself.
 BITS = 39
@@ -224,13 +225,17 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
         return materialise(edges.select("a", "b").coalesce(1).mapInArrow(_union_find, "node long, label long"), name)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialise(both, f"{name}-edges")
+    degree = materialise(both.groupBy("b").agg(F.count("*").alias("degree")), f"{name}-degrees")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), name)
     while True:
-        told = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(told, labels["node"] == told["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("jump"))
-        new = new.join(up, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        new = materialise(new, name)
+        # a hub has many edges, and a large class many nodes: both joins keep such keys out of one task
+        facts = materialise(degree.join(labels.withColumnRenamed("node", "b"), "b"), f"{name}-told")
+        told = join_hot(both, facts, ["b"], "degree").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = labels.join(told, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        new = materialise(new, f"{name}-near")
+        sizes = new.groupBy("label").agg(F.count("*").alias("nodes"))
+        roots = materialise(sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("jump")), "label"), f"{name}-roots")
+        new = materialise(join_hot(new, roots, ["label"], "nodes", "left").select("node", "old", F.least("label", F.coalesce("jump", "label")).alias("label")), name)
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
@@ -238,16 +243,25 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Entities in groups that hold more than one class: group a, entity b and its label, each once."""
+    """Members of groups that hold more than one class: group a, entity b and its label, each once."""
     named = groups.distinct().join(labels, groups["b"] == labels["node"], "left").select("a", "b", F.coalesce("label", "b").alias("label"))
-    mixed = named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("a").alias("gid"))
-    return named.join(mixed, named["a"] == mixed["gid"], "left_semi")
+    mixed = named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("a", "n")
+    return join_hot(named, materialise(mixed, "mixed-groups"), ["a"], "n").select("a", "b", "label")
 
 
-def mixed_groups(keyed: DataFrame) -> DataFrame:
-    """Rows (key, ent, label) of keys with more than one label."""
-    mixed = keyed.groupBy(F.col("key").alias("_key")).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return keyed.join(mixed, F.col("key") == F.col("_key"), "left_semi")
+def center_pairs(keyed: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Star edges inside keys of several labels, from each member to its key's centre, where their labels differ.
+
+    keyed: key, ent, label. The centre of a key is the member with the least
+    score (scores: ent, score; the least hash if there are none): two edges a
+    member at most, whatever the groups.
+    """
+    own = keyed if scores is None else keyed.join(scores, "ent", "left")
+    place = F.struct(F.lit(0) if scores is None else F.coalesce("score", F.lit(0)), F.xxhash64("ent"), F.col("ent"), F.col("label"))
+    centre = own.groupBy("key").agg(F.min(place).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    centre = materialise(centre.select("key", "n", F.col("c.ent").alias("centre"), F.col("c.label").alias("of")), "centres")
+    e = join_hot(keyed, centre, ["key"], "n").where("label <> of").groupBy("ent").agg(F.min("centre").alias("c1"), F.min_by("centre", F.xxhash64("centre")).alias("c2"))
+    return e.select(F.col("ent").alias("b"), F.explode(F.array_distinct(F.array("c1", "c2"))).alias("a")).select("a", "b")
 
 
 def _folded(sketch: list[bytes], most: int = 64) -> np.ndarray:
@@ -256,55 +270,115 @@ def _folded(sketch: list[bytes], most: int = 64) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint8).reshape(-1, width).sum(0, dtype=np.int32) for x in sketch]).astype(np.int16)
 
 
-def cross_pairs(keyed: DataFrame, facts: DataFrame, reach: Callable, bound: Callable, exact: Callable | None = None) -> DataFrame:
-    """Distinct pairs a-b of different labels within a key that may be linked, by sketches; keyed: key, ent, label, facts: ent, n, sketch.
+#: Members of a key that one unit of comparison holds on either side; larger keys are cut into several units.
+BLOCK_MEMBERS = 2048
+#: Orders of keys that name the one key under which a pair is given.
+_ORDERS = (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x5851F42D4C957F2D, 0x369DEA0F31A53F85, 0x7A6D76E9E3E0B6A3, 0x02B6C1F5A9D83E47, 0x4C15F2E1B7A96D0B, 0x61E9A53C0D7F4B29)
 
-    Keys whose members share one label are dropped first. The members of a key
-    are compared in numpy, a block of rows at a time, sorted by size: reach(n)
-    is the largest size worth comparing, bound(n, m) the most by which folded
-    sketches may differ (a sketch with a full bin always passes), and exact, if
-    given, looks at the pair's two members again. Only pairs that pass leave.
+
+def cross_pairs(keyed: DataFrame, facts: DataFrame, reach: Callable, bound: Callable, exact: Callable | None = None) -> DataFrame:
+    """Distinct pairs a-b of different labels within a key that may be linked, by sketches; keyed: key, ent, label, facts: ent, n, sketch, slack.
+
+    Keys whose members share one label are dropped first. In the others, members
+    that are not of the key's largest class are compared with all members, in
+    units of BLOCK_MEMBERS on either side, in numpy: reach(n) is the largest
+    size worth comparing, bound(n, m) the most by which folded sketches may
+    differ, less the slack of both members (what each has that no other member
+    of any key has; a sketch with a full bin counts as no difference), and
+    exact, if given, looks at the pair's two sketches again. Only pairs that
+    pass leave, and mostly once: each entity carries the first of its keys in eight orders, and a pair
+    whose entities agree on a first key is given under that key alone.
     """
 
-    def across(group: list[tuple]) -> tuple[list[int], list[int]]:
-        group.sort(key=lambda x: (x[2], x[0]))
-        label, n = np.array([x[1] for x in group]), np.array([x[2] for x in group])
-        flat = _folded([x[3] for x in group])
-        full = np.array([max(x[3]) == 255 for x in group])
-        last = np.searchsorted(n, reach(n), side="right")
-        step = max(1, 2_000_000 // (len(group) * flat.shape[1]))
+    def across(key: int, probe: list[tuple], build: list[tuple]) -> tuple[list[int], list[int]]:
+        build.sort(key=lambda x: (x[2], x[0]))
+        ent = [np.array([x[0] for x in g], np.int64) for g in (probe, build)]
+        label = [np.array([x[1] for x in g], np.int64) for g in (probe, build)]
+        n = [np.array([x[2] for x in g], np.int64) for g in (probe, build)]
+        flat = _folded([x[3] for x in probe] + [x[3] for x in build])
+        flat = flat[: len(probe)], flat[len(probe) :]
+        full = [np.array([max(x[3]) == 255 for x in g]) for g in (probe, build)]
+        slack = [np.array([x[4] for x in g], np.int64) for g in (probe, build)]
+        first = [np.array([x[6:] for x in g], np.int64) for g in (probe, build)]
+        minor = np.array([x[5] for x in build])
+        step = max(1, 2_000_000 // (len(build) * flat[0].shape[1]))
         out_a, out_b = [], []
-        for s in range(0, len(group), step):
-            e = min(len(group), s + step)
-            to = int(last[e - 1])
-            apart = np.abs(flat[s:e, None] - flat[None, s:to]).sum(2, dtype=np.int32)
-            at = np.arange(s, to)
-            ok = (at[None] > np.arange(s, e)[:, None]) & (at[None] < last[s:e, None]) & (label[s:e, None] != label[None, s:to])
-            ok &= (apart <= bound(n[s:e, None], n[None, s:to])) | full[s:e, None] | full[None, s:to]
+        for s in range(0, len(probe), step):
+            at = slice(s, min(len(probe), s + step))
+            low, high = np.minimum(n[0][at, None], n[1][None]), np.maximum(n[0][at, None], n[1][None])
+            # two members outside the largest class meet twice; the smaller one's turn counts
+            ok = (label[0][at, None] != label[1][None]) & (high <= reach(low)) & (~minor[None] | (ent[0][at, None] < ent[1][None]))
+            owned, open_ = np.zeros(ok.shape, bool), ok.copy()
+            for k, order in enumerate(_ORDERS):
+                same = open_ & (first[0][at, None, k] == first[1][None, :, k])
+                owned |= same & (first[0][at, None, k] == (key ^ order))
+                open_ &= ~same
+            ok &= owned | open_
+            some = np.flatnonzero(ok.any(0))
+            if not len(some):
+                continue
+            apart = np.abs(flat[0][at, None] - flat[1][None, some]).sum(2, dtype=np.int32)
+            apart[full[0][at, None] | full[1][None, some]] = 0
+            left = bound(n[0][at, None], n[1][None, some]) - slack[0][at, None] - slack[1][None, some]
+            ok = ok[:, some] & (apart <= left)
             for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = group[s + i], group[s + j]
-                if exact is None or exact(x, y):
+                x, y = probe[s + i], build[some[j]]
+                if exact is None or exact(x[3], y[3]) <= left[i, j]:
                     out_a.append(min(x[0], y[0]))
                     out_b.append(max(x[0], y[0]))
         return out_a, out_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
+        at, probe, build = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(group) > 1 and len({x[1] for x in group}) > 1:
-                a, b = across(group)
+            if probe and build:
+                a, b = across(at[0], probe, build)
                 if a:
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for key, *member in zip(*(batch.column(c).to_pylist() for c in ("key", "ent", "label", "n", "sketch")), strict=True):
-                if key != at:
+            for key, i, j, asks, answers, *member in zip(*(batch.column(c).to_pylist() for c in _UNIT), strict=True):
+                if (key, i, j) != at:
                     yield from close()
-                    at, group = key, []
-                group.append(tuple(member))
+                    at, probe, build = (key, i, j), [], []
+                if asks:
+                    probe.append(tuple(member))
+                if answers:
+                    build.append(tuple(member))
         yield from close()
 
-    rows_ = mixed_groups(keyed).join(facts.select("ent", "n", "sketch"), "ent").select("key", "ent", "label", "n", "sketch")
-    dealt = rows_.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    by_label = keyed.groupBy("key", "label").agg(F.count("*").alias("c"))
+    stats = by_label.groupBy("key").agg(F.max_by("label", "c").alias("top"), F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    stats = materialise(stats.select("key", "top", "n", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("gb"), F.ceil((F.col("n") - F.col("most")) / BLOCK_MEMBERS).alias("gp")), "cross-keys")
+    own = join_hot(keyed, stats, ["key"], "n").withColumn("minor", F.col("label") != F.col("top"))
+    own = materialise(own, "cross-members")
+    firsts = own.groupBy("ent").agg(*[F.min(F.col("key").bitwiseXOR(F.lit(order))).alias(f"m{k}") for k, order in enumerate(_ORDERS)])
+    own = own.join(firsts.join(facts.select("ent", "n", "sketch", "slack"), "ent"), "ent")
+    zero, to = F.lit(0).cast("long"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    chunk = lambda c: F.pmod(F.xxhash64("ent"), F.col(c))
+    one = (F.col("gb") == 1) & (F.col("gp") == 1)
+    units = own.where(one).withColumns({"i": zero, "j": zero, "asks": F.col("minor"), "answers": F.lit(True)})
+    builds = own.where(~one).withColumns({"i": to("gp"), "j": chunk("gb"), "asks": F.lit(False), "answers": F.lit(True)})
+    probes = own.where(~one & F.col("minor")).withColumns({"i": chunk("gp"), "j": to("gb"), "asks": F.lit(True), "answers": F.lit(False)})
+    dealt = units.unionByName(builds).unionByName(probes).select(*_UNIT).repartition(partitions(keyed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+_UNIT = ["key", "i", "j", "asks", "answers", "ent", "label", "n", "sketch", "slack", "minor", *(f"m{k}" for k in range(len(_ORDERS)))]
+
+
+def spread(own: DataFrame, linked: DataFrame, place: Column, name: str) -> DataFrame:
+    """ent, tag, rows, first, total: for every distinct (ent, tag) of own, the least place and the rows of its class.
+
+    An entity is what (ent, tag) says: two that share ent by chance differ in
+    tag and stay apart. linked: ent, tag, label of the linked ones. Rows are
+    counted before anything is joined, so that no key is hot but for classes of
+    many distinct entities, which join_hot spreads.
+    """
+    distinct = own.groupBy("ent", "tag").agg(F.count("*").alias("rows"), F.min(place).alias("at"))
+    c2 = F.when(F.col("label").isNull(), F.col("tag"))
+    classed = distinct.join(linked, ["ent", "tag"], "left").withColumns({"c1": F.coalesce("label", "ent"), "c2": F.coalesce(c2, F.lit(b""))}).drop("label")
+    classed = materialise(classed, f"{name}-distinct")
+    classes = classed.groupBy("c1", "c2").agg(F.min("at").alias("first"), F.sum("rows").alias("total"), F.count("*").alias("members")).where("total > 1")
+    return materialise(join_hot(classed, materialise(classes, f"{name}-classes"), ["c1", "c2"], "members").select("ent", "tag", "rows", "first", "total"), f"{name}-named")

@@ -16,13 +16,17 @@ then): two sets with J >= 0.8 share a feature among the rarest
 n - ceil(0.8 n) + 1 of either; rarity is counted over the sets that take part,
 and any fixed order is correct.
 
-Equal sets are one entity from the start, so exact copies cost one entry.
+Equal sets are one entity from the start, so exact copies cost one entry. They
+are equal if two independent 64-bit numbers are; words are named by 64-bit
+hashes without patterns that meet, shingles by those of their words.
 
 Defined results: null or empty texts, and texts of white space, have an empty
 set and stay alone; texts of fewer than five words have one shingle, the whole
 sequence; repeated rows get the class of their set; a null doc_id keeps its row
-and takes part, but names no class unless all of it are null; an empty table
-gives an empty result; extra columns are ignored.
+and takes part, but names no class unless all of it are null; a very long text
+is one set like any other; the smallest doc_id names a class, so ties cannot
+differ between runs; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linkage as K
-from .common import U64, hash_sample, materialise, mix, mix_int, partitions, pieces, prefix_hash, sized, span_hash, table, text_buffer, text_totals
+from .common import BATCH_ROWS, U64, hash_sample, join_hot, materialise, mix, mix_int, partitions, pieces, sized, strong_hash, table, text_buffer, text_totals
 
 #: Words of a shingle; similarity is at least NUMERATOR / DENOMINATOR.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -64,7 +68,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     edge[offsets] = True
     starts = np.flatnonzero(inside & np.r_[True, ~inside[:-1] | edge[1:-1]][: len(buf)])
     ends = np.flatnonzero(inside & np.r_[~inside[1:] | edge[1:-1], True][-len(buf) :]) + 1 if len(buf) else starts
-    return span_hash(prefix_hash(buf), starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+    return strong_hash(buf, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +108,19 @@ def _short(h: np.ndarray) -> int:
     return x
 
 
-def set_ids(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+def set_ids(values: np.ndarray, cut: np.ndarray, seed: int = 0xA5A5A5A5DEADBEEF) -> np.ndarray:
     """One 64-bit number for each set: equal sets, equal numbers."""
     total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values ^ U64(0xA5A5A5A5DEADBEEF)), out=total[1:])
+    np.cumsum(mix(values ^ U64(seed)), out=total[1:])
     n = np.diff(cut).astype(np.uint64)
     return np.where(n > 0, mix(total[cut[1:]] - total[cut[:-1]] + n * U64(0xC2B2AE3D27D4EB4F)), U64(0))
 
 
+def set_tags(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """A second, independent number for each set, checked before two sets are called equal."""
+    return [x.tobytes() for x in set_ids(values, cut, 0x3C79AC492BA7B653)]
+
+
 def most_different(a, b) -> int:
     """Most features in which sets of sizes a and b with J >= 0.8 differ: (1 - J) / (1 + J) of a + b."""
     return (a + b) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
@@ -228,7 +237,7 @@ def _sign(buckets: int, frequent: np.ndarray):
                 yield pa.record_batch(
                     [
                         pa.array(np.full(e - s, K.OWN, np.int32)), pa.array(failed.astype(np.int32)), batch.column("doc_id").slice(s, e - s).cast(pa.int64()),
-                        pa.array(ids.view(np.int64)), pa.array(np.diff(cut)), pa.array(sketches(values, cut), pa.binary()),
+                        pa.array(ids.view(np.int64)), pa.array(np.diff(cut)), pa.array([t + x for t, x in zip(set_tags(values, cut), sketches(values, cut), strict=True)], pa.binary()),
                     ],
                     schema=K.ROWS,
                 )
@@ -247,11 +256,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ent, n, features (sorted 64-bit numbers) of the texts whose set is the one asked for."""
     for batch in batches:
         buf, offsets = text_buffer(batch.column("text"))
-        asked = batch.column("ent").to_numpy()
+        asked, tags = batch.column("ent").to_numpy(), batch.column("tag").to_pylist()
         for s, e in pieces(offsets, _CHUNK):
             values, cut = shingle_sets(buf[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
             ids = set_ids(values, cut).view(np.int64)
-            right = np.flatnonzero(ids == asked[s:e])
+            right = np.flatnonzero((ids == asked[s:e]) & np.array([x == y for x, y in zip(set_tags(values, cut), tags[s:e], strict=True)], bool))
             yield pa.record_batch([pa.array(ids[right]), pa.array(np.diff(cut)[right]), pa.array([values[cut[d] : cut[d + 1]].tobytes() for d in right], pa.binary())], names=["ent", "n", "features"])
 
 
@@ -315,107 +324,124 @@ def frequent_features(docs: DataFrame, n_docs: int) -> np.ndarray:
 #: A feature that this many sets of one Arrow batch share counts as common; common ones come last in every order.
 COMMON = 16
 _HIGHEST = np.uint32(0xFFFFFFFF)
+#: Stands for no set of a batch; a batch has at most BATCH_ROWS sets.
+_NO_SET = np.uint16(0xFFFF)
+assert BATCH_ROWS < _NO_SET
 
 
 def _features(buckets: int):
-    """All features of sets by bucket; a set's size and its common features, of which only a flag travels, stay in one OWN row."""
+    """All features of a batch's sets by bucket, a set being a number within its batch; sizes and common features stay in one OWN row.
+
+    A batch is named by its first set. Of a common feature only a flag travels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in batch.column("features")]
-            ent = np.repeat(batch.column("ent").to_numpy().view(np.uint64), list(map(len, sets)))
+            ents = batch.column("ent").to_numpy().view(np.uint64)
+            name, size = ents[:1], np.array(list(map(len, sets)), np.uint32)
+            who = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
             bucket, low = K.split(mix(np.concatenate(sets)), buckets)
             order = np.lexsort((low, bucket))
-            bucket, low, ent = bucket[order], low[order], ent[order]
+            bucket, low, who = bucket[order], low[order], who[order]
             first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])])
             count = np.diff(np.r_[first, len(low)])
             common = np.repeat(count >= COMMON, count)
-            ids, who = (bucket[common] << U64(40)) | low[common], ent[common]
-            order = np.argsort(who, kind="stable")
-            ids, who = ids[order], who[order]
-            names = batch.column("ent").to_numpy().view(np.uint64)
-            s, e = np.searchsorted(who, names), np.searchsorted(who, names, side="right")
-            yield K.rows(K.OWN, b=names, n=np.array(list(map(len, sets)), np.int64), payload=[ids[i:j].tobytes() + np.full(j - i, _HIGHEST).tobytes() for i, j in zip(s, e, strict=True)])
+            own = (bucket[common] << U64(40)) | low[common]
+            yield K.rows(K.OWN, a=name, n=len(sets), payload=[ents.tobytes() + size.tobytes() + who[common].tobytes() + own.tobytes()])
             flags = first[count >= COMMON]
-            yield K.pack_lists(np.r_[bucket[~common], bucket[flags]], np.r_[low[~common], low[flags] | K._FLAG], np.r_[ent[~common], np.zeros(len(flags), np.uint64)])
+            bucket = np.r_[bucket[~common], bucket[flags]]
+            who, low = np.r_[who[~common], np.full(len(flags), _NO_SET)], np.r_[low[~common], low[flags]]
+            order = np.argsort(bucket, kind="stable")
+            bucket, who, low = bucket[order], who[order], low[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            yield K.rows(K.PAYLOAD, bucket=bucket[cut].astype(np.int32), payload=[name.tobytes() + who[i:j].tobytes() + np.ascontiguousarray(low[i:j].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for i, j in zip(cut, np.r_[cut[1:], len(bucket)], strict=True)])
 
     return run
 
 
 def _frequencies(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Per set: its features in this bucket that other sets have too, with their frequency."""
-    parts = [K.unpack(p) for p in payloads]
-    low, ent = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    sig, flag = low & K._LOW, low >= K._FLAG
-    order = np.lexsort((ent, sig))
-    sig, ent, flag = sig[order], ent[order], flag[order]
-    one = np.r_[True, (sig[1:] != sig[:-1]) | (ent[1:] != ent[:-1])]  # a set that came twice counts once
-    sig, ent, flag = sig[one], ent[one], flag[one]
-    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    count = np.diff(np.r_[first, len(sig)])
-    often = np.where(np.logical_or.reduceat(flag, first), _HIGHEST, count.astype(np.uint32))
-    often = np.repeat(often, count)
-    real = (ent != 0) & (often > 1)
-    sig, ent, often = sig[real], ent[real], often[real]
-    if not len(ent):
-        return
-    order = np.argsort(ent, kind="stable")
-    sig, ent, often = (U64(bucket) << U64(40)) | sig[order], ent[order], often[order]
-    cut = np.flatnonzero(np.r_[True, ent[1:] != ent[:-1]])
-    yield K.rows(K.OWN, b=ent[cut], n=np.zeros(len(cut), np.int64), payload=[sig[s:e].tobytes() + often[s:e].tobytes() for s, e in zip(cut, np.r_[cut[1:], len(ent)], strict=True)])
+    """Per batch, one row: its features in this bucket that other sets have too, with their frequency."""
+    size = np.array([(len(p) - 8) // 7 for p in payloads])
+    who = np.concatenate([np.frombuffer(p, np.uint16, n, 8) for p, n in zip(payloads, size, strict=True)])
+    wide = np.zeros((len(who), 8), np.uint8)
+    wide[:, :5] = np.concatenate([np.frombuffer(p, np.uint8, 5 * n, 8 + 2 * n) for p, n in zip(payloads, size, strict=True)]).reshape(-1, 5)
+    low = wide.view(np.uint64).ravel()
+    of = np.repeat(np.arange(len(payloads)), size)
+    order = np.argsort(low, kind="stable")
+    who, low, of = who[order], low[order], of[order]
+    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    count = np.diff(np.r_[first, len(low)])
+    often = np.repeat(np.where(np.logical_or.reduceat(who == _NO_SET, first), _HIGHEST, count.astype(np.uint32)), count)
+    real = (who != _NO_SET) & (often > 1)
+    who, often, of, ids = who[real], often[real], of[real], (U64(bucket) << U64(40)) | low[real]
+    order = np.argsort(of, kind="stable")
+    who, often, of, ids = who[order], often[order], of[order], ids[order]
+    cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+    names, out = [], []
+    for i, j in zip(cut, np.r_[cut[1:], len(of)], strict=True) if len(of) else ():
+        names.append(np.frombuffer(payloads[of[i]], np.uint64, 1)[0])
+        out.append(who[i:j].tobytes() + often[i:j].tobytes() + ids[i:j].tobytes())
+    if names:
+        yield K.rows(K.OWN, a=np.array(names, np.uint64), n=np.zeros(len(names), np.int64), payload=out)
 
 
 def _rarest(buckets: int):
-    """Rows of a partition sorted by set -> signatures of each set's rarest shared features within its prefix."""
+    """Rows of a partition sorted by batch -> signatures of each set's rarest shared features within its prefix, and its share of features that no other set has."""
+
+    def solve(count: int, head: bytes, told: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ents, size = np.frombuffer(head, np.uint64, count), np.frombuffer(head, np.uint32, count, 8 * count).astype(np.int64)
+        n = (len(head) - 12 * count) // 10
+        who, ids, often = [np.frombuffer(head, np.uint16, n, 12 * count)], [np.frombuffer(head, np.uint64, n, 12 * count + 2 * n)], [np.full(n, _HIGHEST)]
+        for p in told:
+            n = len(p) // 14
+            who.append(np.frombuffer(p, np.uint16, n))
+            often.append(np.frombuffer(p, np.uint32, n, 2 * n))
+            ids.append(np.frombuffer(p, np.uint64, n, 6 * n))
+        who, ids, often = np.concatenate(who), np.concatenate(ids), np.concatenate(often)
+        order = np.lexsort((ids, often, who))
+        who, ids = who[order], ids[order]
+        shared = np.bincount(who, minlength=count)
+        # features that a set has alone are rarer than all others
+        keep = size - -(-NUMERATOR * size // DENOMINATOR) + 1 - (size - shared)
+        rank = np.arange(len(who)) - np.repeat(np.r_[0, np.cumsum(shared)[:-1]], shared)
+        near = rank < keep[who]
+        order = np.lexsort((ids, who))
+        yield K.rows(K.OWN, a=size, b=ents, n=size - shared, payload=sketches(mix(ids[order]), np.r_[0, np.cumsum(shared)]))
+        yield from K.pack_signatures(mix(ids[near]), ents[who[near]], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ents = [], []
-        at, n, held = None, 0, []
-
-        def close() -> None:
-            ids = np.concatenate([np.frombuffer(p, np.uint64, len(p) // 12) for p in held])
-            often = np.concatenate([np.frombuffer(p, np.uint32, len(p) // 12, len(p) // 12 * 8) for p in held])
-            ids, one = np.unique(ids, return_index=True)
-            often = often[one]
-            # features that the set has alone are rarer than all others
-            keep = n - -(-NUMERATOR * n // DENOMINATOR) + 1 - (n - len(ids))
-            if keep <= 0 or not len(ids):
-                return
-            keys.append(mix(ids[np.lexsort((ids, often))[:keep]]))
-            ents.append(np.full(len(keys[-1]), at & 0xFFFFFFFFFFFFFFFF, np.uint64))
-
+        at, count, head, told = None, 0, None, []
         for batch in batches:
-            for ent, size, payload in zip(batch.column("b").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if ent != at:
-                    if at is not None:
-                        close()
-                    at, n, held = ent, 0, []
-                n = max(n, size)
-                held.append(payload)
-            if sum(map(len, keys)) > 600_000:
-                yield from K.pack_signatures(np.concatenate(keys), np.concatenate(ents), buckets)
-                keys.clear()
-                ents.clear()
-        if at is not None:
-            close()
-        if keys:
-            yield from K.pack_signatures(np.concatenate(keys), np.concatenate(ents), buckets)
+            for name, n, payload in zip(batch.column("a").to_pylist(), batch.column("n").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if name != at:
+                    if head is not None:
+                        yield from solve(count, head, told)
+                    at, head, told = name, None, []
+                if n:
+                    count, head = n, payload
+                else:
+                    told.append(payload)
+        if head is not None:
+            yield from solve(count, head, told)
 
     return run
 
 
 def rare_groups(sets: DataFrame, buckets: int) -> DataFrame:
-    """MEMBER and EDGE rows of sets that share one of the rarest features of either.
+    """MEMBER and EDGE rows of sets that share one of the rarest features of either, and an OWN row a set: a its size, n the features that it has alone, payload a sketch of the others.
 
-    Features are ordered by their frequency among the given sets, common ones
-    last, ties by number. Features that a set has alone come first and make no
-    group, so sets that only share passages never meet.
+    sets is a written table, each set once. Features are ordered by their
+    frequency among the given sets, common ones last, ties by number. Features
+    that a set has alone come first and make no group, so sets that only share
+    passages never meet. Frequencies come back as one row for a batch of sets
+    and a bucket of features.
     """
     counted = K.by_bucket(sets.select("ent", "features").mapInArrow(_features(buckets), K.ROWS_DDL)).mapInArrow(K.each_bucket(_frequencies), K.ROWS_DDL)
-    by_set = counted.repartition(partitions(sets.sparkSession), "b").sortWithinPartitions("b")
-    return K.exchange(by_set.mapInArrow(_rarest(buckets), K.ROWS_DDL), "ngram-prefixes")
+    by_batch = counted.repartition(partitions(sets.sparkSession), "a").sortWithinPartitions("a")
+    return K.exchange(by_batch.mapInArrow(_rarest(buckets), K.ROWS_DDL), "ngram-prefixes")
 
 
 def _sketched(pairs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -442,39 +468,50 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     size, n_docs = text_totals(docs)
     known = frequent_features(docs, n_docs)
     found = K.exchange(docs.mapInArrow(_sign(K.bucket_count(size // 2, docs), known), K.ROWS_DDL), "ngrams")
-    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.col("payload").alias("sketch"))
+    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.substring("payload", 1, 8).alias("tag"), F.expr("substring(payload, 9)").alias("sketch"))
     members = found.where(F.col("kind") == K.MEMBER).select("a", "b")
     stars = K.star_pairs(found)
-    entities = own.where("n > 0").groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max("failed").alias("failed"), F.min("doc_id").alias("doc_id"))
+    # of two sets that share a name by chance, the one with the smaller tag is looked at
+    entities = own.where("n > 0").groupBy("ent").agg(F.min(F.struct("tag", "doc_id", "n", "failed", "sketch")).alias("x")).select("ent", "x.*")
     entities = materialise(entities, "ngram-entities")
     close = materialise(_sketched(stars, entities), "ngram-pairs")
     touched = close.select(F.col("a").alias("t")).union(close.select("b")).union(members.select("b")).union(entities.where("failed > 0").select("ent")).distinct()
-    asked = entities.join(touched, F.col("ent") == F.col("t"), "left_semi").select("ent", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    asked = entities.join(touched, F.col("ent") == F.col("t"), "left_semi").select("ent", "tag", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     asked = materialise(asked, "ngram-asked")
-    texts = docs.join(sized(asked, 16), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == asked["id"]).select("ent", "text")
+    texts = docs.join(sized(asked, 32), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == asked["id"]).select("ent", "tag", "text")
     # where doc_ids repeat a set may come twice, which only repeats links
     sets = materialise(texts.mapInArrow(_sets, "ent long, n long, features binary"), "ngram-sets")
     links = materialise(_verified(close, sets), "ngram-links")
     labels = K.components(links, "ngram-labels")
     # groups that are not of one class, and flagged sets, by the exact second way: stars first, then pairs across classes
     rest = K.unsettled(members, labels).select(F.col("b").alias("ent")).union(entities.where("failed > 0").select("ent")).distinct()
-    rest = materialise(rest, "ngram-open")
-    left = sets.join(sized(rest, 16), "ent", "left_semi")
+    left = sets.join(sized(materialise(rest, "ngram-open"), 16), "ent", "left_semi").dropDuplicates(["ent"])
+    left = materialise(left, "ngram-left")
     prefixes = rare_groups(left, K.bucket_count(int(left.agg(F.sum("n")).first()[0] or 0) * 8, docs))
-    again = materialise(_sketched(K.star_pairs(prefixes), entities), "ngram-pairs")
-    links = links.union(materialise(_verified(again, sets), "ngram-links"))
-    labels = K.components(links, "ngram-labels")
-    keyed = prefixes.where(F.col("kind") == K.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("ent")).distinct().join(labels, F.col("ent") == F.col("node"), "left").select("key", "ent", F.coalesce("label", "ent").alias("label"))
+    alone = prefixes.where(F.col("kind") == K.OWN).select(F.col("b").alias("ent"), F.col("a").alias("n"), F.col("n").alias("slack"), F.col("payload").alias("sketch"))
+    groups = materialise(prefixes.where(F.col("kind") == K.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("ent")).distinct(), "ngram-keys")
+    named = lambda: groups.join(labels, F.col("ent") == F.col("node"), "left").select("key", "ent", F.coalesce("label", "ent").alias("label"))
+    # a group's centre is the set with the least of its own: what the others were made from, if anything was
+    while True:
+        stars = materialise(_sketched(K.center_pairs(named(), alone.select("ent", (F.col("slack") / F.col("n")).alias("score"))), entities), "ngram-pairs")
+        found_ = materialise(_verified(stars, sets), "ngram-links")
+        new = found_.count()
+        if new:
+            links = links.union(found_)
+            labels = K.components(links, "ngram-labels")
+        if 2 * new < stars.count() or not new:
+            break
     reach = lambda n: n * DENOMINATOR // NUMERATOR
-    exact = lambda x, y: _least_apart(x[3], y[3]) <= most_different(x[2], y[2])
-    across = materialise(K.cross_pairs(keyed, entities, reach, most_different, exact), "ngram-pairs")
+    across = materialise(K.cross_pairs(named(), alone, reach, most_different, _least_apart), "ngram-pairs")
     more = materialise(_verified(across, sets), "ngram-links")
     if more.limit(1).count():
         labels = K.components(links.union(more), "ngram-labels")
-    named = own.select("doc_id", "ent", "n").join(labels, F.col("ent") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "ent")).alias("label"))
-    least = named.where("n > 0").groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component"))
-    out = named.join(least, F.col("label") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = labels.join(entities.select(F.col("ent").alias("node"), "tag"), "node").select(F.col("node").alias("ent"), "tag", "label")
+    some = own.where("n > 0").select("doc_id", "ent", "tag", "n")
+    facts = K.spread(some, linked, F.col("doc_id"), "ngram").select("ent", "tag", "rows", "first")
+    component = F.coalesce("first", "doc_id").alias("component_id")
+    out = join_hot(some, facts, ["ent", "tag"], "rows", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+    return out.union(own.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

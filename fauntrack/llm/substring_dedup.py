@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, blocks_for, partitions, pieces, powers, prefix_hash, mix, table, text_buffer, text_bytes
+from .common import U64, blocks_for, partitions, pieces, powers, prefix_hash, mix, strong_hash, table, text_buffer, text_bytes
 from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a repeated string, and of the strings whose hashes name anchors.
@@ -259,9 +259,8 @@ def _context_hash(buf: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarra
     size = hi + LENGTH - lo
     start = np.r_[0, np.cumsum(size)]
     part = buf[np.repeat(lo - start[:-1], size) + np.arange(start[-1])]
-    prefix = prefix_hash(part, seed=23)
-    _, down = powers(len(prefix))
-    return mix((prefix[start[1:]] - prefix[start[:-1]]) * down[start[:-1]] + mix((size * 256 + at - lo).astype(np.uint64)))
+    # equality is concluded from this name and the anchor's hash together, so it must not meet by pattern
+    return mix(strong_hash(part, start[:-1], start[1:], seed=23) + mix((size * 256 + at - lo).astype(np.uint64)))
 
 
 def repeated_windows(context_bytes: np.ndarray, size: np.ndarray) -> np.ndarray:
