@@ -7,15 +7,18 @@ density, and the best container is kept with the siblings that score close to
 it. All remaining blocks of what is kept come out in page order.
 
 Defined results: a null or empty page, and a page without text, give an empty
-text; broken markup (unclosed or stray tags, a cut tail) never raises; repeated
-rows are extracted one by one; an empty table gives an empty result; other
-columns than page_id, url and html are ignored.
+text; broken markup (unclosed or stray tags, a cut tail) never raises; a very
+long or deeply nested page takes work in proportion to its length; of
+containers with equal scores the first to hold text wins; repeated rows are
+extracted one by one; a null page_id or url is kept; an empty table gives an
+empty result; other columns than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,14 +55,17 @@ _COMMAS = re.compile("[,，、،､﹐︐⹁⸴⸲]")
 
 # Fixed weights of the scoring.
 POINT_CHARS, MOST_LENGTH_POINTS, SIBLING_SHARE = 100, 3, 0.2
+#: Levels above a paragraph's container that still get points (the last one about a fiftieth), so that work is linear in depth.
+SCORE_LEVELS = 16
 
 
 class _Node:
-    __slots__ = ("attrs", "children", "cut", "most", "parent", "score", "tag")
+    __slots__ = ("attrs", "children", "cut", "inside", "kept", "most", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: _Node | None, attrs: str = "") -> None:
         self.tag, self.parent, self.attrs, self.children, self.score, self.cut = tag, parent, attrs, [], 0.0, False
-        self.most = False
+        self.most, self.kept = False, None
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
 
 def _words(attrs: str) -> tuple[set[str], dict[str, str]]:
@@ -104,10 +110,7 @@ def _is_cut(node: _Node) -> bool:
         return False
     if tag == "header":
         # a header inside the article holds its title; elsewhere it is page furniture
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None:
+        if not node.inside:
             return True
     if not node.attrs:
         return False
@@ -126,8 +129,17 @@ def parse(page: str) -> _Node:
     root = _Node("#root", None)
     at = root
     pos, n = 0, len(page)
-    depth = 0
     find = _TAG.search
+    open_: Counter[str] = Counter()  # how many elements of each tag are open: a stray end tag need not look for one
+
+    def close(to: _Node) -> _Node:
+        """Closes the elements from the current one up to, and without, `to`."""
+        up = at
+        while up is not to:
+            open_[up.tag] -= 1
+            up = up.parent
+        return to
+
     while pos < n:
         m = find(page, pos)
         if m is None:
@@ -145,6 +157,8 @@ def parse(page: str) -> _Node:
                 if tag == "br":
                     at.children.append(_Node("br", at))
                 continue
+            if not open_[tag]:
+                continue
             up = at
             while up is not root and up.tag != tag:
                 if up.tag in SCOPE and tag not in ("html", "body", "article", "table") and tag not in BLOCK:
@@ -152,24 +166,23 @@ def parse(page: str) -> _Node:
                     break
                 up = up.parent
             if up is not root:
-                at = up.parent
-                depth = 0 if at is root else depth
+                at = close(up.parent)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_["p"]:
             up = at
             while up is not root and up.tag != "p" and up.tag not in SCOPE and (up.tag not in BLOCK or up.tag == "p"):
                 up = up.parent
             if up.tag == "p":
-                at = up.parent
-        if tag in SAME:
+                at = close(up.parent)
+        if tag in SAME and any(open_[x] for x in SAME[tag]):
             up, fence = at, FENCES[tag]
-            close = None
+            last = None
             while up is not root and up.tag not in fence:
                 if up.tag in SAME[tag]:
-                    close = up
+                    last = up
                 up = up.parent
-            if close is not None:
-                at = close.parent
+            if last is not None:
+                at = close(last.parent)
         node = _Node(tag, at, m[3])
         at.children.append(node)
         if tag in VOID or (m[4] and tag in RAW):
@@ -179,6 +192,7 @@ def parse(page: str) -> _Node:
             pos = end.end() if end else n
             continue
         at = node
+        open_[tag] += 1
     return root
 
 
@@ -236,6 +250,27 @@ def _blocks(root: _Node) -> list[_Block]:
     return out
 
 
+def _share(level: int) -> float:
+    """The share of a paragraph's points that the container `level` levels above its own gets."""
+    return 1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level)
+
+
+def _from_leaves(holders: dict[int, _Node], root: _Node) -> list[_Node]:
+    """The nodes that hold text, each before its ancestors."""
+    seen: dict[int, _Node] = {}
+    children: dict[int, list[_Node]] = {}
+    for node in holders.values():
+        while node is not None and id(node) not in seen:
+            seen[id(node)] = node
+            if node.parent is not None:
+                children.setdefault(id(node.parent), []).append(node)
+            node = node.parent
+    order = [root]
+    for node in order:  # grows meanwhile
+        order += children.get(id(node), ())
+    return order[::-1]
+
+
 def extract(page: str | None) -> str:
     """The main text of one page, one line per block."""
     if not page:
@@ -249,24 +284,41 @@ def extract(page: str | None) -> str:
             texts.append((b, text))
     if not texts:
         return ""
-    chars: dict[int, list[int]] = {}
-    scored: dict[int, _Node] = {}
+    chars: dict[int, list[int]] = {}  # characters, and those in links, of each node that holds text: of its own first
+    own: dict[int, float] = {}  # points that paragraphs pass to their container
+    holders: dict[int, _Node] = {}
     for b, text in texts:
-        node, points, share = b.node, 1 + len(_COMMAS.findall(text)) + min(len(text) // POINT_CHARS, MOST_LENGTH_POINTS), 1.0
+        node, points = b.node, 1 + len(_COMMAS.findall(text)) + min(len(text) // POINT_CHARS, MOST_LENGTH_POINTS)
         points *= 1 - min(1.0, b.link / len(text))
         heading = node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        up, level = node if node.tag != "p" and not heading else node.parent, 0
-        counted = node
-        while counted is not None:
-            total = chars.setdefault(id(counted), [0, 0])
-            total[0] += len(text)
-            total[1] += min(len(text), b.link)
-            counted = counted.parent
-        while up is not None and up.tag != "#root" and not heading:
-            share = 1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level)
-            up.score += points * share
-            scored[id(up)] = up
-            up, level = up.parent, level + 1
+        total = chars.setdefault(id(node), [0, 0])
+        total[0] += len(text)
+        total[1] += min(len(text), b.link)
+        holders[id(node)] = node
+        if not heading:
+            up = node if node.tag != "p" else node.parent
+            own[id(up)] = own.get(id(up), 0.0) + points
+            holders[id(up)] = up
+    # one walk gives every node's number before its ancestors', so that totals pass upwards once; points fall with the levels
+    order = _from_leaves(holders, root)
+    scored: dict[int, _Node] = {}
+    passed: dict[int, list[float]] = {}
+    for node in order:
+        total = chars.setdefault(id(node), [0, 0])
+        at = [own.get(id(node), 0.0), *passed.pop(id(node), [])][:SCORE_LEVELS]
+        if node.tag != "#root":
+            node.score = sum(x * _share(k) for k, x in enumerate(at))
+            if any(at):
+                scored[id(node)] = node
+        if node.parent is not None:
+            above = chars.setdefault(id(node.parent), [0, 0])
+            above[0] += total[0]
+            above[1] += total[1]
+            told = passed.setdefault(id(node.parent), [0.0] * SCORE_LEVELS)
+            for k, x in enumerate(at):
+                if k < SCORE_LEVELS:
+                    told[k] += x
+
     def rank(x: _Node) -> float:
         total, link = chars[id(x)]
         bonus = 25.0 if x.tag in ("article", "main") else 0.0
@@ -301,10 +353,17 @@ def extract(page: str | None) -> str:
         kept |= {id(x) for x in best.parent.children if not isinstance(x, str) and x.tag == best.tag and id(x) in scored and rank(x) >= SIBLING_SHARE * rank(best)}
     out = []
     for b, text in texts:
-        up = b.node
-        while up is not None and id(up) not in kept:
+        path, up = [], b.node
+        while up is not None and up.kept is None:  # the answer is noted on the way
+            if id(up) in kept:
+                up.kept = True
+                break
+            path.append(up)
             up = up.parent
-        if up is not None:
+        found = up is not None and up.kept
+        for x in path:
+            x.kept = found
+        if found:
             out.append(text)
     return "\n".join(out)
 

@@ -7,28 +7,33 @@ is encoded, four bits a subspace. Queries and rows meet in blocks: table scans
 over the codes choose candidates, which are scored exactly on the original
 vectors in double precision, and the best of all blocks are merged.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite
-components, or differ from the table's usual dimension take no part, neither as
-queries nor as candidates; ties go to the smaller vec_id; repeated rows of one
-vec_id are one vector each and a query never finds its own vec_id; a null vec_id
-takes no part; an empty table gives an empty result; extra columns are ignored.
+Rows are shuffled once for every QUERIES_BLOCK queries, queries once for every
+ROWS_BLOCK rows.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite
+components take no part, neither as queries nor as candidates; vectors meet
+those of their own dimension; ties go to the smaller vec_id; repeated rows are
+rows of their own: each is a candidate, also for the others, each query row has
+its own list of ranks, and none finds itself; a null vec_id takes no part; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, hash_sample, table
+from .common import blocks_for, hash_sample, materialise, table
 
 #: Neighbours, divisor of query ids, rows of the fitting sample, candidates reranked per block.
 NEIGHBOURS, QUERY_EVERY, SAMPLE, RERANK = 20, 20, 4096, 200
 #: Rows of a block of the index and of a block of queries.
-ROWS_BLOCK, QUERIES_BLOCK = 8192, 1024
+ROWS_BLOCK, QUERIES_BLOCK = 8192, 16384
 #: Share of a vector's norm from which scores matter; rounds of alternating optimisation.
 THRESHOLD, ROUNDS = 0.2, 6
 CODES, WIDTH = 16, 2
@@ -127,7 +132,7 @@ def _pick(scores: np.ndarray, most: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: most - len(above)]])
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _vectors(rows: pa.Table, name: str) -> np.ndarray:
@@ -139,20 +144,22 @@ def _search(books: np.ndarray, neighbours: int, rerank: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return _FOUND.empty_table()
-        rows, queries = rows.sort_by("vec_id"), queries.sort_by("vec_id")
+        order = [("vec_id", "ascending"), ("row", "ascending")]
+        rows, queries = rows.sort_by(order), queries.sort_by(order)
         x, q = _vectors(rows, "v"), _vectors(queries, "v")
-        ids, asked = rows.column("vec_id").to_numpy(), queries.column("vec_id").to_numpy()
+        ids, row = rows.column("vec_id").to_numpy(), rows.column("row").to_numpy()
+        asked, own = queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         codes = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(ids), -1)[:, : books.shape[0]]
         out: list[tuple] = []
-        for s in range(0, len(asked), 256):
-            approx = scan(q[s : s + 256], codes, books)
-            for k, own in enumerate(asked[s : s + 256].tolist()):
+        for s in range(0, len(asked), 64):
+            approx = scan(q[s : s + 64], codes, books)
+            for k in range(len(approx)):
                 at = _pick(approx[k], rerank + 1)
-                at = at[ids[at] != own]
+                at = at[row[at] != own[s + k]]
                 score = x[at] @ q[s + k]
-                best = np.lexsort((ids[at], -score))[:neighbours]
-                out.append((np.full(len(best), own), ids[at][best], score[best]))
+                best = np.lexsort((row[at], ids[at], -score))[:neighbours]
+                out.append((np.full(len(best), asked[s + k]), np.full(len(best), own[s + k]), ids[at][best], score[best]))
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=_FOUND)
 
     return run
@@ -169,35 +176,42 @@ def _encode_rows(books: np.ndarray):
                 if codes.shape[1] % 2:
                     codes = np.pad(codes, ((0, 0), (0, 1)))
                 packed = (codes[:, ::2] << 4) | codes[:, 1::2]
-                yield pa.record_batch([part.column("vec_id"), part.column("v"), pa.array([c.tobytes() for c in packed], pa.binary())], names=["vec_id", "v", "code"])
+                yield pa.record_batch([part.column("vec_id"), part.column("row"), part.column("v"), pa.array([c.tobytes() for c in packed], pa.binary())], names=["vec_id", "row", "v", "code"])
 
     return run
 
 
-def search(vectors: DataFrame, query_every: int = QUERY_EVERY, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """query_id, rank, vec_id, score of the nearest rows found for every row whose vec_id is divisible by query_every."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = v.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0.0))
-    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension, n, n_queries = sizes[0]["d"], sizes[0]["n"], sizes[0]["q"]
-    v = v.where(F.size("v") == dimension)
+def _search_alike(v: DataFrame, n: int, n_queries: int, query_every: int, neighbours: int) -> DataFrame:
+    """The nearest rows among vectors of one dimension."""
     sample = hash_sample(v, ["vec_id"], SAMPLE, n).select("v").collect()  # bounded by 2 * SAMPLE
     if not sample:
         sample = v.select("v").limit(SAMPLE).collect()
     books = fit(np.array([r["v"] for r in sample]))
     row_blocks, query_blocks = blocks_for(n, ROWS_BLOCK), blocks_for(n_queries, QUERIES_BLOCK)
-    coded = v.mapInArrow(_encode_rows(books), "vec_id long, v array<double>, code binary")
-    spread = lambda df, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-    rows = spread(coded, "rb", row_blocks, "qb", query_blocks)
-    queries = spread(v.where(F.col("vec_id") % query_every == 0), "qb", query_blocks, "rb", row_blocks)
-    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(_search(books, neighbours, RERANK), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # written once: both sides read the same rows under the same numbers
+    coded = materialise(v.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_encode_rows(books), "vec_id long, row long, v array<double>, code binary"), "codes")
+    to = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    own = lambda k: F.pmod(F.xxhash64("row"), F.lit(k))
+    rows = coded.withColumns({"rb": own(row_blocks), "qb": to(query_blocks)})
+    queries = coded.where(F.col("vec_id") % query_every == 0).drop("code").withColumns({"qb": own(query_blocks), "rb": to(row_blocks)})
+    found = rows.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(_search(books, neighbours, RERANK), "query_id long, query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def search(vectors: DataFrame, query_every: int = QUERY_EVERY, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """query_id, rank, vec_id, score of the nearest rows found for every row whose vec_id is divisible by query_every."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull())
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    v = v.where(F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0.0))
+    sizes = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).orderBy("d").collect()
+    # inner products are between vectors of one dimension: each dimension has its own index
+    parts = [_search_alike(v.where(F.size("v") == r["d"]), r["n"], r["q"], query_every, neighbours) for r in sizes if r["n"] > 1 and r["q"]]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, parts)
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth vector by inner product."""
     return search(table(spark, sf_dir, "embeddings"))

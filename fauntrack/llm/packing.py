@@ -12,13 +12,16 @@ is computed in two levels (chunks, then sums over chunks).
 
 Defined results: null or empty texts are one end token; repeated rows are
 packed each on its own; an empty table gives an empty result; extra columns are
-ignored. Special tokens' strings in a text are ordinary text.
+ignored; a very long text is cut like any other, by its own tokens; pieces of equal
+length differ only in their place, which a hash decides. A string of an added
+token (such as <|endoftext|>) in a text is that token, as the JSON tokenizer has it.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -58,19 +61,30 @@ def _json_encoder(vocabulary: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
+@lru_cache(maxsize=2)
+def _added(vocabulary: str):
+    """A pattern of the strings that the JSON tokenizer treats as one token each, wherever they stand; None if it has none."""
+    found = [t.content for t in _json_encoder(vocabulary).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, found))) if found else None
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    """Token ids of a text as `tokenizers` gives them, without special tokens."""
-    try:
-        return _encoder(vocabulary).encode_ordinary(text)
-    except (BaseException, ValueError) as e:  # the fast encoder's regex engine gives up on some very long runs
-        if isinstance(e, (KeyboardInterrupt, SystemExit)):
-            raise
-        return _json_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+    """Token ids of a text as `tokenizers` gives them with add_special_tokens=False.
+
+    Texts that hold the string of an added token, and the very long runs on
+    which the fast encoder's regex engine panics, go to the JSON tokenizer itself.
+    """
+    added = _added(vocabulary)
+    if added is None or not added.search(text):
+        try:
+            return _encoder(vocabulary).encode_ordinary(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+    return _json_encoder(vocabulary).encode(text, add_special_tokens=False).ids
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
