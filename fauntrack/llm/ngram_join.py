@@ -433,7 +433,7 @@ def _rarest(buckets: int):
 def rare_groups(sets: DataFrame, buckets: int) -> DataFrame:
     """MEMBER and EDGE rows of sets that share one of the rarest features of either, and an OWN row a set: a its size, n the features that it has alone, payload a sketch of the others.
 
-    sets is a written table, each set once. Features are ordered by their
+    sets is read from a written table, each set once. Features are ordered by their
     frequency among the given sets, common ones last, ties by number. Features
     that a set has alone come first and make no group, so sets that only share
     passages never meet. Frequencies come back as one row for a batch of sets
@@ -485,9 +485,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     labels = K.components(links, "ngram-labels")
     # groups that are not of one class, and flagged sets, by the exact second way: stars first, then pairs across classes
     rest = K.unsettled(members, labels).select(F.col("b").alias("ent")).union(entities.where("failed > 0").select("ent")).distinct()
-    left = sets.join(sized(materialise(rest, "ngram-open"), 16), "ent", "left_semi").dropDuplicates(["ent"])
-    left = materialise(left, "ngram-left")
-    prefixes = rare_groups(left, K.bucket_count(int(left.agg(F.sum("n")).first()[0] or 0) * 8, docs))
+    left = sets.join(sized(materialise(rest, "ngram-open"), 16), "ent", "left_semi")
+    rows, names, features = left.agg(F.count("*"), F.count_distinct("ent"), F.sum("n")).first()
+    if rows > names:  # doc_ids repeat; otherwise the features need not be shuffled or written again
+        left = materialise(left.dropDuplicates(["ent"]), "ngram-left")
+    prefixes = rare_groups(left, K.bucket_count(int(features or 0) * 8, docs))
     alone = prefixes.where(F.col("kind") == K.OWN).select(F.col("b").alias("ent"), F.col("a").alias("n"), F.col("n").alias("slack"), F.col("payload").alias("sketch"))
     groups = materialise(prefixes.where(F.col("kind") == K.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("ent")).distinct(), "ngram-keys")
     named = lambda: groups.join(labels, F.col("ent") == F.col("node"), "left").select("key", "ent", F.coalesce("label", "ent").alias("label"))
