@@ -42,9 +42,8 @@ class Csr:
     def push(self, x: np.ndarray) -> np.ndarray:
         """x P for row vectors x (any leading shape)."""
         src = np.repeat(np.arange(self.n), np.diff(self.start))
-        out = np.zeros_like(x)
-        np.add.at(out.T, self.dst, (x[..., src] * self.w).T)
-        return out
+        flat = np.reshape(x, (-1, self.n))
+        return np.array([np.bincount(self.dst, row[src] * self.w, self.n) for row in flat]).reshape(np.shape(x))
 
 
 def collect_csr(rows: DataFrame, n: int, weight: str = "p") -> Csr:
@@ -91,30 +90,74 @@ def trace(before: np.ndarray, u: int, v: int) -> list[int]:
     return path[::-1]
 
 
-def exact_k(g: Csr, u: int, v: int, k: int, p_min: float = 1e-12) -> list[int]:
-    """Most probable walk of exactly k steps; empty if there is none; ties to the smaller unit."""
+@dataclass
+class Inward:
+    """Edges with additive scores, sorted by target, then source; runs of a target begin at `first` and end in `into`."""
+
+    src: np.ndarray
+    dst: np.ndarray
+    score: np.ndarray
+    first: np.ndarray
+    into: np.ndarray
+
+
+def inward(g: Csr, score: np.ndarray, ok: np.ndarray | None = None) -> Inward:
     src = np.repeat(np.arange(g.n), np.diff(g.start))
-    ok = g.w > p_min
-    src, dst, lw = src[ok], g.dst[ok], np.log(g.w[ok])
+    keep = np.ones(len(src), bool) if ok is None else ok
+    src, dst, score = src[keep], g.dst[keep], score[keep]
     order = np.lexsort((src, dst))
-    src, dst, lw = src[order], dst[order], lw[order]
-    score = np.full(g.n, -np.inf)
-    score[u] = 0.0
-    back = []
-    for _ in range(k):
-        value = score[src] + lw
-        new, frm = np.full(g.n, -np.inf), np.full(g.n, -1)
-        for j, i, x in zip(dst.tolist(), src.tolist(), value.tolist(), strict=True):
-            if x > new[j]:
-                new[j], frm[j] = x, i
-        back.append(frm)
-        score = new
-    if score[v] == -np.inf:
-        return []
-    path = [v]
-    for frm in reversed(back):
-        path.append(int(frm[path[-1]]))
-    return path[::-1]
+    src, dst, score = src[order], dst[order], score[order]
+    first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]][: len(dst)])
+    return Inward(src, dst, score, first, dst[first])
+
+
+def logged(g: Csr, p_min: float = 1e-12) -> Inward:
+    """Log probabilities of the steps above p_min."""
+    ok = g.w > p_min
+    return inward(g, np.log(np.where(ok, g.w, 1.0)), ok)
+
+
+def best_walks(steps: list[Inward], n: int, u: int, events: list[tuple[int, int]]) -> list[tuple[list[int], float]]:
+    """Walk of exactly k steps from u to v with the largest sum of scores, and the sum, for every (v, k); step t uses steps[t - 1], the last one beyond.
+
+    One forward sweep serves all events; without a walk it is ([], -inf); ties go to the smaller unit.
+    """
+    most = max((k for _, k in events), default=0)
+    score, back = np.full((most + 1, n), -np.inf), np.full((most + 1, n), -1)
+    score[0, u] = 0.0
+    for t in range(1, most + 1):
+        e = steps[min(t, len(steps)) - 1]
+        if not len(e.src):
+            break
+        value = score[t - 1][e.src] + e.score
+        top = np.maximum.reduceat(value, e.first)
+        score[t, e.into] = top
+        best = value == np.repeat(top, np.diff(np.r_[e.first, len(value)]))
+        back[t, e.into] = e.src[np.minimum.reduceat(np.where(best, np.arange(len(value)), len(value)), e.first)]
+    out = []
+    for v, k in events:
+        if score[k, v] == -np.inf:
+            out.append(([], -np.inf))
+            continue
+        path = [v]
+        for t in range(k, 0, -1):
+            path.append(int(back[t, path[-1]]))
+        out.append((path[::-1], float(score[k, v])))
+    return out
+
+
+def exact_k(g: Csr, u: int, v: int, k: int, p_min: float = 1e-12) -> list[int]:
+    """Most probable walk of exactly k steps; empty if there is none; ties to the smaller unit."""
+    return best_walks([logged(g, p_min)], g.n, u, [(v, k)])[0][0]
+
+
+def collect_steps(rows: DataFrame, n: int, weight: str = "p") -> list[Csr]:
+    """CSR arrays of every step of a mesh-sized table (step from 1, src, dst, weight), checked before it is collected."""
+    count = rows.count()
+    if count > MOST_EDGES:
+        raise ValueError(f"{count} rows are no mesh-sized table")
+    pdf = rows.select("step", "src", "dst", weight).toPandas()
+    return [make_csr(part["src"].to_numpy() - 1, part["dst"].to_numpy() - 1, part[weight].to_numpy(float), n) for _, part in sorted(pdf.groupby("step"))]
 
 
 def sweep(g: Csr, u: int, wanted: set[int]) -> dict[int, np.ndarray]:
@@ -164,24 +207,24 @@ def bridge(g: Csr, u: int, v: int, k: int, land: np.ndarray | None = None) -> np
 
 
 def bridges(g: Csr, u: int, events: list[tuple[int, int]]) -> Iterator[np.ndarray]:
-    """bridge() of every (v, k) from one unit: one forward sweep serves them all, and one backward sweep each v."""
+    """bridge() of every (v, k) from one unit: one forward sweep serves them all, and one backward sweep each run of a v."""
     src = np.repeat(np.arange(g.n), np.diff(g.start))
     most = max((k for _, k in events), default=0)
     f = np.zeros((most + 1, g.n))
     f[0, u] = 1
     for t in range(1, most + 1):
         f[t] = np.bincount(g.dst, f[t - 1][src] * g.w, g.n)
-    back: dict[int, np.ndarray] = {}
+    at, b = None, np.zeros((0, 0))
     for v, k in events:
         if k <= 0 or f[k, v] <= 1e-15:
             yield bridge(g, u, v, k)
             continue
-        if v not in back:
-            b = back[v] = np.zeros((most + 1, g.n))
+        if v != at:  # events of one v stand together, so that one backward sweep is held at a time
+            at, b = v, np.zeros((most + 1, g.n))
             b[0, v] = 1
             for t in range(1, most + 1):
                 b[t] = np.bincount(src, g.w * b[t - 1][g.dst], g.n)
-        c = f[: k + 1] * back[v][k::-1] / f[k, v]
+        c = f[: k + 1] * b[k::-1] / f[k, v]
         yield c / np.maximum(c.sum(1, keepdims=True), 1e-300)
 
 

@@ -76,16 +76,48 @@ def regional(kernel: DataFrame, regions: DataFrame, per_unit: bool = False) -> D
 def corridors(events: DataFrame, kernel: DataFrame, n_units: int, least: float = 1e-9) -> DataFrame:
     """event, tau, s_idx, prob of the Markov bridge of every (release, recapture, k); equal events share one solve."""
     g = _share(kernel, G.collect_csr(kernel, n_units))
-    distinct = events.select("release", "recapture", "k").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for u, v, k in pdf.itertuples(index=False):
-                c = G.bridge(g.value, u - 1, v - 1, int(k))
+        for u, events, found in _bridges(g.value, batches):
+            out = []
+            for (v, k), c in zip(events, found, strict=True):
                 tau, s = np.nonzero(c > least)
-                yield pd.DataFrame({"release": np.int32(u), "recapture": np.int32(v), "k": np.int32(k), "tau": tau.astype("int32"), "s_idx": (s + 1).astype("int32"), "prob": c[tau, s]})
+                out.append(pd.DataFrame({"release": np.int32(u + 1), "recapture": np.int32(v + 1), "k": np.int32(k), "tau": tau.astype("int32"), "s_idx": (s + 1).astype("int32"), "prob": c[tau, s]}))
+                if len(out) == 200:
+                    yield pd.concat(out)
+                    out = []
+            if out:
+                yield pd.concat(out)
+
+    return _dealt(events).mapInPandas(run, "release int, recapture int, k int, tau int, s_idx int, prob double")
+
+
+def _dealt(events: DataFrame) -> DataFrame:
+    """Distinct (release, recapture, k), dealt by release and sorted: a batch holds whole runs of a release, and of a recapture within."""
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.select("release", "recapture", "k").distinct().repartition(tasks, "release").sortWithinPartitions("release", "recapture", "k")
+
+
+def _bridges(g: G.Csr, batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for pdf in batches:
+        for u, part in pdf.groupby("release"):
+            events = list(zip((part["recapture"] - 1).tolist(), part["k"].tolist(), strict=True))
+            yield int(u) - 1, events, G.bridges(g, int(u) - 1, events)
 
-    return distinct.mapInPandas(run, "release int, recapture int, k int, tau int, s_idx int, prob double")
+
+def corridor_use(events: DataFrame, kernel: DataFrame, n_units: int, least: float = 1e-9) -> DataFrame:
+    """s_idx, prob: corridors() summed over all distinct events and their steps; cells are added up inside the tasks."""
+    g = _share(kernel, G.collect_csr(kernel, n_units))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n_units)
+        for _, _, found in _bridges(g.value, batches):
+            for c in found:
+                total += np.where(c > least, c, 0).sum(0)
+        s = np.flatnonzero(total)
+        yield pd.DataFrame({"s_idx": (s + 1).astype("int32"), "prob": total[s]})
+
+    return _dealt(events).mapInPandas(run, "s_idx int, prob double").groupBy("s_idx").agg(F.sum("prob").alias("prob"))
 
 
 def steady_corridors(events: DataFrame, kernel: DataFrame, n_units: int, alpha: float = 0.99) -> DataFrame:
@@ -149,14 +181,13 @@ def exact_walks(events: DataFrame, kernel: DataFrame, n_units: int) -> DataFrame
     g = _share(kernel, G.collect_csr(kernel, n_units))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csr = g.value
-        p = csr.dense()
+        steps = [G.logged(g.value)]
         for pdf in batches:
-            walks = [G.exact_k(csr, u - 1, v - 1, int(k)) for u, v, k in pdf.itertuples(index=False)]
-            logp = [float(sum(np.log(p[a, b]) for a, b in zip(w, w[1:], strict=False))) if w else np.nan for w in walks]
-            yield pdf.assign(logp=logp, nodes=[[i + 1 for i in w] for w in walks])
+            for u, part in pdf.groupby("release"):
+                found = G.best_walks(steps, n_units, int(u) - 1, list(zip((part["recapture"] - 1).tolist(), part["k"].tolist(), strict=True)))
+                yield part.assign(logp=[s if w else np.nan for w, s in found], nodes=[[i + 1 for i in w] for w, _ in found])
 
-    return events.select("release", "recapture", "k").distinct().mapInPandas(run, "release int, recapture int, k int, logp double, nodes array<int>")
+    return _dealt(events).mapInPandas(run, "release int, recapture int, k int, logp double, nodes array<int>")
 
 
 def stochastic_paths(events: DataFrame, units: DataFrame, edges: DataFrame, n_units: int, draws: int = 10, sd: float = 0.1, seed: int = 1) -> DataFrame:
