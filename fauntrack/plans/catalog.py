@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fauntrack.functions import geo
-from fauntrack.operators import ecology, grids, habitat, kernel, markov, mesh, posterior, resample, telemetry
+from fauntrack.operators import dynamics, ecology, grids, habitat, kernel, markov, mesh, posterior, resample, telemetry
 from fauntrack.plans import fixtures as X
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,7 +86,8 @@ _bucket("weekly", "CAST(date_trunc('week', ts) AS DATE)")
 _bucket("biweekly", "DATE '1990-01-01' + CAST(14 * (date_diff('day', DATE '1990-01-01', CAST(ts AS DATE)) // 14) AS INT)")
 _bucket("monthly", "CAST(date_trunc('month', ts) AS DATE)")
 
-_HAV = "2 * 6378137.0 * atan2(sqrt(least(1.0, {a})), sqrt(1 - least(1.0, {a})))"
+# least() ignores nulls here, so a missing point is asked for first
+_HAV = "CASE WHEN {a} IS NOT NULL THEN 2 * 6378137.0 * atan2(sqrt(least(1.0, {a})), sqrt(1 - least(1.0, {a}))) END"
 
 
 def hav(lon1, lat1, lon2, lat2) -> str:
@@ -112,9 +113,11 @@ def tag_summary(s, d):
     return t.select("tagid", "n", r6("days"), (F.round("metres", 3) + 0.0).alias("metres"), r6("growth"))
 
 
-@query("SELECT c_custkey, concat_ws('_', coalesce(lower(trim(c_mktsegment)), 'unknown'), coalesce(lower(trim(CAST(c_nationkey AS VARCHAR))), 'unknown')) AS label FROM customer")
+@query("WITH c AS (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS sex, CASE c_mktsegment WHEN 'BUILDING' THEN 'immature' WHEN 'MACHINERY' THEN NULL ELSE 'mature' END AS mat FROM customer), l AS (SELECT c_custkey, CASE WHEN mat = 'immature' THEN 'immature' WHEN mat = 'mature' AND sex = 'M' THEN 'male' WHEN mat = 'mature' AND sex = 'F' THEN 'female' ELSE 'unknown' END AS label FROM c) SELECT c_custkey, label, CAST(dense_rank() OVER (ORDER BY label) AS INT) AS \"group\" FROM l")
 def group_label(s, d):
-    return X.table(s, d, "customer").select("c_custkey", telemetry.group_label(F.col("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("label"))
+    m, seg = F.col("c_nationkey") % 3, F.col("c_mktsegment")
+    sex, mat = F.when(m == 0, "M").when(m == 1, "F"), F.when(seg == "BUILDING", "immature").when(seg != "MACHINERY", "mature")
+    return telemetry.group_ids(X.table(s, d, "customer").select("c_custkey", telemetry.group_label(sex, mat).alias("label")))
 
 
 @query(X.with_sql("det", "units", body=", mo AS (SELECT s_idx, 2023 AS year, CAST(m AS INT) AS month, hsi * m / 12 AS h FROM units, range(1, 13) t(m) WHERE s_idx % 3 <> 0) SELECT tagid, CAST(tag AS INT) AS tag, round(coalesce(mo.h, u.hsi, 0.5), 6) + 0.0 AS hsi FROM det LEFT JOIN mo ON mo.s_idx = det.s_idx AND mo.year = greatest(2023, least(2023, year(ts))) AND mo.month = month(ts) LEFT JOIN units u ON u.s_idx = det.s_idx"))
@@ -170,8 +173,8 @@ def flexible_date(s, d):
     return o.select("o_orderkey", t.alias("t")).select("o_orderkey", geo.flexible_date("t").alias("day"))
 
 
-@query("""SELECT event_id, round(least(1.0, greatest(0.0, (1 - 1 / (1 + exp(-(t - 7.0)))) * (1 - 0.5 * (1 - cos(3.141592653589793 * least(1.0, greatest(0.0, (t - 8.0) / 2.0)))))
- * exp(-0.5 * pow((z - 150.0) / 50.0, 2)) * 0.5 * (1 - cos(3.141592653589793 * least(1.0, greatest(0.0, (z - 10.0) / 20.0)))) * (1 - 0.5 * (1 - cos(3.141592653589793 * least(1.0, greatest(0.0, (z - 380.0) / 40.0))))))), 6) + 0.0 AS hsi
+@query("""SELECT event_id, round(least(1.0, greatest(0.0, 1 / (1 + exp(t - 5.0)) * CASE WHEN t >= 10.0 THEN 0.0 WHEN t > 5.0 THEN 0.5 * (1 + cos(pi() * (t - 5.0) / 5.0)) ELSE 1.0 END
+ * exp(-0.5 * pow((z - 150.0) / 50.0, 2)) * CASE WHEN z <= 20.0 OR z >= 400.0 THEN 0.0 WHEN z < 150.0 THEN 0.5 * (1 - cos(pi() * (z - 20.0) / 130.0)) ELSE 0.5 * (1 + cos(pi() * (z - 150.0) / 250.0)) END)), 6) + 0.0 AS hsi
  FROM (SELECT event_id, (value % 12.0) AS t, (CAST(json_extract(props, '$.k') AS INT) * 4.0) AS z FROM events)""")
 def habitat_suitability(s, d):
     e = X.table(s, d, "events").select("event_id", (F.col("value") % 12.0).alias("t"), (F.get_json_object("props", "$.k").cast("int") * 4.0).alias("z"))
@@ -197,7 +200,7 @@ def polygon_area(s, d):
 
 
 _RINGS = [(1, 1, -5.0, -5.0), (1, 2, 60.0, -5.0), (1, 3, 75.0, 50.0), (1, 4, 20.0, 65.0), (2, 1, 80.0, 40.0), (2, 2, 160.0, 45.0), (2, 3, 120.0, 140.0)]
-_RINGS_SQL = "rings AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {c!r}, {e!r})" for a, b, c, e in _RINGS) + ") t(region, seq, x, y)), segs AS (SELECT region, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY region ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), inside AS (SELECT s_idx, region FROM units, segs WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
+_RINGS_SQL = "rings AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {c!r}, {e!r})" for a, b, c, e in _RINGS) + ") t(region, seq, x, y)), segs AS (SELECT region, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY region ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), inside AS (SELECT s_idx, segs.region FROM units, segs WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
 
 
 def rings(s) -> DataFrame:
@@ -346,7 +349,7 @@ def _yearly(s, d) -> DataFrame:
     return X.units(s, d).select("s_idx", F.explode(F.array(F.lit(2020), F.lit(2021), F.lit(2022))).alias("year"), "hsi").withColumn("hsi", F.col("hsi") * (1 + 0.05 * (F.col("year") - 2020)))
 
 
-@query(X.with_sql("units", body=", y AS (SELECT s_idx, CAST(yr AS INT) AS year, hsi * (1 + 0.05 * (yr - 2020)) AS h1 FROM units, range(2020, 2023) t(yr)), z AS (SELECT *, coalesce(lead(h1) OVER w, h1) AS h2 FROM y WINDOW w AS (PARTITION BY s_idx ORDER BY year)) SELECT s_idx, year, CAST(m AS INT) AS month, round(least(1.0, greatest(0.0, h1 + (dayofyear(make_date(CAST(year AS BIGINT), m, 15)) - 1) / 365.25 * (h2 - h1))), 6) + 0.0 AS hsi FROM z, range(1, 13) t(m)"))
+@query(X.with_sql("units", body=", y AS (SELECT s_idx, CAST(yr AS INT) AS year, hsi * (1 + 0.05 * (yr - 2020)) AS h1 FROM units, range(2020, 2023) t(yr)), z AS (SELECT *, coalesce(lead(h1) OVER w, h1) AS h2, coalesce(lag(h1) OVER w, h1) AS h0 FROM y WINDOW w AS (PARTITION BY s_idx ORDER BY year)), q AS (SELECT *, (dayofyear(make_date(CAST(year AS BIGINT), m, 15)) - 244) / 365.25 AS u FROM z, range(1, 13) t(m)) SELECT s_idx, year, CAST(m AS INT) AS month, round(least(1.0, greatest(0.0, CASE WHEN u >= 0 THEN h1 + u * (h2 - h1) ELSE h1 - u * (h0 - h1) END)), 6) + 0.0 AS hsi FROM q"))
 def hsi_monthly_interp(s, d):
     return habitat.monthly(_yearly(s, d)).select("s_idx", "year", "month", r6("hsi"))
 
@@ -493,6 +496,9 @@ def _few(s, d) -> DataFrame:
     return p.select("release", "recapture", "k").distinct()
 
 
+#: The events of _few() as a table o.
+_FEW_SQL = "o AS (SELECT DISTINCT release, recapture, k FROM pairs WHERE release NOT IN (SELECT s_idx FROM units WHERE is_land) AND recapture NOT IN (SELECT s_idx FROM units WHERE is_land))"
+
 _COST = "me AS (SELECT src, dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) * (1 + 3 * pow(1 - a.hsi, 2) + 1 + 3 * pow(1 - b.hsi, 2)) / 2 AS c FROM edges JOIN units a ON a.s_idx = src AND NOT a.is_land JOIN units b ON b.s_idx = dst AND NOT b.is_land)"
 
 
@@ -513,6 +519,52 @@ def exact_k_path_cost(s, d):
     return markov.exact_walks(_few(s, d), kern(s, d), N).where("logp IS NOT NULL AND NOT isnan(logp)").select("release", "recapture", "k", r6("logp"))
 
 
+@query(X.with_sql("pairs", "units", "edges", recursive=True, body=f", {_COST}, {_FEW_SQL}, r AS (SELECT DISTINCT release, release AS node, CAST(0 AS DOUBLE) AS cost, 0 AS i FROM o UNION ALL (SELECT release, node, min(cost), any_value(i) + 1 FROM (SELECT release, node, cost, i FROM r UNION ALL SELECT release, dst, cost + c, i FROM r JOIN me ON src = node) WHERE i < 40 GROUP BY release, node)), b AS (SELECT release, node, min(cost) AS cost FROM r GROUP BY 1, 2) SELECT DISTINCT o.release, o.recapture, round(b.cost, 6) + 0.0 AS cost FROM o JOIN b ON b.release = o.release AND b.node = o.recapture"))
+def astar_cost(s, d):
+    p = markov.paths(_few(s, d), markov.least_cost(X.units(s, d), X.edges(s, d)), N)
+    return p.where("cost < double('infinity')").select("release", "recapture", r6("cost"))
+
+
+def _changing(s, d) -> DataFrame:
+    """Units at three steps: the habitat grows by a tenth each."""
+    return X.units(s, d).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("hsi", F.col("hsi") * (1 + 0.1 * F.col("step")))
+
+
+_KDYN = "st AS (SELECT CAST(step AS INT) AS step, s_idx, hsi * (1 + 0.1 * step) AS h, is_land FROM units, range(1, 4) t(step)), ed AS (SELECT a.step, src, dst, w, w * exp(greatest(-25.0, least(25.0, b.h - a.h))) AS t FROM edges JOIN st a ON a.s_idx = src AND NOT a.is_land JOIN st b ON b.s_idx = dst AND b.step = a.step AND NOT b.is_land), md AS (SELECT step, src, dst, 0.7 * (0.5 * t / sum(t) OVER z + 0.5 * w / sum(w) OVER z) AS p FROM ed WINDOW z AS (PARTITION BY step, src)), kd AS (SELECT step, src, dst, p FROM md UNION ALL SELECT st.step, s_idx, s_idx, 1 - coalesce(o, 0.0) FROM st LEFT JOIN (SELECT step, src, sum(p) AS o FROM md GROUP BY 1, 2) x ON x.step = st.step AND x.src = s_idx)"
+
+
+@query(X.with_sql("pairs", "units", "edges", recursive=True, body=f", {_KDYN}, {_FEW_SQL}, v AS (SELECT DISTINCT release, release AS node, CAST(0 AS DOUBLE) AS s, 0 AS t FROM o UNION ALL SELECT v.release, q.dst, max(v.s + ln(q.p)), v.t + 1 FROM v JOIN kd q ON q.src = v.node AND q.step = least(3, v.t + 1) AND q.p > 1e-15 WHERE v.t < 24 GROUP BY v.release, q.dst, v.t + 1), h AS (SELECT src, max(CASE WHEN step = 1 THEN ln(p) END) AS a, max(CASE WHEN step = 2 THEN ln(p) END) AS b, max(CASE WHEN step = 3 THEN ln(p) END) AS c FROM kd WHERE src = dst GROUP BY src) SELECT o.release, o.recapture, o.k, round(CASE WHEN o.release = o.recapture THEN a + CASE WHEN o.k >= 2 THEN b ELSE 0 END + greatest(0, o.k - 2) * c ELSE v.s END, 6) + 0.0 AS logp FROM o JOIN v ON v.release = o.release AND v.node = o.recapture AND v.t = o.k JOIN h ON h.src = o.release"))
+def dynamic_walks(s, d):
+    k = kernel.static(_changing(s, d), X.edges(s, d), 1.0, 0.3, 0.5, ("step",))
+    return dynamics.dynamic_walks(_few(s, d), k, N).where("logp IS NOT NULL").select("release", "recapture", "k", r6("logp"))
+
+
+@query(X.with_sql("pairs", "units", "edges", recursive=True, body=f", {_KDYN}, {_FEW_SQL}, f AS (SELECT DISTINCT release, release AS node, CAST(1 AS DOUBLE) AS p, 0 AS t FROM o UNION ALL SELECT f.release, q.dst, sum(f.p * q.p), f.t + 1 FROM f JOIN kd q ON q.src = f.node AND q.step = least(3, f.t + 1) WHERE f.t < 24 GROUP BY f.release, q.dst, f.t + 1), b AS (SELECT DISTINCT recapture AS v, k, recapture AS node, CAST(1 AS DOUBLE) AS p, k AS t FROM o UNION ALL SELECT b.v, b.k, q.src, sum(b.p * q.p), b.t - 1 FROM b JOIN kd q ON q.dst = b.node AND q.step = least(3, b.t) WHERE b.t > 0 GROUP BY b.v, b.k, q.src, b.t - 1), z AS (SELECT o.*, coalesce(f.p, 0.0) AS z FROM o LEFT JOIN f ON f.release = o.release AND f.node = o.recapture AND f.t = o.k), c AS (SELECT f.node, sum(f.p * b.p / z / (z.k + 1)) AS c FROM z JOIN f ON f.release = z.release AND f.t <= z.k JOIN b ON b.v = z.recapture AND b.k = z.k AND b.t = f.t AND b.node = f.node WHERE z > 1e-15 GROUP BY 1 UNION ALL SELECT f.node, sum(f.p / 2 / (z.k + 1)) FROM z JOIN f ON f.release = z.release AND f.t <= z.k WHERE z <= 1e-15 GROUP BY 1 UNION ALL SELECT b.node, sum(b.p / 2 / (z.k + 1)) FROM z JOIN b ON b.v = z.recapture AND b.k = z.k WHERE z <= 1e-15 GROUP BY 1) SELECT CAST(node AS INT) AS s_idx, round(sum(c), 4) AS intensity FROM c GROUP BY node"))
+def dynamic_corridor(s, d):
+    k = kernel.static(_changing(s, d), X.edges(s, d), 1.0, 0.3, 0.5, ("step",))
+    return dynamics.dynamic_corridors(_few(s, d), k, N).groupBy("s_idx").agg(F.round(F.sum("intensity"), 4).alias("intensity"))
+
+
+@query(X.with_sql("pairs", "units", "edges", recursive=True, body=f", {_FEW_SQL}, ph AS (SELECT CAST(step AS INT) AS step, s_idx, x, y, 1 + 3 * pow(1 - least(1.0, hsi * (1 + 0.1 * step)), 2) AS f FROM units, range(1, 4) t(step) WHERE NOT is_land), mv AS (SELECT a.step, src, dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, (a.f + b.f) / 2 AS f FROM edges JOIN ph a ON a.s_idx = src JOIN ph b ON b.s_idx = dst AND b.step = a.step), co AS (SELECT step, src, dst, d * f AS c FROM mv UNION ALL SELECT ph.step, s_idx, s_idx, 0.5 * coalesce(n.d, 1.0) * ph.f FROM ph LEFT JOIN (SELECT step, src, min(d) AS d FROM mv GROUP BY 1, 2) n ON n.step = ph.step AND n.src = s_idx), v AS (SELECT DISTINCT release, release AS node, CAST(0 AS DOUBLE) AS cost, 0 AS t FROM o UNION ALL SELECT v.release, q.dst, min(v.cost + q.c), v.t + 1 FROM v JOIN co q ON q.src = v.node AND q.step = least(3, v.t + 1) WHERE v.t < 24 GROUP BY v.release, q.dst, v.t + 1) SELECT o.release, o.recapture, o.k, round(v.cost, 6) + 0.0 AS cost FROM o JOIN v ON v.release = o.release AND v.node = o.recapture AND v.t = o.k"))
+def dynamic_paths(s, d):
+    u = _changing(s, d).withColumn("hsi", F.least(F.lit(1.0), "hsi"))
+    return dynamics.dynamic_paths(_few(s, d), dynamics.step_costs(u, X.edges(s, d)), N).where("cost IS NOT NULL").select("release", "recapture", "k", r6("cost"))
+
+
+@query(X.with_sql("pairs", "units", "kernel", recursive=True, body=f", {_FEW_SQL}, t AS (SELECT DISTINCT recapture AS v, recapture AS node, CAST(1 AS DOUBLE) AS p, 0 AS i FROM o UNION ALL SELECT t.v, q.src, 0.9 * sum(t.p * q.p), t.i + 1 FROM t JOIN kernel q ON q.dst = t.node WHERE t.i < 600 GROUP BY t.v, q.src, t.i + 1), x AS (SELECT v, node, -ln(greatest(1e-15, sum(p))) AS volt FROM t GROUP BY 1, 2) SELECT DISTINCT o.release, o.recapture, round(a.volt - b.volt, 6) + 0.0 AS resistance FROM o JOIN x a ON a.v = o.recapture AND a.node = o.release JOIN x b ON b.v = o.recapture AND b.node = o.recapture"))
+def directed_resistance(s, d):
+    c = dynamics.directed_circuits(_few(s, d), kern(s, d), N, alpha=0.9)
+    return c.where("resistance < double('infinity')").select("release", "recapture", r6("resistance"))
+
+
+@query()
+def mark_recapture_bridge_paths(s, d):
+    """One sampled walk a pair between marine units, joined into tracks."""
+    land = X.units(s, d).where("is_land").select("s_idx")
+    p = X.pairs(s, d).join(land.toDF("release"), "release", "left_anti").join(land.toDF("recapture"), "recapture", "left_anti")
+    return dynamics.reconstructed_tracks(p, dynamics.bridge_samples(p, kern(s, d), N))
+
+
 @query()
 def stochastic_paths(s, d):
     return markov.stochastic_paths(_few(s, d), X.units(s, d), X.edges(s, d), N, draws=5).select("release", "recapture", "s_idx", r6("visit_prob"), r6("mean_cost"))
@@ -526,8 +578,7 @@ def corridor_bridge(s, d):
 
 @query()
 def corridor_all(s, d):
-    c = markov.corridors(_few(s, d), kern(s, d), N)
-    return c.groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", F.round("prob", 4).alias("prob"))
+    return markov.corridor_use(_few(s, d), kern(s, d), N).select("s_idx", F.round("prob", 4).alias("prob"))
 
 
 @query()
@@ -641,10 +692,9 @@ def histogram(s, d):
     return ecology.histogram(X.table(s, d, "events"), "value", 25)
 
 
-@query("WITH t AS (SELECT value AS v FROM events WHERE event_id % 10 = 0), s AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM t), g AS (SELECT lo + i * (hi - lo) / 59 AS x, 1.06 * sd * pow(n, -0.2) AS bw, n FROM s, range(60) r(i)) SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 6) + 0.0 AS density FROM g, t GROUP BY x")
+@query("WITH t AS (SELECT value AS v FROM events), s AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM t), g AS (SELECT lo + i * (hi - lo) / 59 AS x, 1.06 * sd * pow(n, -0.2) AS bw, n FROM s, range(60) r(i)) SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 6) + 0.0 AS density FROM g, t GROUP BY x")
 def kde(s, d):
-    # the draw table of this report: every tenth event value stands for one posterior draw
-    return ecology.density(X.table(s, d, "events").where("event_id % 10 = 0"), "value").select(F.round("x", 6).alias("x"), r6("density"))
+    return ecology.density(X.table(s, d, "events"), "value").select(F.round("x", 6).alias("x"), r6("density"))
 
 
 @query(X.with_sql("units", "edges", body=f"SELECT CAST(floor(({_BEAR} + 11.25) / 22.5) % 16 AS INT) AS sector, count(*) AS n FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst GROUP BY 1"))
@@ -713,7 +763,7 @@ def predictive_check(s, d):
 
 @query()
 def persistence_gain(s, d):
-    return posterior.persistence_gain(X.pairs(s, d), kern(s, d), X.units(s, d), N).select("kappa", r6("loglik"))
+    return posterior.persistence_gain(X.pairs(s, d), kern(s, d), X.units(s, d), N).select("kappa", r6("loglik"), r6("baseline"), r6("gain"), "is_best", "improves")
 
 
 @query()
