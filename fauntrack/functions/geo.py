@@ -106,17 +106,16 @@ def alpha_rho(velocity, diffusion) -> tuple[Column, Column]:
     return clamp(v / total, 0.0, 1.0), clamp(1 / (1 + total), 0.01, 0.95)
 
 
-def _taper(x: Column, at: float, width: float, rising: bool) -> Column:
-    t = clamp((x - at) / width, 0.0, 1.0)
-    w = 0.5 * (1 - F.cos(F.lit(3.141592653589793) * t))
-    return w if rising else 1 - w
+def _fade(x: Column, start: float, end: float) -> Column:
+    """1 up to start, 0 from end on, half a cosine between."""
+    return 0.5 * (1 + F.cos(F.lit(3.141592653589793) * clamp((x - start) / (end - start), 0.0, 1.0)))
 
 
-def habitat_suitability(temperature, depth, warm: float = 7.0, slope: float = 1.0, best: float = 150.0, spread: float = 50.0) -> Column:
-    """Thermal logistic with a cosine taper up to 10 degrees, times a depth Gaussian tapered at 20 and 400 m, in [0, 1]."""
-    t, z = _c(temperature), _c(depth)
-    thermal = (1 - 1 / (1 + F.exp(-(t - warm) / slope))) * _taper(t, 8.0, 2.0, rising=False)
-    bathy = F.exp(-0.5 * F.pow((z - best) / spread, 2)) * _taper(z, 10.0, 20.0, rising=True) * _taper(z, 380.0, 40.0, rising=False)
+def habitat_suitability(temperature, depth, half: float = 5.0, steepness: float = 1.0, best: float = 150.0, spread: float = 50.0, shallow: float = 20.0, deep: float = 400.0, end: float = 10.0) -> Column:
+    """Falling logistic of temperature that fades out from half to end degrees, times a Gaussian of depth (its absolute value) that fades out to shallow and to deep; in [0, 1]."""
+    t, z = _c(temperature), F.abs(_c(depth))
+    thermal = _fade(t, half, end) / (1 + F.exp(steepness * (t - half)))
+    bathy = F.exp(-0.5 * F.pow((z - best) / spread, 2)) * F.when(z < best, 1 - _fade(z, shallow, best)).otherwise(_fade(z, best, deep))
     return clamp(thermal * bathy, 0.0, 1.0)
 
 
@@ -128,8 +127,3 @@ def ring_area(ring) -> Column:
     turned = F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
     cross = F.zip_with(r, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.when(F.size(r) < 3, 0.0).otherwise(F.abs(F.aggregate(cross, F.lit(0.0), lambda a, b: a + b)) / 2)
-
-
-def pearson_safe_divide(a, b) -> Column:
-    """a / b, NULL where b is 0."""
-    return F.try_divide(_c(a), _c(b))

@@ -45,8 +45,7 @@ def residence(det: DataFrame) -> DataFrame:
 def phenology(pairs: DataFrame, month: Column, value: Column) -> DataFrame:
     """month, quarter, n, mean by month, by quarter and in all: one pass over grouping sets."""
     d = pairs.select(month.alias("month"), F.ceil(month / 3).cast("int").alias("quarter"), value.alias("v"))
-    d.createOrReplaceTempView("_phenology")
-    return d.sparkSession.sql("SELECT month, quarter, count(*) AS n, avg(v) AS mean FROM _phenology GROUP BY GROUPING SETS ((month), (quarter), ())")
+    return d.groupingSets([("month",), ("quarter",), ()], "month", "quarter").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
 
 def trait_regression(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

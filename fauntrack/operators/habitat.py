@@ -16,7 +16,7 @@ def sanitise(df: DataFrame, column: str = "hsi") -> DataFrame:
     return df.withColumn(column, geo.clamp(F.coalesce(F.when(geo.finite(column), F.col(column)), mean.scalar(), F.lit(0.0)), 0.0, 1.0))
 
 
-def monthly(yearly: DataFrame, reference_day: int = 1) -> DataFrame:
+def monthly(yearly: DataFrame, reference_day: int = 244) -> DataFrame:
     """s_idx, year, month, hsi at mid-month, linear between yearly anchors; constant beyond the first and the last."""
     w = Window.partitionBy("s_idx").orderBy("year")
     y = yearly.select("s_idx", "year", F.col("hsi").alias("h1"), F.lag("hsi").over(w).alias("h0"), F.lead("hsi").over(w).alias("h2"))

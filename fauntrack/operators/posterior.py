@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graphs as G
@@ -179,8 +179,12 @@ def predictive_check(pairs: DataFrame, kernel: DataFrame, n_units: int, draws: i
     return d.groupBy("draw").agg(F.avg(F.pow(F.col("o") - F.col("q"), 2)).alias("brier"), F.coalesce(F.sum(F.when(both, F.col("o") * F.log(F.col("o") / F.col("q")))), F.lit(0.0)).alias("kl"))
 
 
-def persistence_gain(pairs: DataFrame, kernel: DataFrame, units: DataFrame, n_units: int, kappas: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0), headings: int = 6) -> DataFrame:
-    """kappa, loglik (mean over all pairs, whatever their k) of the kernel with turning cost; kappas are dealt over tasks."""
+def persistence_gain(pairs: DataFrame, kernel: DataFrame, units: DataFrame, n_units: int, kappas: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0, 4.0), headings: int = 8) -> DataFrame:
+    """kappa, loglik (mean over all pairs, whatever their k) of the kernel with turning cost, baseline (of the kernel itself), gain, is_best, improves; kappas are dealt over tasks.
+
+    A probability counts as 1e-300 at least; of equal kappas the smaller one is
+    best, and it improves if its gain is above 1e-9.
+    """
     u = units.select("s_idx", "lon", "lat").orderBy("s_idx").toPandas()  # mesh-sized
     obs = pairs.groupBy("release", "recapture", "k").agg(F.count("*").alias("n"))
     if obs.count() > G.MOST_EDGES:
@@ -202,13 +206,19 @@ def persistence_gain(pairs: DataFrame, kernel: DataFrame, units: DataFrame, n_un
                     np.add.at(m, (src * headings + h, g.dst * headings + np.where(stay, h, into)), w)
                 m /= np.maximum(m.sum(1, keepdims=True), 1e-300)
                 x = np.repeat(np.eye(n_units), headings, axis=1) / headings
+                base, first = np.eye(n_units), 0.0
                 total, seen = 0.0, {k: p for k, p in o.groupby("k")}
                 for k in range(1, int(o["k"].max()) + 1 if len(o) else 0):
-                    x = x @ m
+                    x, base = x @ m, g.push(base)
                     if k in seen:
                         p = seen[k]
                         q = x.reshape(n_units, n_units, headings).sum(2)[p["release"] - 1, p["recapture"] - 1]
-                        total += float((p["n"] * np.log(np.maximum(q, 1e-12))).sum())
-                yield pd.DataFrame({"kappa": [float(kappa)], "loglik": [total / max(1, o["n"].sum())]})
-
-    return pairs.sparkSession.createDataFrame([(float(k),) for k in kappas], "kappa double").repartition(len(kappas)).mapInPandas(run, "kappa double, loglik double")
+                        total += float((p["n"] * np.log(np.maximum(q, 1e-300))).sum())
+                        first += float((p["n"] * np.log(np.maximum(base[p["release"] - 1, p["recapture"] - 1], 1e-300))).sum())
+                n = max(1, o["n"].sum())
+                yield pd.DataFrame({"kappa": [float(kappa)], "loglik": [total / n], "baseline": [first / n]})
+
+    scored = pairs.sparkSession.createDataFrame([(float(k),) for k in kappas], "kappa double").repartition(len(kappas)).mapInPandas(run, "kappa double, loglik double, baseline double")
+    gain = F.col("loglik") - F.col("baseline")
+    best = F.max_by("kappa", F.struct("loglik", -F.col("kappa"))).over(Window.partitionBy())  # a row a kappa
+    return scored.withColumns({"gain": gain, "is_best": F.col("kappa") == best}).withColumn("improves", F.col("is_best") & (F.col("gain") > 1e-9))

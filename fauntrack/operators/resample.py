@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fauntrack.functions import geo
+
 #: Unit tables up to this many rows may be broadcast; their count is checked, beyond it joins run on a grid.
 SMALL_UNITS = 20_000
 
@@ -27,22 +29,26 @@ def snap(points: DataFrame, units: DataFrame, cell: float, edges: DataFrame | No
     Points and units meet in grid cells of the given size and the eight around
     (an exact answer whenever a unit stands within one cell size); the few
     points without such a unit look through all units, which are broadcast only
-    if their number has been checked.
+    if their number has been checked; more units are searched again in ever
+    larger cells until every point has one. Points without finite coordinates
+    have no row.
     """
     u = _active(units, edges).select("s_idx", F.col("x").alias("ux"), F.col("y").alias("uy"))
     grid = lambda c: F.floor(F.col(c) / cell)
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     spread = u.withColumn("o", around).select("s_idx", "ux", "uy", (grid("ux") + F.col("o.i")).alias("gx"), (grid("uy") + F.col("o.j")).alias("gy"))
-    p = points.select(F.col(key).alias("_k"), "x", "y").withColumns({"gx": grid("x"), "gy": grid("y")})
+    p = points.where(geo.finite("x") & geo.finite("y")).select(F.col(key).alias("_k"), "x", "y").withColumns({"gx": grid("x"), "gy": grid("y")})
     d = F.hypot(F.col("x") - F.col("ux"), F.col("y") - F.col("uy"))
     near = p.join(spread, ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= cell).groupBy("_k").agg(F.min(F.struct("d", "s_idx")).alias("b"))
     rest = p.join(near.select("_k"), "_k", "left_anti")
     if u.count() <= SMALL_UNITS:
         found = _nearest(rest.select("_k", "x", "y"), u, 1)
         far = found.select(F.col("_k"), F.struct("d", "s_idx").alias("b"))
+    elif not rest.limit(1).count():
+        far = near
     else:
         far = snap(rest.select(F.col("_k").alias(key), "x", "y"), units, cell * 4, edges, key).select(F.col(key).alias("_k"), F.struct(F.col("distance").alias("d"), "s_idx").alias("b"))
-    return near.union(far).select(F.col("_k").alias(key), F.col("b.s_idx").alias("s_idx"), F.col("b.d").alias("distance"))
+    return (near if far is near else near.union(far)).select(F.col("_k").alias(key), F.col("b.s_idx").alias("s_idx"), F.col("b.d").alias("distance"))
 
 
 def _nearest(points: DataFrame, units: DataFrame, k: int, digits: int | None = None) -> DataFrame:

@@ -150,5 +150,12 @@ def hsi_at_month(det: DataFrame, monthly: DataFrame, climate: DataFrame) -> Data
 
 
 def group_label(sex: Column, mat: Column) -> Column:
-    """Demographic group as one label; unknown parts are 'unknown'."""
-    return F.concat_ws("_", F.coalesce(F.lower(F.trim(sex)), F.lit("unknown")), F.coalesce(F.lower(F.trim(mat)), F.lit("unknown")))
+    """Demographic group: immature, or male or female of the mature ones by sex M or F (fixed spellings); all others are unknown."""
+    mature = mat == "mature"
+    return F.when(mat == "immature", "immature").when(mature & (sex == "M"), "male").when(mature & (sex == "F"), "female").otherwise("unknown")
+
+
+def group_ids(df: DataFrame, label: str = "label") -> DataFrame:
+    """df with `group`: the place of its label, from 1, among the labels that occur (four at most)."""
+    found = df.agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    return df.withColumn("group", F.array_position(found.scalar(), F.col(label)).cast("int"))

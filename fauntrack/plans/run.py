@@ -41,6 +41,11 @@ def build_mesh(spark: SparkSession, det: DataFrame, s: Settings) -> tuple[DataFr
     return mesh.land_barrier(u, e)
 
 
+def _chosen(pairs: DataFrame, most: int) -> DataFrame:
+    """The first pairs by a hash of tag and number: the same ones in every run."""
+    return pairs.orderBy(F.xxhash64("tagid", "tag"), "tagid", "tag").limit(most)
+
+
 def run(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
     """Result tables of a run, written to the output store and returned."""
     det = prepare(spark, s)
@@ -54,9 +59,9 @@ def run(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
     n = u.count()
     out = {"detections": placed.drop("id"), "units": u, "edges": e, "pairs": pairs, "kernel": k}
     if "paths" in s.diagnostics:
-        out["paths"] = markov.paths(pairs.limit(s.max_paths), markov.least_cost(u, e), n)
+        out["paths"] = markov.paths(_chosen(pairs, s.max_paths), markov.least_cost(u, e), n)
     if "agents" in s.diagnostics:
-        starts = pairs.limit(s.n_agents).select(F.xxhash64("tagid", "tag").alias("tagid"), F.col("release").alias("start_node"), F.col("k").alias("n_steps"))
+        starts = _chosen(pairs, s.n_agents).select(F.xxhash64("tagid", "tag").alias("tagid"), F.col("release").alias("start_node"), F.col("k").alias("n_steps"))
         out["trajectories"] = markov.agents(starts, k, n, s.seed)
     if "circuit" in s.diagnostics:
         out["laplacian"] = markov.laplacian(markov.conductance(u, e))

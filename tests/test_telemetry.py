@@ -72,3 +72,12 @@ def test_regression_and_t_tail(spark):
     r = ecology.trait_regression(spark.createDataFrame([(float(a), float(b)) for a, b in xy], "x double, y double"), "x", "y").first()
     assert r["slope"] > 0 and r["r2"] > 0.9 and ecology.t_tail(r["t"], r["n"] - 2) < 0.01
     assert ecology.t_tail(2.228, 10) == pytest.approx(0.05, abs=1e-3)
+
+
+def test_groups_and_habitat_have_the_expected_values(spark):
+    d = spark.createDataFrame([(1, "M", "mature"), (2, "F", "mature"), (3, "F", "immature"), (4, None, "mature"), (5, "M", None)], "id int, sex string, mat string")
+    got = telemetry.group_ids(d.withColumn("label", telemetry.group_label(F.col("sex"), F.col("mat")))).orderBy("id").collect()
+    assert [(r["label"], r["group"]) for r in got] == [("male", 3), ("female", 1), ("immature", 2), ("unknown", 4), ("unknown", 4)]
+    h = spark.createDataFrame([(6.0, 150.0), (9.0, 150.0), (3.0, 15.0), (3.0, 150.0), (3.0, -150.0), (10.0, 150.0), (5.0, 400.0)], "t double, z double")
+    got = [round(r[0], 4) for r in h.select(geo.habitat_suitability("t", "z")).collect()]
+    assert got == [0.2433, 0.0017, 0.0, 0.8808, 0.8808, 0.0, 0.0]
