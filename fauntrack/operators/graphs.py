@@ -117,6 +117,14 @@ def logged(g: Csr, p_min: float = 1e-12) -> Inward:
     return inward(g, np.log(np.where(ok, g.w, 1.0)), ok)
 
 
+def advance(e: Inward, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score over the edges into each of e.into, and the smallest source that has it."""
+    value = score[e.src] + e.score
+    top = np.maximum.reduceat(value, e.first)
+    best = value == np.repeat(top, np.diff(np.r_[e.first, len(value)]))
+    return top, e.src[np.minimum.reduceat(np.where(best, np.arange(len(value)), len(value)), e.first)]
+
+
 def best_walks(steps: list[Inward], n: int, u: int, events: list[tuple[int, int]]) -> list[tuple[list[int], float]]:
     """Walk of exactly k steps from u to v with the largest sum of scores, and the sum, for every (v, k); step t uses steps[t - 1], the last one beyond.
 
@@ -129,11 +137,7 @@ def best_walks(steps: list[Inward], n: int, u: int, events: list[tuple[int, int]
         e = steps[min(t, len(steps)) - 1]
         if not len(e.src):
             break
-        value = score[t - 1][e.src] + e.score
-        top = np.maximum.reduceat(value, e.first)
-        score[t, e.into] = top
-        best = value == np.repeat(top, np.diff(np.r_[e.first, len(value)]))
-        back[t, e.into] = e.src[np.minimum.reduceat(np.where(best, np.arange(len(value)), len(value)), e.first)]
+        score[t, e.into], back[t, e.into] = advance(e, score[t - 1])
     out = []
     for v, k in events:
         if score[k, v] == -np.inf:
@@ -228,33 +232,43 @@ def bridges(g: Csr, u: int, events: list[tuple[int, int]]) -> Iterator[np.ndarra
         yield c / np.maximum(c.sum(1, keepdims=True), 1e-300)
 
 
-def viterbi_hmm(kernels: list[np.ndarray], emission: np.ndarray) -> np.ndarray:
-    """Most likely states of log emissions (time x units) under kernels of the steps; ties to the smaller unit."""
+def viterbi_hmm(kernels: list[Csr], emission: np.ndarray) -> np.ndarray:
+    """Most likely states of log emissions (time x units); ties to the smaller unit.
+
+    Step t uses kernels[t - 1], the last one beyond; a move that a kernel lacks
+    costs 1e9, so that there always is a path. Work is on the edges only.
+    """
     t, n = emission.shape
-    score = -np.log(n) + emission[0]
+    steps = [logged(g, 1e-15) for g in kernels]
+    score = emission[0] - np.log(n)
     back = np.zeros((t, n), int)
     for k in range(1, t):
-        lp = np.log(np.maximum(kernels[(k - 1) % len(kernels)], np.exp(-1e9)), where=kernels[(k - 1) % len(kernels)] > 0, out=np.full((n, n), -1e9))
-        step = score[:, None] + lp
-        back[k] = step.argmax(0)
-        score = step.max(0) + emission[k]
+        e, far = steps[min(k, len(steps)) - 1], int(score.argmax())
+        top, frm = np.full(n, score[far] - 1e9), np.full(n, far)
+        if len(e.src):
+            best, at = advance(e, score)
+            better = best >= top[e.into]
+            top[e.into[better]], frm[e.into[better]] = best[better], at[better]
+        score, back[k] = top + emission[k], frm
     path = [int(score.argmax())]
     for k in range(t - 1, 0, -1):
         path.append(int(back[k][path[-1]]))
     return np.array(path[::-1])
 
 
-def forward_backward(kernels: list[np.ndarray], likelihood: np.ndarray) -> np.ndarray:
-    """State probabilities (time x units) by scaled recursions; a time without likelihood is uniform."""
+def forward_backward(kernels: list[Csr], likelihood: np.ndarray) -> np.ndarray:
+    """State probabilities (time x units) by scaled recursions under the kernels of viterbi_hmm; a time without likelihood is uniform."""
     t, n = likelihood.shape
+    src = [np.repeat(np.arange(n), np.diff(g.start)) for g in kernels]
     f, b = np.zeros((t, n)), np.ones((t, n))
     f[0] = likelihood[0] / n
     f[0] = f[0] / f[0].sum() if f[0].sum() > 0 else 1 / n
     for k in range(1, t):
-        f[k] = (f[k - 1] @ kernels[(k - 1) % len(kernels)]) * likelihood[k]
+        f[k] = kernels[min(k, len(kernels)) - 1].push(f[k - 1]) * likelihood[k]
         f[k] = f[k] / f[k].sum() if f[k].sum() > 0 else 1 / n
     for k in range(t - 2, -1, -1):
-        b[k] = kernels[k % len(kernels)] @ (likelihood[k + 1] * b[k + 1])
+        g, s = kernels[min(k + 1, len(kernels)) - 1], src[min(k + 1, len(kernels)) - 1]
+        b[k] = np.bincount(s, g.w * (likelihood[k + 1] * b[k + 1])[g.dst], n)
         b[k] = b[k] / b[k].sum() if b[k].sum() > 0 else 1 / n
     g = f * b
     return g / np.maximum(g.sum(1, keepdims=True), 1e-300)

@@ -218,22 +218,38 @@ def stochastic_paths(events: DataFrame, units: DataFrame, edges: DataFrame, n_un
     return found.groupBy("release", "recapture", "s_idx").agg((F.countDistinct("draw") / draws).alias("visit_prob"), F.avg("cost").alias("mean_cost"))
 
 
-def smooth_states(det: DataFrame, kernel: DataFrame, n_units: int, hit: float = 0.8) -> DataFrame:
-    """tagid, tag, s_idx (Viterbi), prob (forward-backward, of that unit) for each detection; tags are the parallel unit."""
-    g = _share(kernel, G.collect_csr(kernel, n_units))
+def smooth_states(det: DataFrame, kernel: DataFrame, units: DataFrame, n_units: int, unit_seconds: float = 86400.0, sigma_km: float = 15.0) -> DataFrame:
+    """tagid, step, s_idx (Viterbi), prob (forward-backward, of that unit), observed for every time step from a tag's first detection to its last; tags are the parallel unit.
+
+    det: tagid, tag, ts, s_idx; units: s_idx, lon, lat, is_land. A detection is
+    seen at its unit, or at another one by a Gaussian of the distance; land is
+    never a state; steps without a detection tell nothing; of several
+    detections in one step the last one counts.
+    """
+    place = units.select("s_idx", F.radians("lon").alias("lon"), F.radians("lat").alias("lat"), "is_land").orderBy("s_idx").toPandas()  # mesh-sized
+    shared = det.sparkSession.sparkContext.broadcast((G.collect_csr(kernel, n_units), place["lon"].to_numpy(), place["lat"].to_numpy(), place["is_land"].to_numpy(bool)))
+    spread = sigma_km * sigma_km
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tag")
-        p = g.value.dense()
-        p = np.where(p > 0, p, 1e-9)
-        p /= p.sum(1, keepdims=True)
-        like = np.full((len(pdf), n_units), (1 - hit) / max(1, n_units - 1))
-        like[np.arange(len(pdf)), pdf["s_idx"].to_numpy() - 1] = hit
-        state = G.viterbi_hmm([p], np.log(like))
-        prob = G.forward_backward([p], like)
-        return pd.DataFrame({"tagid": pdf["tagid"], "tag": pdf["tag"], "s_idx": state + 1, "prob": prob[np.arange(len(pdf)), state]})
-
-    return det.select("tagid", "tag", "s_idx").groupBy("tagid").applyInPandas(run, "tagid long, tag int, s_idx int, prob double")
+        g, lon, lat, land = shared.value
+        pdf = pdf.sort_values(["us", "tag"])
+        us = pdf["us"].to_numpy()
+        t = np.rint((us - us[0]) / (unit_seconds * 1e6)).astype(int)
+        seen = np.full(t[-1] + 1, -1)
+        seen[t] = pdf["s_idx"].to_numpy() - 1
+        logs, like = np.zeros((len(seen), n_units)), np.ones((len(seen), n_units))
+        for i in np.flatnonzero(seen >= 0):
+            u = seen[i]
+            a = np.sin((lat - lat[u]) / 2) ** 2 + np.cos(lat) * np.cos(lat[u]) * np.sin((lon - lon[u]) / 2) ** 2
+            z = -0.5 * (2 * 6378.137 * np.arcsin(np.sqrt(np.minimum(1.0, a)))) ** 2 / spread
+            logs[i], like[i] = z - 0.5 * np.log(2 * np.pi * spread), np.exp(z)
+            logs[i, u], like[i, u] = 0.0, 1.0
+        logs[:, land], like[:, land] = -1e9, 0.0
+        state = G.viterbi_hmm([g], logs)
+        prob = G.forward_backward([g], like)
+        return pd.DataFrame({"tagid": pdf["tagid"].iloc[0], "step": np.arange(len(seen), dtype="int32"), "s_idx": (state + 1).astype("int32"), "prob": prob[np.arange(len(seen)), state], "observed": seen >= 0})
+
+    return det.select("tagid", "tag", F.unix_micros("ts").alias("us"), "s_idx").groupBy("tagid").applyInPandas(run, "tagid long, step int, s_idx int, prob double, observed boolean")
 
 
 def agents(starts: DataFrame, kernel: DataFrame, n_units: int, seed: int = 1) -> DataFrame:

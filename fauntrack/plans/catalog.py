@@ -588,7 +588,7 @@ def steady_corridor(s, d):
 
 @query()
 def viterbi_hmm(s, d):
-    return markov.smooth_states(X.detections(s, d), kern(s, d), N).select("tagid", "tag", "s_idx", r6("prob"))
+    return markov.smooth_states(X.detections(s, d), kern(s, d), X.units(s, d), N).select("tagid", "step", "s_idx", r6("prob"), "observed")
 
 
 @query()

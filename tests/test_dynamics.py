@@ -134,3 +134,16 @@ def test_exact_walks_and_corridor_totals_of_a_constant_kernel(spark):
     cells = markov.corridors(events(spark), kernel, N).groupBy("s_idx").sum("prob").collect()
     totals = {r["s_idx"]: r["prob"] for r in markov.corridor_use(events(spark), kernel, N).collect()}
     assert {r[0]: pytest.approx(r[1]) for r in cells} == totals
+
+
+def test_smoothing_fills_the_gaps(spark):
+    import datetime as dt
+
+    units = spark.createDataFrame([(i, -63.0 + 0.5 * i, 44.0, i == 4) for i in range(1, 5)], "s_idx int, lon double, lat double, is_land boolean")
+    moves = [(i, j, 1.0) for i in range(1, 5) for j in range(1, 5) if abs(i - j) <= 1]
+    kernel = spark.createDataFrame([(i, j, w / sum(1 for m in moves if m[0] == i)) for i, j, w in moves], "src int, dst int, p double")
+    day = lambda n, h=0: dt.datetime(2024, 1, 1 + n, h)
+    det = spark.createDataFrame([(7, 0, day(0), 1), (7, 1, day(2), 2), (7, 2, day(2, 1), 3), (8, 0, day(0), 2)], "tagid long, tag int, ts timestamp, s_idx int")
+    got = markov.smooth_states(det, kernel, units, 4).orderBy("tagid", "step").collect()
+    assert [(r["tagid"], r["step"], r["s_idx"], r["observed"]) for r in got] == [(7, 0, 1, True), (7, 1, 2, False), (7, 2, 3, True), (8, 0, 2, True)]
+    assert all(0 < r["prob"] <= 1 for r in got)

@@ -78,8 +78,9 @@ def test_smoothing_agrees_with_enumeration():
         total += w
         for t in range(4):
             marg[t, s[t]] += w
-    assert tuple(G.viterbi_hmm([p], np.log(like))) == path
-    assert np.allclose(G.forward_backward([p], like), marg / total)
+    g = G.make_csr(*(a.ravel() for a in np.indices((3, 3))), p.ravel(), 3)
+    assert tuple(G.viterbi_hmm([g], np.log(like))) == path
+    assert np.allclose(G.forward_backward([g], like), marg / total)
 
 
 def test_floored():
