@@ -3,21 +3,27 @@
 The base finds email, ip, card and phone by pattern. The model, trained in numpy
 on labelled spans (bounded number of carrier texts from the table with spans of
 known kind set into them), adds spans that the patterns miss: card numbers with
-a wrong check digit, phone numbers without a plus sign, addresses without a dot.
-A text is read in overlapping windows wherever a span of a kind can stand at
-all (a span holds an @, or at least LEAST_DIGITS digits with separators); each
-character takes the scores of the window in which it is most central, and one
-Viterbi pass over the whole stretch reconciles the windows.
+a wrong check digit, phone numbers without a plus sign or with slashes, dashes
+and spaces beyond ASCII, addresses without a dot or spelled with "at" and "dot".
+A text is read in overlapping windows around every digit, every @ and the words
+and brackets of spelled addresses, widened to whole tokens: a span of any kind
+holds one of them. Each character takes the scores of the window in which it is
+most central, and one Viterbi pass over the stretch reconciles the windows. What
+the model marks is kept by its content alone (numbers of digits, four parts of
+an ip, a sign or word for @), whatever its separators are.
 
 Defined results: null or empty texts have no spans; repeated rows are read one
 by one; an empty table gives an empty result; extra columns are ignored; work
-is linear in the text, also for very long runs of one character.
+is linear in the text and memory bounded, also for very long texts of digits
+alone, which are decoded in overlapping pieces.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table, text_buffer
+from .common import hash_sample, table
 
 # The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -35,10 +41,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Carrier texts, window and its step, and margin around a place where a span can stand.
-CARRIERS, WINDOW, STEP, MARGIN = 200, 96, 48, 24
-LEAST_DIGITS = 7
-_SEED = re.compile(r"[0-9](?:[\x20().+-]{0,3}[0-9]){6,}|@")
+#: Carrier texts and the characters used of each (both bound the fitting data only), window and its step.
+CARRIERS, CARRIER_CHARS, WINDOW, STEP = 200, 4000, 96, 48
+#: Margin around a place where a span can stand, most characters added to end on whole tokens, and characters decoded at once.
+MARGIN, TOKEN, LONGEST, OVERLAP = 24, 80, 2048, 256
+_SEED = re.compile(r"\d+|@|\b[Dd][Oo][Tt]\b|[(\[{<]\s?[Aa][Tt]\s?[)\]}>]")
 
 
 def _luhn(digits: str) -> bool:
@@ -82,15 +89,25 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 _PUNCTUATION = "@.-+()_%/:,;\"'=#*$&|<>[]!? \n"
-_CLASSES = 5 + len(_PUNCTUATION)
+_LETTERS = "atdo"  # letters of the words that stand for signs in spelled addresses
+_CLASSES = 5 + len(_PUNCTUATION) + len(_LETTERS)
 
 
 def _char_classes() -> np.ndarray:
-    """Class of each character below 128: digit, lower, upper, other, other letters, and each sign of its own."""
-    out = np.full(129, 3)
-    out[48:58], out[97:123], out[65:91], out[128] = 0, 1, 2, 4
-    for k, c in enumerate(_PUNCTUATION):
+    """Class of each character of the basic plane: digit, lower, upper, other, other letters, and each sign of its own.
+
+    Digits, spaces and dashes of any script are those of ASCII.
+    """
+    out = np.full(65537, 4, np.int64)
+    out[:128] = 3
+    out[48:58], out[97:123], out[65:91] = 0, 1, 2
+    for k, c in enumerate(_PUNCTUATION + _LETTERS):
         out[ord(c)] = 5 + k
+        out[ord(c.upper())] = 5 + k
+    for code in range(128, 65536):
+        kind = unicodedata.category(chr(code))
+        if kind in ("Nd", "Zs", "Pd"):
+            out[code] = 0 if kind == "Nd" else out[32] if kind == "Zs" else out[45]
     return out
 
 
@@ -99,7 +116,7 @@ _CLASS = _char_classes()
 
 def classes_of(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _CLASS[np.minimum(codes, 128)]
+    return _CLASS[np.minimum(codes, 65536)]
 
 
 def _sigmoid(x):
@@ -109,7 +126,7 @@ def _sigmoid(x):
 class Tagger:
     """Bidirectional LSTM over character classes, a linear layer, and CRF transitions."""
 
-    def __init__(self, hidden: int = 20, width: int = 10, seed: int = 3) -> None:
+    def __init__(self, hidden: int = 32, width: int = 10, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.h = hidden
         f = np.float32
@@ -216,34 +233,41 @@ class Tagger:
 
 
 def _made_up(rng: np.random.Generator) -> tuple[int | None, str]:
-    """A labelled span, or a number that is none."""
+    """A labelled span, or a number or phrase that is none."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     w = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 10)))
-    kind = int(rng.integers(0, 7))
+    one = lambda *x: x[int(rng.integers(0, len(x)))]
+    kind = int(rng.integers(0, 9))
     if kind == 0:
-        return 0, w() + rng.choice([".", "_", "", "-", "+"]) + (d(2) if rng.random() < 0.6 else w()) + "@" + w() + (d(1) if rng.random() < 0.4 else "") + rng.choice([".example.com", ".org", ".example.net", "", ".co.uk"])
+        return 0, w() + one(".", "_", "", "-", "+") + (d(2) if rng.random() < 0.6 else w()) + "@" + w() + (d(1) if rng.random() < 0.4 else "") + one(".example.com", ".org", ".example.net", "", ".co.uk")
+    if kind == 5:
+        at, dot = one((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), (" [at] ", "."))
+        return 0, w() + one("", d(2), "." + w()) + at + w() + dot + one("com", "org", "net", "de")
     if kind == 1:
-        return 1, ".".join(str(v) for v in rng.integers(0, 256, 4))
+        return 1, one(".", ".", ".", " . ", "[.]").join(str(v) for v in rng.integers(0, 256, 4))
     if kind in (2, 4):
-        n = int(rng.choice([13, 14, 15, 16, 16, 16, 16, 19]))
-        x, sep = d(n), str(rng.choice(["", "", " ", "-"]))
+        n = one(13, 14, 15, 16, 16, 16, 16, 19)
+        x, sep = d(n), one("", "", " ", "-", "\u00a0", "\u2013", ".", "/")
         return 2, sep.join(x[k : k + 4] for k in range(0, n, 4))
-    if kind == 3:
-        a, b, c = d(3), d(3), d(4)
-        return 3, str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d(2)}{d(9)}"]))
+    if kind in (3, 6):
+        a, b, c, sep = d(3), d(3), d(4), one("-", ".", " ", "\u00a0", "\u2013", "\u2011", "/")
+        return 3, one(f"+1 ({a}) {b}{sep}{c}", f"({a}) {b}{sep}{c}", f"{a}{sep}{b}{sep}{c}", f"+{d(2)}{sep}{d(2)}{sep}{d(4)}{sep}{d(4)}", f"+1{sep}{a}{sep}{b}{sep}{c}", sep.join([d(2)] * 5), f"0{d(2)}/{d(7)}", f"+{d(2)}{d(9)}")
     y, m, dd = rng.integers(1900, 2100), rng.integers(1, 13), rng.integers(1, 29)
     hexes = "".join("0123456789abcdef"[v] for v in rng.integers(0, 16, int(rng.integers(16, 41))))
-    return None, str(rng.choice([f"{y}-{m:02d}-{dd:02d}", f"{m:02d}/{dd:02d}/{y}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}.{d(2)}", f"{y}", d(int(rng.integers(1, 9))), f"v{d(1)}.{d(1)}.{d(2)}", f"token={hexes}", hexes, f"{d(1)} {d(1)} {d(1)} {d(1)} {d(1)} {d(1)} {d(1)} {d(1)}", f"{d(3)} {d(3)} {d(3)}", f"{y}{m:02d}{dd:02d}{d(6)}", f"{y}-{m:02d}-{dd:02d} {d(2)}:{d(2)}", d(int(rng.integers(20, 40)))]))
+    date = one(f"{y}-{m:02d}-{dd:02d}", f"{m:02d}/{dd:02d}/{y}", f"{dd:02d}.{m:02d}.{y}", f"{y}/{m:02d}/{dd:02d}")
+    numbers = one(f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)},{d(3)},{d(3)}.{d(2)}", f"{y}", d(int(rng.integers(1, 9))), f"v{d(1)}.{d(1)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{y}\u2013{d(4)}", f"{d(2)}/{d(2)}", f"{d(3)} {d(3)} {d(3)}", f"{y}{m:02d}{dd:02d}{d(6)}", " ".join(d(1) for _ in range(8)), ", ".join(d(2) for _ in range(6)), f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", d(int(rng.integers(20, 40))))
+    words = one(f"look at the {w()} dot", f"a dot at {w()}", f"{w()} @ {w()} {d(2)}", f"dot {w()} at {w()}", f"token={hexes}", hexes)
+    return None, one(date, f"{date} {d(2)}:{d(2)}", f"{date} {date}", numbers, numbers, numbers, words)
 
 
-def train(carriers: list[str], steps: int = 260, batch: int = 48, seed: int = 17) -> Tagger:
+def train(carriers: list[str], steps: int = 420, batch: int = 48, seed: int = 17) -> Tagger:
     """A tagger fitted to made-up labelled spans in carrier text; carriers lose their own digits and @ first."""
     rng = np.random.default_rng(seed)
-    plain = " ".join(re.sub(r"\S*[0-9@]\S*", "", c)[:4000] for c in carriers) or "the quick brown fox jumps over the lazy dog "
+    plain = " ".join(re.sub(r"\S*[0-9@]\S*", "", c)[:CARRIER_CHARS] for c in carriers) or "the quick brown fox jumps over the lazy dog "
     plain = plain * (1 + 400 // len(plain))
     tagger = Tagger()
     first, second = ({k: np.zeros_like(v) for k, v in tagger.p.items()} for _ in range(2))
-    size = 72
+    size = 96
     for step in range(1, steps + 1):
         ids, tags = np.empty((batch, size), np.int64), np.zeros((batch, size), np.int64)
         for r in range(batch):
@@ -274,44 +298,71 @@ _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ](?:0[1-9]|1[0-2])[-./ ](?:[0-2][0-9]
 
 
 def _holds(kind: int, span: str) -> bool:
-    """Whether a span of the model can be of its kind at all."""
-    n = sum(map(span.count, "0123456789"))
+    """Whether a span of the model has the content of its kind, whatever its separators are."""
+    numbers = re.findall(r"\d+", span)
+    n = sum(map(len, numbers))
     if kind == 0:
-        return re.fullmatch(r"[A-Za-z0-9._%+-]{1,80}@[A-Za-z0-9-][A-Za-z0-9.-]{1,80}", span) is not None
+        spelled = re.search(r"\b(?:at)\b", span, re.I) and re.search(r"\bdot\b|\.", span, re.I)
+        return re.fullmatch(r"\S+@\S+", span) is not None or (spelled is not None and "@" not in span and len(span.split()) <= 7)
+    if kind and any(c.isalpha() for c in span):
+        return False
     if kind == 1:
-        return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", span) is not None and all(int(p) <= 255 for p in span.split("."))
+        return len(numbers) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in numbers)
     if kind == 2:
-        return re.fullmatch(r"[0-9](?:[\x20.-]?[0-9]){12,18}", span) is not None
-    return re.fullmatch(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){8,14}", span) is not None and n >= 9 and any(c in span for c in "+()- .") and not _DATE.match(span)
+        return 13 <= n <= 19
+    return 9 <= n <= 15 and (len(numbers) > 1 or "+" in span) and not _DATE.match(span)
 
 
 def _stretches(text: str) -> list[tuple[int, int]]:
-    """Where spans can stand: seeds with a margin, merged."""
+    """Where spans can stand: seeds with a margin out to whole tokens, merged."""
     out: list[list[int]] = []
     for m in _SEED.finditer(text):
-        s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
+        last = out[-1][1] if out else 0
+        if out and m.end() + MARGIN <= last:
+            continue
+        e = min(len(text), m.end() + MARGIN)
+        bound = min(len(text), e + TOKEN)
+        while e < bound and not text[e].isspace():
+            e += 1
+        s = max(0, m.start() - MARGIN)
+        bound = max(0, last, s - TOKEN)
+        while s > bound and not text[s - 1].isspace():
+            s -= 1
+        if out and s <= last:
+            out[-1][1] = max(last, e)
         else:
             out.append([s, e])
     return [(s, e) for s, e in out]
 
 
+def _pieces(text: str) -> list[tuple[int, int, int, int]]:
+    """Stretches as (start, end, first and last place that a span of the piece may start at); long ones overlap."""
+    out = []
+    for s, e in _stretches(text):
+        at, own = s, s
+        while e - at > LONGEST:
+            end = at + LONGEST
+            out.append((at, end, own, end - OVERLAP // 2))
+            own, at = end - OVERLAP // 2, end - OVERLAP
+        out.append((at, e, own, e))
+    return out
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) found by the model in each text."""
-    work = [(k, s, e) for k, t in enumerate(texts) for s, e in _stretches(t)]
+    """(kind, start, end) found by the model in each text, by start."""
+    work = [(k, *x) for k, t in enumerate(texts) for x in _pieces(t)]
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     work.sort(key=lambda x: x[2] - x[1])
     at = 0
     while at < len(work):
-        # stretches of like length together, a bounded number of characters at once
+        # pieces of like length together, a bounded number of characters at once
         end = at + 1
         while end < len(work) and (end + 1 - at) * (work[end][2] - work[end][1]) <= 60_000:
             end += 1
         part = work[at:end]
         at = end
-        long = max(e - s for _, s, e in part)
-        ids = [classes_of(texts[k][s:e]) for k, s, e in part]
+        long = max(x[2] - x[1] for x in part)
+        ids = [classes_of(texts[k][s:e]) for k, s, e, _, _ in part]
         scores = np.zeros((len(part), long, TAGS), np.float32)
         central = np.full((len(part), long), -1, np.int64)
         windows = [(r, w) for r, x in enumerate(ids) for w in range(0, max(1, len(x) - WINDOW + STEP), STEP)]
@@ -329,21 +380,21 @@ def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, i
                 scores[r, w : w + n][better] = e[j, :n][better]
                 central[r, w : w + n][better] = middle[better]
         tags = tagger.decode(scores, np.array([len(x) for x in ids]))
-        for (k, s, e), path in zip(part, tags, strict=True):
+        for (k, s, e, low, high), path in zip(part, tags, strict=True):
             path = path[: e - s]
-            where = np.flatnonzero(path)
-            if not len(where):
+            if not path.any():
                 continue
             kinds = (path - 1) // 2
             start = None
             for j in range(len(path) + 1):
                 inside = j < len(path) and path[j] > 0
                 if start is not None and (not inside or kinds[j] != kinds[start] or path[j] % 2 == 1):
-                    found[k].append((int(kinds[start]), s + start, s + j))
+                    if low <= s + start < high:
+                        found[k].append((int(kinds[start]), s + start, s + j))
                     start = None
                 if inside and start is None:
                     start = j
-    return found
+    return [sorted(x, key=lambda y: y[1:]) for x in found]
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, int]]]]:
@@ -352,18 +403,22 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[dict[str, list[tup
     for text, extra in zip(texts, model_spans(texts, tagger), strict=True):
         base = base_spans(text)
         spans = [(k, s, e) for k, name in enumerate(KINDS) for s, e in base[name]]
+        # starts and furthest ends so far of the base: what begins before an end reaches it only through the furthest one
         taken = sorted((s, e) for _, s, e in spans)
+        starts, reach = [s for s, _ in taken], np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
+        last = 0
         for kind, s, e in extra:
             while s < e and not (text[s].isalnum() or text[s] in "+("):
                 s += 1
             while e > s and not text[e - 1].isalnum():
                 e -= 1
-            # a whole token, not the middle of a longer one, clear of the base
+            # a whole token, not the middle of a longer one, clear of the base and of the span before
             if (s and text[s - 1].isalnum() and text[s].isalnum()) or (e < len(text) and text[e].isalnum() and text[e - 1].isalnum()):
                 continue
-            if _holds(kind, text[s:e]) and not any(s < b and a < e for a, b in taken):
+            before = bisect.bisect_left(starts, e) - 1
+            if s >= last and _holds(kind, text[s:e]) and (before < 0 or reach[before] <= s):
                 spans.append((kind, s, e))
-                taken.append((s, e))
+                last = e
         out.append((base, sorted(spans)))
     return out
 
@@ -372,7 +427,7 @@ def _join(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def _find(parameters: dict[str, np.ndarray]):
@@ -381,30 +436,26 @@ def _find(parameters: dict[str, np.ndarray]):
         tagger.p = parameters
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            buf, offsets = text_buffer(batch.column("text"))
-            # texts without a digit or an @ hold no span of any kind
-            marks = np.r_[0, np.cumsum((buf == 64) | ((buf >= 48) & (buf < 58)))]
-            some = np.flatnonzero(marks[offsets[1:]] > marks[offsets[:-1]])
             n = batch.num_rows
-            counts, digest, spans = np.zeros((4, n), np.int64), [nothing] * n, [""] * n
-            for c in range(0, len(some), 500):
-                rows = some[c : c + 500]
-                texts = [batch.column("text")[int(r)].as_py() for r in rows]
-                for r, (base, found) in zip(rows.tolist(), all_spans(texts, tagger), strict=True):
+            counts, total, digest, spans = np.zeros((4, n), np.int64), np.zeros(n, np.int64), [nothing] * n, [""] * n
+            for c in range(0, n, 500):
+                rows = range(c, min(n, c + 500))
+                texts = [batch.column("text")[r].as_py() or "" for r in rows]
+                for r, (base, found) in zip(rows, all_spans(texts, tagger), strict=True):
                     own = [(k, s, e) for k, name in enumerate(KINDS) for s, e in base[name]]
                     for k, name in enumerate(KINDS):
                         counts[k, r] = len(base[name])
                     if own:
                         digest[r] = hashlib.sha256(_join(own).encode()).hexdigest()
-                    spans[r] = _join(found)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(x) for x in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    spans[r], total[r] = _join(found), len(found)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(x) for x in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(total)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, for every document."""
-    rows = hash_sample(docs.where("text is not null"), ["doc_id"], CARRIERS, docs.count()).select(F.substring("text", 1, 4000).alias("t")).collect()  # carriers only: bounded by CARRIERS
+    rows = hash_sample(docs.where("text is not null"), ["doc_id"], CARRIERS, docs.count()).select(F.substring("text", 1, CARRIER_CHARS).alias("t")).collect()  # carriers only: bounded by CARRIERS
     tagger = train([r["t"] for r in rows])
     return docs.select("doc_id", "text").mapInArrow(_find(tagger.p), _DDL)
 
