@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -66,18 +67,25 @@ def _json_encoder(vocabulary: str):
 
 @lru_cache(maxsize=2)
 def _added(vocabulary: str):
-    """A pattern of the strings that the JSON tokenizer treats as one token each, wherever they stand; None if it has none."""
-    found = [t.content for t in _json_encoder(vocabulary).get_added_tokens_decoder().values()]
+    """A pattern of the strings that the JSON tokenizer treats as one token each, wherever they stand; None if it has none.
+
+    Only the list in the file is kept: a worker holds the whole JSON tokenizer in memory only if a text asks for it.
+    """
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        found = [t["content"] for t in json.load(f)["added_tokens"]]
     return re.compile("|".join(map(re.escape, found))) if found else None
 
 
-def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+def encode(text: str, vocabulary: str = VOCABULARY, added: re.Pattern | None = None) -> list[int]:
     """Token ids of a text as `tokenizers` gives them with add_special_tokens=False.
 
     Texts that hold the string of an added token, and the very long runs on
     which the fast encoder's regex engine panics, go to the JSON tokenizer itself.
+    added is the pattern of the added tokens, where the caller has it.
     """
-    added = _added(vocabulary)
+    added = added or _added(vocabulary)
     if added is None or not added.search(text):
         try:
             return _encoder(vocabulary).encode_ordinary(text)
@@ -92,11 +100,13 @@ _PIECES_DDL = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
 def _tokenise(vocabulary: str, capacity: int):
+    added = _added(vocabulary)  # read on the driver and sent along
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*encode(text.as_py() or "", vocabulary), END_ID], dtype="<u4")
+                ids = np.array([*encode(text.as_py() or "", vocabulary, added), END_ID], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
