@@ -6,8 +6,8 @@ known kind set into them), adds spans that the patterns miss: card numbers with
 a wrong check digit, phone numbers without a plus sign or with slashes, dashes
 and spaces beyond ASCII, addresses without a dot or spelled with "at" and "dot".
 A text is read in overlapping windows around every digit, every @ and the words
-and brackets of spelled addresses, widened to whole tokens: a span of any kind
-holds one of them. Each character takes the scores of the window in which it is
+and brackets of spelled addresses, widened to whole tokens (an address spelled
+with a bare "at" and no "dot" is not read). Each character takes the scores of the window in which it is
 most central, and one Viterbi pass over the stretch reconciles the windows. What
 the model marks is kept by its content alone (numbers of digits, four parts of
 an ip, a sign or word for @), whatever its separators are.
