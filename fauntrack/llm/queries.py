@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_token_alignment
 from .chat import OP4_SQL, op4_chat_formatting
 from .html_extract import op1_html_extraction
 from .line_dedup import op3_line_dedup
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
