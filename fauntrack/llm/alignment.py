@@ -39,8 +39,6 @@ from .lookup import join_counts
 BYTE_VOCABULARY, PIECE_VOCABULARY = "byte_bpe_50k", "piece_bpe_32k"
 #: Bytes of text that are aligned at a time (one longer text is aligned on its own).
 PIECE_BYTES = 1 << 20
-#: Words of B after which a worker begins to remember afresh, and the longest that it remembers, in characters.
-REMEMBERED, LONGEST = 200_000, 64
 
 
 # ---------------------------------------------------------------- tokenizers
@@ -77,13 +75,7 @@ class ByteTokens:
 
 
 class PieceTokens:
-    """Piece BPE with byte fallback: ids of a text, which it begins with a blank of its own, and the bytes of each id.
-
-    No piece of the vocabulary has a blank after another character (looked up
-    when it is loaded, else texts are encoded whole), so no merge crosses the
-    start of a word: where single blanks part the words of a text, they are
-    encoded one by one and remembered.
-    """
+    """Piece BPE with byte fallback: ids of a text, which it begins with a blank of its own, and the bytes of each id."""
 
     def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
@@ -92,22 +84,9 @@ class PieceTokens:
         self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{vocabulary}.model"))
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(x[3:5], 16)]) if self.model.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)]
-        self.by_word = not any("▁" in x.lstrip("▁") for x in names)
-        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [t.split(" ") if self.by_word and t and "  " not in t and "▁" not in t and t[0] != " " and t[-1] != " " else None for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        fresh = list(set().union(*(words for words in split if words)).difference(self.known))
-        whole = [t for t, words in zip(texts, split, strict=True) if not words]
-        self.known.update(zip(fresh, self.model.encode(fresh, num_threads=1) if fresh else [], strict=True))
-        rest = iter(self.model.encode(whole, num_threads=1) if whole else [])
-        out = [list(chain.from_iterable(map(self.known.__getitem__, words))) if words else next(rest) for words in split]
-        for w in fresh:
-            if len(w) > LONGEST:
-                del self.known[w]
-        return out
+        return self.model.encode(texts, num_threads=1)
 
 
 @lru_cache(maxsize=1)

@@ -110,9 +110,3 @@ def test_groups_are_the_common_ends():
         common = np.intersect1d(*ends)
         assert list(of_a) == list(np.searchsorted(common, ends[0])) and list(of_b) == list(np.searchsorted(common, ends[1]))
 
-
-def test_words_on_their_own_give_the_ids_of_the_whole(models):
-    tokens = alignment.PieceTokens("piece_bpe_32k")
-    assert tokens.by_word
-    texts = [t for _, t in odd_rows() if t] + ["a b\n c\n", "it 's \t x y", "b c d"]
-    assert tokens.encode(texts) == models[1].encode(texts) == tokens.encode(texts)
