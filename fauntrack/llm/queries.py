@@ -16,6 +16,7 @@ from .ngram_join import op8_ngram_jaccard
 from .packing import op6_packing
 from .pii import op7_personal_data
 from .quality import OP9_SQL, op9_quality_rules
+from .recurrent_lm import op11_recurrent_lm
 from .substring_dedup import op2_suffix_dedup
 
 
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_quality_rules": op9_quality_rules,
         "op10_mixing": op10_mixing,
+        "op11_recurrent_lm": op11_recurrent_lm,
         "op12_token_alignment": op12_token_alignment,
     }
 
