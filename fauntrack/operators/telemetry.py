@@ -68,6 +68,30 @@ def pair_consecutive(det: DataFrame, unit_seconds: float = 3600, most: int | Non
     return d.where("release IS NOT NULL AND us >= 0").withColumn("k", k.cast("int"))
 
 
+def pair_in_chunks(det: DataFrame, unit_seconds: float = 3600, chunk: str = "month", tie: str = "event_id") -> DataFrame:
+    """The pairs of pair_consecutive() and the number of each recapture, without one task per tag.
+
+    Detections (tagid, ts, s_idx and a tie breaker) are windowed by tag and
+    calendar chunk (any unit of date_trunc), so a tag that is seen very often is
+    spread over tasks; only a row a tag and chunk (its detections, its last one)
+    is windowed by tag alone, and gives each chunk the number and the detection
+    that it continues from. Rows without a tag, time or unit are left out; ties
+    in time go by the tie breaker.
+    """
+    d = det.dropna(subset=["tagid", "ts", "s_idx"]).select("tagid", "ts", "s_idx", F.col(tie).alias("_tie"), F.date_trunc(chunk, "ts").alias("_chunk"))
+    w = Window.partitionBy("tagid", "_chunk").orderBy("ts", "_tie")
+    inside = d.select("tagid", "_chunk", "ts", "s_idx", F.row_number().over(w).alias("_n"), F.lag("s_idx").over(w).alias("_unit"), F.lag("ts").over(w).alias("_ts"))
+    ends = d.groupBy("tagid", "_chunk").agg(F.count("*").alias("_count"), F.max_by(F.struct("ts", "s_idx"), F.struct("ts", "_tie")).alias("_last"))
+    by_tag = Window.partitionBy("tagid").orderBy("_chunk")
+    before = ends.select("tagid", "_chunk", F.coalesce(F.sum("_count").over(by_tag.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lag("_last").over(by_tag).alias("_from"))
+    both = inside.join(before, ["tagid", "_chunk"])
+    first = F.col("_n") == 1
+    rel_ts = F.when(first, F.col("_from.ts")).otherwise(F.col("_ts"))
+    release = F.when(first, F.col("_from.s_idx")).otherwise(F.col("_unit"))
+    out = both.select("tagid", (F.col("_before") + F.col("_n") - 1).alias("tag"), release.alias("release"), F.col("s_idx").alias("recapture"), rel_ts.alias("rel_ts"), F.col("ts").alias("rec_ts"))
+    return out.where("release IS NOT NULL").withColumn("k", time_steps((F.unix_micros("rec_ts") - F.unix_micros("rel_ts")) / 1e6, unit_seconds))
+
+
 def bucket_of(ts: str, interval: str) -> Column:
     """Start of the bucket: month, week (Monday), 14 days from 1990-01-01, day, or the time itself."""
     t = F.col(ts)

@@ -17,7 +17,7 @@ def test_sql_only_for_known_queries():
 
 
 def test_imports_without_the_text_operators(tmp_path):
-    for p in ("fauntrack", "__spark_entry__.py"):
+    for p in ("fauntrack", "jobs", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "fauntrack/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
