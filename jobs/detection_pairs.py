@@ -24,7 +24,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fauntrack.operators import telemetry
@@ -64,15 +64,15 @@ def _part(s: Settings):
 
     def take(rows: DataFrame, batch: int, target: str) -> None:
         spark = rows.sparkSession
-        usable = [F.col(c).isNotNull() for c in ("id", "tagid", "ts", "s_idx")]
-        found = _detections(rows, s).withColumn("batch", F.lit(batch).cast("long"))
-        ok = usable[0] & usable[1] & usable[2] & usable[3]
-        # one file a bucket and batch, written once: the batch is read again from here
+        ok = F.concat(*[F.col(c).cast("string") for c in ("id", "tagid", "ts", "s_idx")]).isNotNull()
+        seen = Observation()
+        found = _detections(rows, s).withColumn("batch", F.lit(batch).cast("long")).observe(seen, F.count("*").alias("n"), F.count_if(~ok).alias("bad"))
+        # the source is read once; from here on the batch is read where it was written
         out = found.where(ok).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4)))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{target}/detections")
         stored = spark.read.schema(DETECTIONS).parquet(f"{target}/detections")
         touched = {r["bucket"]: r["n"] for r in stored.where(F.col("batch") == batch).groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row a bucket
-        LOG.info("batch %s: %s detections taken, %s without id, tag, time or unit", batch, sum(touched.values()), found.where(~ok).count())
+        LOG.info("batch %s: %s detections read, %s of them without id, tag, time or unit; %s written to %s/detections", batch, seen.get["n"], seen.get["bad"], sum(touched.values()), target)
         if not touched:
             return
         again = _once(stored.where(F.col("bucket").isin(list(touched))))
@@ -102,7 +102,7 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, s: Setti
         stream = stream.option("maxFilesPerTrigger", s.files_per_batch)
     query = stream.parquet(source).writeStream.foreachBatch(lambda rows, batch: take(rows, batch, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    LOG.info("%s batches with %s rows read from %s", len(query.recentProgress), sum(p["numInputRows"] for p in query.recentProgress), source)
+    LOG.info("%s batches taken from %s", sum(p["numInputRows"] > 0 for p in query.recentProgress), source)
     return read_pairs(spark, target)
 
 
