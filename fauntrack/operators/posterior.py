@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fauntrack.functions import geo
+
 from . import graphs as G
+from . import habitat, kernel
 
 
 def _mesh(units: DataFrame, edges: DataFrame, n_units: int):
@@ -40,6 +43,170 @@ def _crossed(events: DataFrame, parameters: DataFrame) -> DataFrame:
     return events.withColumn("_p", F.explode(F.array(*one))).select("*", "_p.*").drop("_p")
 
 
+# ------------------------------------------------------------------ posterior kernels
+
+#: Parameters of a draw, their names in a chain, and the bounds of the model (fixed values).
+PARAMETERS = {"velocity": (0.0, 0.95), "diffusion": (0.0, float("inf")), "gamma": (float("-inf"), float("inf"))}
+#: Models in the order in which their chains are taken.
+MODEL_ORDER = ("telemetry", "telemetry_and_survey")
+
+
+def active_chain(chains: DataFrame) -> DataFrame:
+    """The rows of the first model of MODEL_ORDER that has any, else of the first by name; an empty table is an error."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, MODEL_ORDER)), F.col("model")), F.lit(0))
+    first = chains.agg(F.min(F.struct(F.when(place > 0, place).otherwise(len(MODEL_ORDER) + 1).alias("place"), F.col("model").alias("model"))).alias("m")).first()["m"]
+    if first is None:
+        raise ValueError("no fitted model has a chain")
+    return chains.where(F.col("model") == first["model"]).drop("model")
+
+
+def parameter_draws(chain: DataFrame, draw: str = "draw") -> DataFrame:
+    """draw, velocity, diffusion, gamma, alpha, rho for every row of a chain.
+
+    The chain's columns are named plainly (mu_velocity) or as the sampler wraps
+    them (Parameter(mu_velocity)); other columns are ignored. Where a chain also
+    has a dispersion (sigma_velocity) and effects of individuals (z_velocity, an
+    array), a draw's value is the mean over individuals of mu + sigma z, each
+    held within the model's bounds. A missing mu is an error that names it.
+    """
+    named = {c[c.find("(") + 1 : c.rfind(")")] if "(" in c else c: c for c in chain.columns}
+    missing = [f"mu_{p}" for p in PARAMETERS if f"mu_{p}" not in named]
+    if missing:
+        raise ValueError(f"the chain lacks {', '.join(missing)}; it has {', '.join(sorted(named))}")
+    one = lambda name: F.col(f"`{named[name]}`").cast("double")
+
+    def value(p: str) -> Column:
+        low, high = PARAMETERS[p]
+        mu = one(f"mu_{p}")
+        if f"sigma_{p}" not in named or f"z_{p}" not in named:
+            return mu
+        z, sigma = F.col(f"`{named[f'z_{p}']}`"), one(f"sigma_{p}")
+        each = F.transform(z, lambda v: geo.clamp(mu + sigma * v, low, high))
+        return F.when(F.size(z) > 0, F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / F.size(z)).otherwise(mu)
+
+    d = chain.select(F.col(f"`{named[draw]}`").cast("long").alias("draw"), *[value(p).alias(p) for p in PARAMETERS])
+    alpha, rho = geo.alpha_rho("velocity", "diffusion")
+    return d.withColumns({"alpha": alpha, "rho": rho})
+
+
+def _dealt_draws(draws: DataFrame) -> DataFrame:
+    """Draws, spread over as many tasks as the session shuffles into."""
+    tasks = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return draws.select("draw", "velocity", "diffusion", "gamma", "alpha", "rho").repartition(tasks, "draw")
+
+
+def posterior_kernels(draws: DataFrame, units: DataFrame, edges: DataFrame, n_units: int) -> DataFrame:
+    """draw, src, dst, p: the transition kernel of every draw, entries up to 1e-12 left out. Draws are the parallel unit; the mesh travels to the tasks."""
+    shared = _mesh(units, edges, n_units)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mesh, g = shared.value
+        hsi = mesh["hsi"].to_numpy()
+        for pdf in batches:
+            for draw, gamma, alpha, rho in pdf[["draw", "gamma", "alpha", "rho"]].itertuples(index=False):
+                p = _kernel(mesh, g, hsi, gamma, rho, alpha)
+                keep = p.w > 1e-12
+                src = np.repeat(np.arange(n_units), np.diff(p.start))
+                yield pd.DataFrame({"draw": np.int64(draw), "src": (src[keep] + 1).astype("int32"), "dst": (p.dst[keep] + 1).astype("int32"), "p": p.w[keep]})
+
+    return _dealt_draws(draws).mapInPandas(run, "draw long, src int, dst int, p double")
+
+
+def posterior_kernel(draws: DataFrame, units: DataFrame, edges: DataFrame, beta: float = 0.0, form: str = "difference") -> DataFrame:
+    """src, dst, p: the kernel at the posterior means of alpha, rho and gamma.
+
+    With a positive beta residency differs from unit to unit by its local
+    habitat advantage (form as in habitat.advantage); with zero the fitted one
+    holds everywhere.
+    """
+    m = draws.agg(F.avg("gamma").alias("gamma"), F.avg("rho").alias("rho"), F.avg("alpha").alias("alpha")).first()
+    if beta == 0.0:
+        return kernel.static(units, edges, m["gamma"], m["rho"], m["alpha"])
+    local = habitat.advantage(units, edges, form).select("s_idx", "advantage")
+    return kernel.static(units.join(local, "s_idx"), edges, m["gamma"], habitat.residency(m["rho"], F.col("advantage"), beta, form), m["alpha"])
+
+
+def regional_draws(kernels: DataFrame, regions: DataFrame) -> DataFrame:
+    """draw, from_region, to_region, p: mean probability between the units of two regions, rows normalised, for every draw and every two regions.
+
+    regions: s_idx, region; region 0 and null are none. Regions that a draw does
+    not connect have 0, as have all of a region without mass.
+    """
+    r = regions.where("region > 0").select("s_idx", "region")
+    a, b = r.select(F.col("s_idx").alias("src"), F.col("region").alias("from_region")), r.select(F.col("s_idx").alias("dst"), F.col("region").alias("to_region"))
+    mass = kernels.join(F.broadcast(a), "src").join(F.broadcast(b), "dst").groupBy("draw", "from_region", "to_region").agg(F.sum("p").alias("m"))
+    size = r.groupBy("region").agg(F.count("*").alias("units"))
+    # the grid of regions is one array for every draw: a row a draw becomes regions squared rows
+    some = F.array_sort(F.collect_list(F.struct("region", "units")))
+    grid = kernels.select("draw").distinct().withColumn("_r", size.agg(some.alias("r")).scalar())
+    grid = grid.select("draw", "_r", F.explode("_r").alias("x")).select("draw", F.col("x.region").alias("from_region"), F.col("x.units").alias("n1"), F.explode("_r").alias("y")).select("draw", "from_region", "n1", F.col("y.region").alias("to_region"), F.col("y.units").alias("n2"))
+    m = grid.join(mass, ["draw", "from_region", "to_region"], "left").withColumn("m", F.coalesce("m", F.lit(0.0)) / (F.col("n1") * F.col("n2") + 1e-10))
+    total = F.sum("m").over(Window.partitionBy("draw", "from_region"))
+    return m.select("draw", "from_region", "to_region", F.when(total > 0, F.col("m") / total).otherwise(F.col("m")).alias("p"))
+
+
+def connectivity_intervals(by_draw: DataFrame, level: float = 0.95) -> DataFrame:
+    """source_region, sink_region, n_draws, mean_conn, lower_ci, upper_ci over all draws of regional_draws()."""
+    q = (1 - level) / 2
+    ends = lambda x: F.percentile("p", F.lit(x))
+    return by_draw.groupBy(F.col("from_region").alias("source_region"), F.col("to_region").alias("sink_region")).agg(F.count("*").alias("n_draws"), F.avg("p").alias("mean_conn"), ends(q).alias("lower_ci"), ends(1 - q).alias("upper_ci"))
+
+
+#: Weight of an edge towards better habitat, by the rise (fixed formulas).
+RISE = {"exponential": np.exp, "logistic": lambda d: 1 / (1 + np.exp(-4.0 * d)), "linear": lambda d: d}
+
+
+def resolvent_kernel(draws: DataFrame, units: DataFrame, edges: DataFrame, n_units: int, form: str = "exponential", block: int = 512) -> DataFrame:
+    """src, dst, p: mean over draws of the rows of (I - velocity A - diffusion L)^-1, rectified and normalised in each draw and at the end.
+
+    A holds the edges towards better habitat, weighed by the rise and normalised
+    by row; L is the graph Laplacian. (draw, block of rows) pairs are the
+    parallel unit: a task solves for its rows only and adds them up, so what is
+    shuffled is blocks of one matrix a task. A row without mass stays where it is.
+    """
+    shared = _mesh(units, edges, n_units)
+    blocks = -(-n_units // block)
+
+    def rectified(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x = np.maximum(x, 0)
+        total = x.sum(1)
+        x[total > 1e-12] /= total[total > 1e-12, None]
+        none = np.flatnonzero(total <= 1e-12)
+        x[none] = 0
+        x[none, at[none]] = 1
+        return x
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mesh, g = shared.value
+        hsi = mesh["hsi"].to_numpy()
+        src = np.repeat(np.arange(n_units), np.diff(g.start))
+        rise = hsi[g.dst] - hsi[src]
+        up = (rise > 0) & (src != g.dst)
+        w = g.w[up] * RISE[form](rise[up])
+        out = np.bincount(src[up], w, n_units)
+        a, lap = np.zeros((n_units, n_units)), np.zeros((n_units, n_units))
+        np.add.at(a, (src[up], g.dst[up]), w / np.where(out[src[up]] > 1e-12, out[src[up]], np.inf))
+        np.add.at(lap, (src, g.dst), -g.w)
+        lap[np.diag_indices(n_units)] += np.bincount(src, g.w, n_units)
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for b, v, d in pdf[["block", "velocity", "diffusion"]].itertuples(index=False):
+                at = np.arange(b * block, min(n_units, (b + 1) * block))
+                rows = np.linalg.solve((np.eye(n_units) - v * a - d * lap).T, np.eye(n_units)[:, at]).T
+                total[b] = total.get(b, 0) + rectified(rows, at)
+        for b, x in total.items():
+            i, j = np.nonzero(x)
+            yield pd.DataFrame({"src": (i + b * block + 1).astype("int32"), "dst": (j + 1).astype("int32"), "p": x[i, j]})
+
+    tasks = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = draws.select("draw", "velocity", "diffusion").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, "block", "draw")
+    sums = grid.mapInPandas(run, "src int, dst int, p double").groupBy("src", "dst").agg(F.sum("p").alias("p"))
+    return sums.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("src")))
+
+
+# ------------------------------------------------------------------ circuits
+
+
 def circuit_draws(events: DataFrame, units: DataFrame, edges: DataFrame, n_units: int, draws: int = 10, sd: float = 0.05, seed: int = 1) -> DataFrame:
     """draw, s_idx, density: mean current of the events' endpoints under a habitat draw."""
     shared = _mesh(units, edges, n_units)

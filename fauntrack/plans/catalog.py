@@ -800,3 +800,7 @@ def sector8(s, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_flow(spark, sf_dir)
+
+
+# the queries of this module register themselves with the functions above
+from fauntrack.plans import inference  # noqa: E402, F401
