@@ -127,3 +127,36 @@ def ring_area(ring) -> Column:
     turned = F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
     cross = F.zip_with(r, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.when(F.size(r) < 3, 0.0).otherwise(F.abs(F.aggregate(cross, F.lit(0.0), lambda a, b: a + b)) / 2)
+
+
+#: Coordinate spaces: degrees, kilometres of a plane, or to be told from the values (fixed names).
+SPACES = ("geographic", "planar_km", "unknown")
+
+
+#: Extents (west, east, south, north) within which coordinates count as degrees if nothing says what they are, and how
+#: far west the westernmost must lie at least (fixed values).
+DEGREE_BOXES = ((-180.0, -10.0, 30.0, 85.0, -20.0), (100.0, 180.0, -50.0, 70.0, 180.0), (-180.0, -50.0, -60.0, 75.0, -50.0))
+
+
+def looks_geographic(*points) -> Column:
+    """Whether points (lon, lat) lie in one of the extents of degrees together; a point that is not finite counts for nothing, and none at all is no."""
+    ok = [finite(x) & finite(y) for x, y in points]
+    some = lambda k, far: [F.when(o, _c(p[k])).otherwise(far) for o, p in zip(ok, points, strict=True)]
+    least = lambda k: F.least(*some(k, INF), F.lit(INF))
+    most = lambda k: F.greatest(*some(k, -INF), F.lit(-INF))
+    boxed = F.lit(False)
+    for west, east, south, north, furthest in DEGREE_BOXES:
+        boxed = boxed | ((least(0) >= west) & (most(0) <= east) & (least(1) >= south) & (most(1) <= north) & (least(0) <= furthest))
+    some_point = F.lit(False)
+    for o in ok:
+        some_point = some_point | o
+    return some_point & boxed
+
+
+def node_distance_km(x1, y1, x2, y2, space: str = "unknown") -> Column:
+    """Kilometres between two nodes: great-circle for degrees, Euclidean for a plane; for unknown, by looks_geographic()."""
+    if space not in SPACES:
+        raise ValueError(f"space {space!r}: one of {SPACES}")
+    plane = F.hypot(_c(x1) - _c(x2), _c(y1) - _c(y2))
+    globe = haversine_m(x1, y1, x2, y2) / 1000
+    return {"geographic": globe, "planar_km": plane, "unknown": F.when(looks_geographic((x1, y1), (x2, y2)), globe).otherwise(plane)}[space]

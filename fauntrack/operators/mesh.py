@@ -193,3 +193,24 @@ def land_units(units: DataFrame, rings: DataFrame | None = None, threshold: floa
     d = flags.join(centre, "s_idx", "left").join(share, "s_idx", "left")
     d = d.select("s_idx", (F.col("shallow") | F.coalesce("centre", F.lit(False)) | (F.coalesce("inside", F.lit(0)) >= math.ceil(6 * fraction))).alias("is_land"))
     return units.drop("is_land").join(d, "s_idx")
+
+
+def hex_mesh_in(spark: SparkSession, rings: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Units (s_idx, row, col, x, y) of the lattice about the origin whose centres lie in a ring of any region, numbered by y, then x, and their edges.
+
+    The lattice is generated over the extent of the rings; rows are dealt over
+    tasks, and centres meet ring sides by strips. Vertices that are not finite
+    count for nothing; rings without a centre in them give an empty mesh.
+    """
+    r = rings.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    e = r.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if e[0] is None:
+        raise ValueError("no vertices to fill")
+    dx, dy = SQRT3 * radius, 1.5 * radius
+    rows = spark.range(math.floor((e[2] - radius) / dy), math.ceil((e[3] + radius) / dy) + 1).select(F.col("id").cast("int").alias("row"))
+    cells = rows.select("row", F.explode(F.sequence(F.lit(math.floor((e[0] - radius - dx / 2) / dx)), F.lit(math.ceil((e[1] + radius) / dx)))).alias("col"))
+    x = dx * F.col("col") + F.when(F.pmod("row", F.lit(2)) == 1, dx / 2).otherwise(0.0)
+    cells = cells.withColumns({"x": x, "y": dy * F.col("row"), "cell": F.struct("row", "col")})
+    inside = in_polygons(cells, r, "cell").select("cell").distinct()
+    units = cells.join(inside, "cell").drop("cell").withColumn("s_idx", F.row_number().over(Window.orderBy("row", "col"))).select("s_idx", "row", "col", "x", "y")
+    return units, lattice_edges(units)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,6 +205,62 @@ def resolvent_kernel(draws: DataFrame, units: DataFrame, edges: DataFrame, n_uni
     return sums.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("src")))
 
 
+#: Priors of the parameters: mean, sd, and where the normal is cut off (fixed values).
+PRIORS = {"velocity": (0.3, 0.2, 0.0, 0.95), "diffusion": (0.1, 0.2, 0.0, float("inf")), "gamma": (1.0, 1.0, float("-inf"), float("inf"))}
+#: A transition that a kernel does not allow counts with this probability.
+LEAST_PROBABILITY = 1e-12
+#: Most draws that are sent to the tasks of one call.
+MOST_DRAWS = 100_000
+
+
+def log_prior(draws: DataFrame) -> Column:
+    """Sum of the logs of the truncated normal densities; minus infinity outside of their bounds."""
+    total = F.lit(0.0)
+    for name, (mean, sd, low, high) in PRIORS.items():
+        inside = [0.5 * (1 + math.erf((x - mean) / sd / math.sqrt(2))) for x in (low, high)]
+        z = (F.col(name) - mean) / sd
+        log = -0.5 * z * z - math.log(sd * math.sqrt(2 * math.pi) * (inside[1] - inside[0]))
+        total = total + F.when((F.col(name) >= low) & (F.col(name) <= high), log).otherwise(float("-inf"))
+    return total
+
+
+def log_posterior(draws: DataFrame, pairs: DataFrame, units: DataFrame, edges: DataFrame, n_units: int) -> DataFrame:
+    """draw, n_pairs, prior, loglik, logp of every draw (draw, velocity, diffusion, gamma, alpha, rho) given the pairs (release, recapture, k).
+
+    Pairs are counted by transition and dealt by release; a task sweeps a release
+    once for each draw and adds up over its releases, so a row a draw and task is
+    shuffled. The same density serves a model with a survey, whose counts have no
+    likelihood of their own. Pairs with an end outside the mesh count for nothing.
+    """
+    some = draws.select("draw", "gamma", "alpha", "rho").limit(MOST_DRAWS + 1).toPandas()
+    if len(some) > MOST_DRAWS:
+        raise ValueError(f"more than {MOST_DRAWS} draws: call it for parts of them")
+    shared = _mesh(units, edges, n_units)
+    parameters = draws.sparkSession.sparkContext.broadcast(some)
+    tasks = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = pairs.where(F.col("release").between(1, n_units) & F.col("recapture").between(1, n_units)).groupBy("release", "recapture", "k").agg(F.count("*").alias("n")).repartition(tasks, "release").sortWithinPartitions("release")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mesh, g = shared.value
+        p = parameters.value
+        kernels = None
+        total, count = np.zeros(len(p)), 0
+        for pdf in batches:
+            kernels = kernels or [_kernel(mesh, g, mesh["hsi"].to_numpy(), *r) for r in p[["gamma", "rho", "alpha"]].itertuples(index=False)]
+            for u, part in pdf.groupby("release"):
+                k, v, n = (part[c].to_numpy() for c in ("k", "recapture", "n"))
+                count += int(n.sum())
+                for i, csr in enumerate(kernels):
+                    rows = G.sweep(csr, int(u) - 1, set(k.tolist()))
+                    q = np.array([rows[a][b - 1] for a, b in zip(k, v, strict=True)])
+                    total[i] += float((n * np.log(np.maximum(q, LEAST_PROBABILITY))).sum())
+        yield pd.DataFrame({"draw": p["draw"].to_numpy(), "n_pairs": count, "loglik": total})
+
+    sums = seen.mapInPandas(run, "draw long, n_pairs long, loglik double").groupBy("draw").agg(F.sum("n_pairs").alias("n_pairs"), F.sum("loglik").alias("loglik"))
+    d = draws.select("draw", log_prior(draws).alias("prior")).join(sums, "draw", "left").select("draw", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "prior", F.coalesce("loglik", F.lit(0.0)).alias("loglik"))
+    return d.withColumn("logp", F.col("prior") + F.col("loglik"))
+
+
 # ------------------------------------------------------------------ circuits
 
 

@@ -108,3 +108,110 @@ def heading_agents(s, d):
     """As many agents as there are pairs, drawn from the pairs' releases and steps; a test holds them against heading_distribution."""
     p = X.pairs(s, d)
     return agents.forward_agents(p, kern(s, d), X.units(s, d), N, p.count(), kappa=1.5)
+
+
+#: One draw a region of the tables: each costs a sweep of all releases.
+_FEW = "chain AS (SELECT r_regionkey AS draw, 0.1 + 0.15 * r_regionkey AS v, 0.05 + 0.1 * r_regionkey AS d, 0.5 * r_regionkey AS g FROM region), draws AS (SELECT *, least(1.0, greatest(0.0, v / (v + d + 1e-6))) AS alpha, least(0.95, greatest(0.01, 1 / (1 + v + d + 1e-6))) AS rho FROM chain)"
+
+
+def _normal(x: str, name: str) -> str:
+    import math
+
+    mean, sd, low, high = posterior.PRIORS[name]
+    mass = 0.5 * (math.erf((high - mean) / sd / math.sqrt(2)) - math.erf((low - mean) / sd / math.sqrt(2)))
+    return f"(-0.5 * pow(({x} - {mean!r}) / {sd!r}, 2) - ln({sd!r} * sqrt(2 * pi()) * {mass!r}))"
+
+
+@query(X.with_sql("pairs", "edges", recursive=True, body=f""", {_KERNELS.replace(_DRAWS, _FEW).lstrip(', ')},
+obs AS (SELECT release, recapture, k, count(*) AS n FROM pairs GROUP BY 1, 2, 3),
+sw AS (SELECT draw, release, release AS node, CAST(1 AS DOUBLE) AS p, 0 AS step FROM draws, (SELECT DISTINCT release FROM obs) UNION ALL SELECT s.draw, s.release, pk.dst, sum(s.p * pk.p), s.step + 1 FROM sw s JOIN pk ON pk.draw = s.draw AND pk.src = s.node WHERE s.step < 24 GROUP BY s.draw, s.release, pk.dst, s.step + 1),
+ll AS (SELECT draw, CAST(sum(n) AS BIGINT) AS n_pairs, sum(n * ln(greatest(coalesce(p, 0.0), 1e-12))) AS loglik FROM draws CROSS JOIN obs LEFT JOIN (SELECT draw AS dr, release AS re, node, step, p FROM sw) x ON dr = draw AND re = release AND node = recapture AND step = k GROUP BY 1),
+pr AS (SELECT draw, {_normal('v', 'velocity')} + {_normal('d', 'diffusion')} + {_normal('g', 'gamma')} AS prior FROM draws)
+SELECT draw, n_pairs, {q6('prior', 'prior')}, round(loglik, 3) AS loglik, round(prior + loglik, 3) AS logp FROM ll JOIN pr USING (draw)"""))
+def log_posterior(s, d):
+    """Log posterior density of all pairs at a draw for each region of the tables."""
+    t, k = X.table(s, d, "region"), F.col("r_regionkey")
+    c = t.select(k.cast("int").alias("draw"), (0.1 + 0.15 * k).alias("mu_velocity"), (0.05 + 0.1 * k).alias("mu_diffusion"), (0.5 * k).alias("mu_gamma"))
+    r = posterior.log_posterior(posterior.parameter_draws(c), X.pairs(s, d), X.units(s, d), X.edges(s, d), N)
+    return r.select(F.col("draw").cast("int").alias("draw"), "n_pairs", r6("prior"), F.round("loglik", 3).alias("loglik"), F.round("logp", 3).alias("logp"))
+
+
+# ------------------------------------------------------------------ reports
+
+
+@query(X.with_sql("pairs", "kernel", body=f""", rg AS (SELECT s_idx, CAST(region AS INT) AS region FROM units WHERE region > 0),
+m AS (SELECT CAST(a.region AS INT) AS f, CAST(b.region AS INT) AS t, sum(p) AS m FROM kernel JOIN rg a ON a.s_idx = src JOIN rg b ON b.s_idx = dst GROUP BY 1, 2), c AS (SELECT f, t, m / sum(m) OVER (PARTITION BY f) AS p FROM m),
+n AS (SELECT a.region AS f, b.region AS t, count(*) AS n FROM pairs JOIN rg a ON a.s_idx = release JOIN rg b ON b.s_idx = recapture GROUP BY 1, 2),
+g AS (SELECT f.region AS source_region, t.region AS sink_region, coalesce(c.p, 0.0) AS connectivity, coalesce(n.n, 0) AS flow_count FROM (SELECT DISTINCT region FROM rg) f CROSS JOIN (SELECT DISTINCT region FROM rg) t LEFT JOIN c ON c.f = f.region AND c.t = t.region LEFT JOIN n ON n.f = f.region AND n.t = t.region)
+SELECT source_region, sink_region, {q6('connectivity', 'connectivity')}, flow_count, {q6('connectivity * flow_count / (sum(flow_count) OVER () + 1e-10)', 'flow_rate')} FROM g"""))
+def connectivity_summary(s, d):
+    from fauntrack.operators import markov
+    from fauntrack.sources import reports
+
+    r = X.units(s, d).select("s_idx", "region")
+    return reports.report(reports.connectivity_summary(markov.regional(kern(s, d), r.where("region > 0")), X.pairs(s, d), r), "stock_connectivity_summary")
+
+
+# ------------------------------------------------------------------ lines of sight and meshes in rings
+
+#: An octagon about the points of each third of the events, so that the rings follow the tables.
+_OCTAGONS = "pt AS (SELECT ((event_id * 37) % 1800) / 10.0 AS x, ((event_id * 91) % 1400) / 10.0 AS y, CAST(user_id % 3 AS INT) + 1 AS region FROM events), ct AS (SELECT region, avg(x) + 40.0 * (region - 2) AS cx, avg(y) + 25.0 * (region - 2) AS cy, 0.5 * stddev_samp(x) + region AS r FROM pt GROUP BY 1), rings AS (SELECT region, k AS seq, cx + r * cos(radians(45.0 * k + 10.0)) AS x, cy + r * sin(radians(45.0 * k + 10.0)) AS y FROM ct, range(8) t(k))"
+_SIDES = f"{_OCTAGONS}, segs AS (SELECT region, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM rings WINDOW w AS (PARTITION BY region ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+def octagons(s, d):
+    e = X.table(s, d, "events").select((F.pmod(F.col("event_id") * 37, F.lit(1800)) / 10.0).alias("x"), (F.pmod(F.col("event_id") * 91, F.lit(1400)) / 10.0).alias("y"), (F.col("user_id") % 3 + 1).cast("int").alias("region"))
+    c = e.groupBy("region").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.stddev_samp("x").alias("sd"))
+    c = c.select("region", (F.col("cx") + 40.0 * (F.col("region") - 2)).alias("cx"), (F.col("cy") + 25.0 * (F.col("region") - 2)).alias("cy"), (0.5 * F.col("sd") + F.col("region")).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("seq"))
+    a = F.radians(45.0 * F.col("seq") + 10.0)
+    return c.select("region", "seq", (F.col("cx") + F.col("r") * F.cos(a)).alias("x"), (F.col("cy") + F.col("r") * F.sin(a)).alias("y"))
+
+
+_MESH_IN = f"WITH {_SIDES}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM rings), ce AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, sqrt(3.0) * 6.0 * c + CASE WHEN r % 2 <> 0 THEN sqrt(3.0) * 3.0 ELSE 0.0 END AS x, 9.0 * r AS y FROM range(-60, 120) t(r), range(-60, 120) u(c)), un AS (SELECT DISTINCT row, col, x, y FROM (SELECT row, col, x, y, region FROM ce, segs WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY ALL HAVING count(*) % 2 = 1)), nu AS (SELECT CAST(row_number() OVER (ORDER BY row, col) AS INT) AS s_idx, * FROM un)"
+
+
+@query(f"{_MESH_IN} SELECT s_idx, row, col, {q6('x', 'x')}, {q6('y', 'y')} FROM nu")
+def mesh_in_rings(s, d):
+    """Units of a fine mesh whose centres lie in the rings."""
+    from fauntrack.operators import mesh
+
+    return mesh.hex_mesh_in(s, octagons(s, d), 6.0)[0].select("s_idx", "row", "col", r6("x"), r6("y"))
+
+
+@query(f"{_MESH_IN} SELECT a.s_idx AS src, b.s_idx AS dst FROM nu a JOIN nu b ON a.s_idx <> b.s_idx AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= sqrt(3.0) * 6.0 * 1.05")
+def mesh_in_rings_edges(s, d):
+    from fauntrack.operators import mesh
+
+    return mesh.hex_mesh_in(s, octagons(s, d), 6.0)[1].select("src", "dst")
+
+
+@query(X.with_sql("units", "edges", body=", ev AS (SELECT CAST(json_extract(props, '$.k') AS INT) + 1 AS s_idx, count(*) AS n FROM events GROUP BY 1), bs AS (SELECT s_idx FROM ev WHERE n < (SELECT avg(n) FROM ev)), ed AS (SELECT src, dst FROM edges WHERE src NOT IN (SELECT s_idx FROM bs) AND dst NOT IN (SELECT s_idx FROM bs)), nv AS (SELECT * FROM units WHERE NOT is_land AND (s_idx IN (SELECT src FROM ed) OR s_idx IN (SELECT dst FROM ed))) SELECT s_idx, true AS itself, CAST(0.0 AS DOUBLE) AS distance FROM nv UNION ALL SELECT u.s_idx, false, round(min(sqrt(pow(u.x - nv.x, 2) + pow(u.y - nv.y, 2))), 6) FROM units u, nv WHERE u.s_idx NOT IN (SELECT s_idx FROM nv) GROUP BY 1"))
+def navigable_distance(s, d):
+    """Where paths from every unit can start once the units with few detections are cut off."""
+    from fauntrack.operators import sight
+
+    n = X.detections(s, d).groupBy("s_idx").agg(F.count("*").alias("n"))
+    few = n.where(F.col("n") < n.agg(F.avg("n").alias("a")).scalar()).select("s_idx")
+    e = X.edges(s, d).join(few.withColumnRenamed("s_idx", "src"), "src", "left_anti").join(few.withColumnRenamed("s_idx", "dst"), "dst", "left_anti")
+    # which of several nearest nodes is taken hangs on the last digit, so only the distance is compared
+    return sight.navigable(X.units(s, d), e, 20.0).select("s_idx", (F.col("node") == F.col("s_idx")).alias("itself"), r6("distance"))
+
+
+@query()
+def smooth_paths(s, d):
+    """Shortcuts of every least-cost path that stay off the rings; a test holds them against a plain search."""
+    from fauntrack.operators import markov, sight
+
+    u = X.units(s, d)
+    p = markov.paths(X.pairs(s, d), markov.least_cost(u, X.edges(s, d)), N).select("release", "recapture", "nodes")
+    return sight.smooth_paths(p, u, octagons(s, d)).select("release", "recapture", "smooth", r6("length"), r6("smooth_length"))
+
+
+@query(X.with_sql("units", "edges", body=f"SELECT src, dst, {q6('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))', 'plane')}, round(2 * 6378.137 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 4) + 0.0 AS globe FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst"))
+def node_distance(s, d):
+    """Lengths of edges in the plane, and of the same in degrees where the space is told from the values."""
+    from fauntrack.functions import geo
+    from fauntrack.plans.catalog import _ends
+
+    e = _ends(s, d)
+    return e.select("src", "dst", r6(geo.node_distance_km("x1", "y1", "x2", "y2", "planar_km"), "plane"), (F.round(geo.node_distance_km("lon1", "lat1", "lon2", "lat2"), 4) + 0.0).alias("globe"))
