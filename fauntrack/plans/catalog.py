@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fauntrack.functions import geo
-from fauntrack.operators import dynamics, ecology, grids, habitat, kernel, markov, mesh, posterior, resample, telemetry
+from fauntrack.operators import dynamics, ecology, electric, grids, habitat, kernel, markov, mesh, posterior, resample, telemetry
 from fauntrack.plans import fixtures as X
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,14 +623,12 @@ def pinchpoints(s, d):
 
 @query()
 def circuit_current(s, d):
-    c = markov.circuits(_few(s, d), markov.conductance(X.units(s, d), X.edges(s, d)), N)
-    return c.groupBy("s_idx").agg(F.sum("current").alias("current")).select("s_idx", r6("current"))
+    return electric.current_use(_few(s, d), markov.conductance(X.units(s, d), X.edges(s, d)), N).select("s_idx", r6("current"))
 
 
 @query()
 def effective_resistance(s, d):
-    c = markov.circuits(_few(s, d), markov.conductance(X.units(s, d), X.edges(s, d)), N)
-    return c.select("release", "recapture", r6("resistance")).distinct()
+    return electric.resistances(_few(s, d), markov.conductance(X.units(s, d), X.edges(s, d)), N).select("release", "recapture", r6("resistance"))
 
 
 # ------------------------------------------------------------------ statistics and report tables
