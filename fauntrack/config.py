@@ -16,7 +16,7 @@ DIAGNOSTICS = ("paths", "corridors", "circuit", "agents", "ecology", "validation
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run reads, and how its operators are set."""
+    """What a run reads, and how its operators are set; every setting is applied by a run or refused when it begins."""
 
     tagging_file: str | None = None
     hsi_file: str | None = None
@@ -29,14 +29,13 @@ class Settings:
     depth_barrier_mode: str = "hsi_only"
     depth_range: tuple[float, float] | None = None
     time_interval: str = "raw"
-    max_paths: int = 1000
+    max_paths: int | None = None
     path_methods: tuple[str, ...] = ("astar",)
     diagnostics: tuple[str, ...] = DIAGNOSTICS
     n_samples: int = 200
     n_warmup: int = 200
-    n_agents: int = 100
+    n_agents: int | None = None
     kappa: float = 0.0
-    headings: int = 6
     seed: int = 42
     extra: dict = field(default_factory=dict)
 
@@ -74,6 +73,8 @@ def check(s: Settings) -> Settings:
             raise ValueError(f"{name}: {sorted(wrong)} not among {choices}")
     if s.depth_barrier_mode not in BARRIER_MODES:
         raise ValueError(f"depth_barrier_mode: {s.depth_barrier_mode!r} not among {BARRIER_MODES}")
+    if s.bbox is not None and len(s.bbox) != 4:
+        raise ValueError(f"bbox: west, south, east, north are needed, not {s.bbox}")
     if s.time_interval not in INTERVALS:
         raise ValueError(f"time_interval: {s.time_interval!r} not among {INTERVALS}")
     return s

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fauntrack.config import Settings
 from fauntrack.functions import geo
-from fauntrack.operators import ecology, kernel, markov, mesh, resample, telemetry
+from fauntrack.operators import agents, ecology, kernel, markov, mesh, posterior, resample, telemetry
 from fauntrack.sources import readers
 
 
@@ -19,6 +19,10 @@ def prepare(spark: SparkSession, s: Settings) -> DataFrame:
     when = F.to_timestamp(geo.flexible_date(ts)) if dict(raw.dtypes)[ts] == "string" else F.col(ts).cast("timestamp")
     d = raw.select(F.col(tag).alias("tagid"), when.alias("ts"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), *[c for c in ("value", "is_dead") if c in raw.columns])
     d = telemetry.clean(d.withColumn("tag", F.lit(0)))
+    if s.bbox:
+        west, south, east, north = s.bbox
+        pad = s.bbox_padding_deg
+        d = d.where(F.col("lon").between(west - pad, east + pad) & F.col("lat").between(south - pad, north + pad))
     return telemetry.pairable(telemetry.index_detections(d.drop("tag"), "tagid", "ts", "lon"))
 
 
@@ -26,7 +30,11 @@ def build_mesh(spark: SparkSession, det: DataFrame, s: Settings) -> tuple[DataFr
     """Units (with is_land and habitat) and edges over the detections' extent."""
     c = det.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).first()
     x, y = geo.to_xy_km("lon", "lat", c["lon"], c["lat"])
-    u = mesh.hex_cover(spark, det.select(x.alias("x"), y.alias("y")), s.hex_radius_km)
+    if s.polygon_file:
+        planar = geo.to_xy_km("x", "y", c["lon"], c["lat"])
+        u, _ = mesh.hex_mesh_in(spark, readers.read_polygons(spark, s.polygon_file).select("region", "seq", planar[0].alias("x"), planar[1].alias("y")), s.hex_radius_km)
+    else:
+        u = mesh.hex_cover(spark, det.select(x.alias("x"), y.alias("y")), s.hex_radius_km)
     lon, lat = geo.to_lonlat("x", "y", c["lon"], c["lat"])
     u = u.withColumns({"lon": lon, "lat": lat, "is_land": F.lit(False)})
     e = mesh.edges_within(u, mesh.SQRT3 * s.hex_radius_km * 1.05)
@@ -41,28 +49,49 @@ def build_mesh(spark: SparkSession, det: DataFrame, s: Settings) -> tuple[DataFr
     return mesh.land_barrier(u, e)
 
 
-def _chosen(pairs: DataFrame, most: int) -> DataFrame:
-    """The first pairs by a hash of tag and number: the same ones in every run."""
+def _chosen(pairs: DataFrame, most: int | None) -> DataFrame:
+    """All pairs, or the first so many by a hash of tag and number: the same ones in every run."""
+    if most is None:
+        return pairs
     return pairs.orderBy(F.xxhash64("tagid", "tag"), "tagid", "tag").limit(most)
 
 
 def run(spark: SparkSession, s: Settings) -> dict[str, DataFrame]:
-    """Result tables of a run, written to the output store and returned."""
+    """Result tables of a run, written to the output store and returned.
+
+    Barriers by depth are refused: a run reads no depths.
+    """
+    if s.depth_barrier_mode != "hsi_only" or s.depth_range is not None:
+        raise ValueError("depth_barrier_mode and depth_range are not applied by a run; close units by land_polygon_files")
     det = prepare(spark, s)
     u, e = build_mesh(spark, det, s)
     c = det.agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat")).first()
     x, y = geo.to_xy_km("lon", "lat", c["lon"], c["lat"])
     placed = det.withColumns({"x": x, "y": y, "id": F.xxhash64("tagid", "tag")})
     placed = placed.join(resample.snap(placed, u, s.hex_radius_km, e).select("id", "s_idx"), "id")
+    if s.time_interval != "raw":  # a row a tag and bucket, at the unit of its first detection
+        b = telemetry.bucket_time(placed, s.time_interval, ())
+        placed = b.select("tagid", "tag", F.col("first_ts").alias("ts"), "s_idx", F.xxhash64("tagid", "tag").alias("id")).join(u.select("s_idx", "lon", "lat", "x", "y"), "s_idx")
     pairs = telemetry.pair_consecutive(placed, unit_seconds=86400)
     k = kernel.static(u, e)
     n = u.count()
     out = {"detections": placed.drop("id"), "units": u, "edges": e, "pairs": pairs, "kernel": k}
     if "paths" in s.diagnostics:
-        out["paths"] = markov.paths(_chosen(pairs, s.max_paths), markov.least_cost(u, e), n)
+        if "astar" in s.path_methods:
+            out["paths"] = markov.paths(_chosen(pairs, s.max_paths), markov.least_cost(u, e), n)
+        if "viterbi" in s.path_methods:
+            out["states"] = markov.smooth_states(placed, k, u, n)
+    if "corridors" in s.diagnostics:
+        out["corridor_use"] = markov.corridor_use(pairs, k, n)
+    if "validation" in s.diagnostics:
+        chain = markov.metropolis(pairs, u, e, n, draws=s.n_samples, warmup=s.n_warmup, seed=s.seed)
+        out["chain"], out["predictive_check"] = chain, posterior.predictive_check(pairs, k, n, seed=s.seed)
     if "agents" in s.diagnostics:
-        starts = _chosen(pairs, s.n_agents).select(F.xxhash64("tagid", "tag").alias("tagid"), F.col("release").alias("start_node"), F.col("k").alias("n_steps"))
-        out["trajectories"] = markov.agents(starts, k, n, s.seed)
+        if s.n_agents is None:
+            starts = pairs.select(F.xxhash64("tagid", "tag").alias("tagid"), F.col("release").alias("start_node"), F.col("k").alias("n_steps"))
+            out["trajectories"] = agents.heading_agents(starts, k, u, n, s.kappa, s.seed)
+        else:
+            out["trajectories"] = agents.forward_agents(pairs, k, u, n, s.n_agents, s.kappa, s.seed)
     if "circuit" in s.diagnostics:
         out["laplacian"] = markov.laplacian(markov.conductance(u, e))
     if "ecology" in s.diagnostics:
