@@ -229,6 +229,7 @@ def _sign(buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_buffer(batch.column("text"))
+            row = [int(x).to_bytes(8, "big") for x in batch.column("row").to_numpy()]
             sigs, ents = [], []
             for s, e in pieces(offsets, _CHUNK):
                 values, cut = shingle_sets(buf[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
@@ -237,7 +238,7 @@ def _sign(buckets: int, frequent: np.ndarray):
                 yield pa.record_batch(
                     [
                         pa.array(np.full(e - s, K.OWN, np.int32)), pa.array(failed.astype(np.int32)), batch.column("doc_id").slice(s, e - s).cast(pa.int64()),
-                        pa.array(ids.view(np.int64)), pa.array(np.diff(cut)), pa.array([t + x for t, x in zip(set_tags(values, cut), sketches(values, cut), strict=True)], pa.binary()),
+                        pa.array(ids.view(np.int64)), pa.array(np.diff(cut)), pa.array([r + t + x for r, t, x in zip(row[s:e], set_tags(values, cut), sketches(values, cut), strict=True)], pa.binary()),
                     ],
                     schema=K.ROWS,
                 )
@@ -302,7 +303,7 @@ def frequent_features(docs: DataFrame, n_docs: int) -> np.ndarray:
     large group of copies do not look like a shared passage. The choice decides
     cost only.
     """
-    rows = hash_sample(docs.where("text is not null"), ["doc_id"], SAMPLE_SETS, n_docs).select("text").mapInArrow(_sample, "features binary").collect()
+    rows = hash_sample(docs.where("text is not null"), ["row"], SAMPLE_SETS, n_docs).select("text").mapInArrow(_sample, "features binary").collect()
     seen: dict[int, int] = {}
     unlike = []
     for k, r in enumerate(rows):  # bounded by SAMPLE_SETS
@@ -464,31 +465,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    docs = docs.select("doc_id", "text")
+    # written once, so that a row's number addresses its text whatever its doc_id, null or repeated
+    docs = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "ngram-texts")
     size, n_docs = text_totals(docs)
     known = frequent_features(docs, n_docs)
     found = K.exchange(docs.mapInArrow(_sign(K.bucket_count(size // 2, docs), known), K.ROWS_DDL), "ngrams")
-    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.substring("payload", 1, 8).alias("tag"), F.expr("substring(payload, 9)").alias("sketch"))
+    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("row"), F.substring("payload", 9, 8).alias("tag"), F.expr("substring(payload, 17)").alias("sketch"))
     members = found.where(F.col("kind") == K.MEMBER).select("a", "b")
     stars = K.star_pairs(found)
     # of two sets that share a name by chance, the one with the smaller tag is looked at
-    entities = own.where("n > 0").groupBy("ent").agg(F.min(F.struct("tag", "doc_id", "n", "failed", "sketch")).alias("x")).select("ent", "x.*")
+    entities = own.where("n > 0").groupBy("ent").agg(F.min(F.struct("tag", "row", "n", "failed", "sketch")).alias("x")).select("ent", "x.*")
     entities = materialise(entities, "ngram-entities")
     close = materialise(_sketched(stars, entities), "ngram-pairs")
     touched = close.select(F.col("a").alias("t")).union(close.select("b")).union(members.select("b")).union(entities.where("failed > 0").select("ent")).distinct()
-    asked = entities.join(touched, F.col("ent") == F.col("t"), "left_semi").select("ent", "tag", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    asked = entities.join(touched, F.col("ent") == F.col("t"), "left_semi").select("ent", "tag", "row")
     asked = materialise(asked, "ngram-asked")
-    texts = docs.join(sized(asked, 32), F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == asked["id"]).select("ent", "tag", "text")
-    # where doc_ids repeat a set may come twice, which only repeats links
+    texts = docs.join(sized(asked, 32), "row").select("ent", "tag", "text")
     sets = materialise(texts.mapInArrow(_sets, "ent long, n long, features binary"), "ngram-sets")
     links = materialise(_verified(close, sets), "ngram-links")
     labels = K.components(links, "ngram-labels")
     # groups that are not of one class, and flagged sets, by the exact second way: stars first, then pairs across classes
     rest = K.unsettled(members, labels).select(F.col("b").alias("ent")).union(entities.where("failed > 0").select("ent")).distinct()
     left = sets.join(sized(materialise(rest, "ngram-open"), 16), "ent", "left_semi")
-    rows, names, features = left.agg(F.count("*"), F.count_distinct("ent"), F.sum("n")).first()
-    if rows > names:  # doc_ids repeat; otherwise the features need not be shuffled or written again
-        left = materialise(left.dropDuplicates(["ent"]), "ngram-left")
+    features = left.agg(F.sum("n")).first()[0]
     prefixes = rare_groups(left, K.bucket_count(int(features or 0) * 8, docs))
     alone = prefixes.where(F.col("kind") == K.OWN).select(F.col("b").alias("ent"), F.col("a").alias("n"), F.col("n").alias("slack"), F.col("payload").alias("sketch"))
     groups = materialise(prefixes.where(F.col("kind") == K.MEMBER).select(F.col("a").alias("key"), F.col("b").alias("ent")).distinct(), "ngram-keys")
