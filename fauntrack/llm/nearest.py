@@ -5,7 +5,12 @@ that the residual parallel to a vector weighs more than the orthogonal one
 (the part of the error that moves inner products of likely matches). Every row
 is encoded, four bits a subspace. Queries and rows meet in blocks: table scans
 over the codes choose candidates, which are scored exactly on the original
-vectors in double precision, and the best of all blocks are merged.
+vectors in double precision, and the best of all blocks are merged. Candidates
+are the best of the scan and, whatever their number, every row whose score may
+reach the last neighbour found among these: a scan is off by the product of the
+query and the row's residual, and a row is left out only if that product would
+have to be more than SPREADS times its spread over directions. Rows that the
+codes do not tell apart are thus all scored.
 
 Rows are shuffled once for every QUERIES_BLOCK queries, queries once for every
 ROWS_BLOCK rows.
@@ -30,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks_for, hash_sample, materialise, table
 
-#: Neighbours, divisor of query ids, rows of the fitting sample, candidates reranked per block.
+#: Neighbours, divisor of query ids, rows of the fitting sample, candidates reranked per block at least.
 NEIGHBOURS, QUERY_EVERY, SAMPLE, RERANK = 20, 20, 4096, 200
 #: Rows of a block of the index and of a block of queries.
 ROWS_BLOCK, QUERIES_BLOCK = 8192, 16384
+#: A row is reranked if an error of so many times |query| |residual| / sqrt(dimension) would make it a neighbour.
+SPREADS = 4.0
 #: Share of a vector's norm from which scores matter; rounds of alternating optimisation.
 THRESHOLD, ROUNDS = 0.2, 6
 CODES, WIDTH = 16, 2
@@ -140,6 +147,28 @@ def _vectors(rows: pa.Table, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def residual_norms(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Length of what the codes of every row leave out."""
+    left = sum(((part - book[code]) ** 2).sum(1) for part, book, code in zip(_subspaces(x).transpose(1, 0, 2), books, codes.T, strict=True))
+    return np.sqrt(left)
+
+
+def candidates(approx: np.ndarray, reach: np.ndarray, exact, own: np.ndarray, neighbours: int, rerank: int) -> np.ndarray:
+    """Rows to score exactly: the best of the scan, and all that may reach the last neighbour among them.
+
+    reach is how far the scan of each row may be off, exact(rows) gives true
+    scores, own marks rows that are no candidates.
+    """
+    at = _pick(np.where(own, -np.inf, approx), rerank)
+    at = at[~own[at]]
+    if len(at) < neighbours:
+        return np.flatnonzero(~own)
+    last = np.partition(exact(at), len(at) - neighbours)[len(at) - neighbours]
+    more = (approx + reach >= last) & ~own
+    more[at] = True
+    return np.flatnonzero(more)
+
+
 def _search(books: np.ndarray, neighbours: int, rerank: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
@@ -151,13 +180,14 @@ def _search(books: np.ndarray, neighbours: int, rerank: int):
         asked, own = queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         codes = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(ids), -1)[:, : books.shape[0]]
+        reach = residual_norms(x, codes, books) * (SPREADS / np.sqrt(x.shape[1]))
         out: list[tuple] = []
         for s in range(0, len(asked), 64):
             approx = scan(q[s : s + 64], codes, books)
             for k in range(len(approx)):
-                at = _pick(approx[k], rerank + 1)
-                at = at[row[at] != own[s + k]]
-                score = x[at] @ q[s + k]
+                one = q[s + k]
+                at = candidates(approx[k], reach * np.linalg.norm(one), lambda r, one=one: x[r] @ one, row == own[s + k], neighbours, rerank)
+                score = x[at] @ one
                 best = np.lexsort((row[at], ids[at], -score))[:neighbours]
                 out.append((np.full(len(best), asked[s + k]), np.full(len(best), own[s + k]), ids[at][best], score[best]))
         return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=_FOUND)
