@@ -290,12 +290,12 @@ def bbox_union(s, d):
     return mesh.bbox_union(X.units(s, d), 0.25, (-65.48, 43.04, -57.32, 47.27)).select(*[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
 
 
-@query()
+@query(X.with_sql("units", body=f", e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS cx, avg(y) AS cy, sqrt(3.0) * 7.0 AS dx, 10.5 AS dy FROM units), c AS (SELECT r, cx + dx * c + CASE WHEN r % 2 <> 0 THEN dx / 2 ELSE 0.0 END AS x, cy + dy * r AS y FROM e, range(-100, 101) t(r), range(-100, 101) u(c) WHERE r BETWEEN floor((y0 - 7.0 - cy) / dy) AND ceil((y1 + 7.0 - cy) / dy) AND c BETWEEN floor((x0 - 7.0 - cx) / dx) AND ceil((x1 + 7.0 - cx) / dx)) SELECT CAST(row_number() OVER (ORDER BY y, x) AS INT) AS s_idx, {q6('x', 'x')}, {q6('y', 'y')} FROM c"))
 def hex_cover(s, d):
     return mesh.hex_cover(s, X.units(s, d), 7.0).select("s_idx", r6("x"), r6("y"))
 
 
-@query()
+@query(X.with_sql("units", body=f", {_RINGS_SQL}, cor AS (SELECT s_idx, n, x + 10.0 * cos(radians(30 + 60 * n)) AS px, y + 10.0 * sin(radians(30 + 60 * n)) AS py FROM units, range(6) t(n)), inc AS (SELECT s_idx, n FROM cor, segs WHERE (y1 > py) <> (y2 > py) AND px < x1 + (py - y1) * (x2 - x1) / nullif(y2 - y1, 0) GROUP BY s_idx, n, segs.region HAVING count(*) % 2 = 1), sh AS (SELECT s_idx, count(DISTINCT n) AS c FROM inc GROUP BY 1) SELECT units.s_idx, (units.s_idx IN (SELECT s_idx FROM inside) OR coalesce(c, 0) >= 3) AS is_land FROM units LEFT JOIN sh ON sh.s_idx = units.s_idx"))
 def land_units(s, d):
     return mesh.land_units(X.units(s, d), rings(s)).select("s_idx", "is_land")
 
