@@ -18,6 +18,15 @@ def clamp(x, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(x)))
 
 
+def rounded(x, digits: int) -> Column:
+    """x to so many digits, half away from zero, as of the number scaled up: what SQL engines in doubles do.
+
+    Spark's round goes by the decimal notation, so 0.5055445, which times 1e6 is
+    a little less than 505544.5, would go up and not down.
+    """
+    return F.round(_c(x) * 10.0**digits) / 10.0**digits
+
+
 def finite(x) -> Column:
     """True for a number that is neither null, NaN nor infinite."""
     x = _c(x)

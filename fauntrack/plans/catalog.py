@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 def r6(c, name: str | None = None):
     """Rounded to six digits, without a negative zero."""
     col = F.col(c) if isinstance(c, str) else c
-    return (F.round(col, 6) + 0.0).alias(name or c)
+    return (geo.rounded(col, 6) + 0.0).alias(name or c)
 
 
 def q6(expr: str, name: str) -> str:
@@ -110,7 +110,7 @@ def dead_tags(s, d):
 @query(X.with_sql("det", "units", body=f"{_LOC}, m AS (SELECT *, lag(lon) OVER w AS o1, lag(lat) OVER w AS a1 FROM loc WINDOW w AS (PARTITION BY tagid ORDER BY ts, tag)) SELECT tagid, count(*) AS n, {q6('(max(epoch_us(ts)) - min(epoch_us(ts))) / 86400e6', 'days')}, round(coalesce(sum({hav('o1', 'a1', 'lon', 'lat')}), 0.0), 3) + 0.0 AS metres, {q6('arg_max(value, struct_pack(a := ts, b := tag)) - arg_min(value, struct_pack(a := ts, b := tag))', 'growth')} FROM m GROUP BY tagid"))
 def tag_summary(s, d):
     t = telemetry.summarize_tags(located(s, d))
-    return t.select("tagid", "n", r6("days"), (F.round("metres", 3) + 0.0).alias("metres"), r6("growth"))
+    return t.select("tagid", "n", r6("days"), (geo.rounded("metres", 3) + 0.0).alias("metres"), r6("growth"))
 
 
 @query("WITH c AS (SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS sex, CASE c_mktsegment WHEN 'BUILDING' THEN 'immature' WHEN 'MACHINERY' THEN NULL ELSE 'mature' END AS mat FROM customer), l AS (SELECT c_custkey, CASE WHEN mat = 'immature' THEN 'immature' WHEN mat = 'mature' AND sex = 'M' THEN 'male' WHEN mat = 'mature' AND sex = 'F' THEN 'female' ELSE 'unknown' END AS label FROM c) SELECT c_custkey, label, CAST(dense_rank() OVER (ORDER BY label) AS INT) AS \"group\" FROM l")
@@ -133,7 +133,7 @@ def hsi_lookup_clamped(s, d):
 @query(X.with_sql("units", "edges", body=f"SELECT src, dst, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) + 0.0 AS metres FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst"))
 def haversine(s, d):
     e = _ends(s, d)
-    return e.select("src", "dst", (F.round(geo.haversine_m("lon1", "lat1", "lon2", "lat2"), 3) + 0.0).alias("metres"))
+    return e.select("src", "dst", (geo.rounded(geo.haversine_m("lon1", "lat1", "lon2", "lat2"), 3) + 0.0).alias("metres"))
 
 
 def _ends(s, d) -> DataFrame:
@@ -154,12 +154,12 @@ _BEAR = "((degrees(atan2((b.lon - a.lon) * cos(radians(a.lat)), b.lat - a.lat))
 @query(X.with_sql("units", "edges", body=f"SELECT src, dst, CAST(least(8, floor({_BEAR} / 45.0) + 1) AS INT) AS sector, round({_BEAR}, 4) AS bearing FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst"))
 def bearing_bin(s, d):
     e = _ends(s, d).withColumn("b", geo.bearing_deg("lon1", "lat1", "lon2", "lat2"))
-    return e.select("src", "dst", geo.heading_bin("b", 8).alias("sector"), F.round("b", 4).alias("bearing"))
+    return e.select("src", "dst", geo.heading_bin("b", 8).alias("sector"), geo.rounded("b", 4).alias("bearing"))
 
 
 @query("SELECT o_orderkey, round(year(o_orderdate) + (dayofyear(o_orderdate) - 1) / CASE WHEN (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 THEN 366.0 ELSE 365.0 END, 6) AS dy FROM orders")
 def decimal_year(s, d):
-    return X.table(s, d, "orders").select("o_orderkey", F.round(geo.decimal_year("o_orderdate"), 6).alias("dy"))
+    return X.table(s, d, "orders").select("o_orderkey", geo.rounded(geo.decimal_year("o_orderdate"), 6).alias("dy"))
 
 
 _FORM = "CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS VARCHAR) WHEN 3 THEN '13/02/2020' ELSE 'n/a' END"
@@ -185,7 +185,7 @@ def habitat_suitability(s, d):
 def alpha_rho_grid(s, d):
     g = s.range(1).select(F.explode(F.array(*map(F.lit, (0.05, 0.2, 0.5, 0.9)))).alias("v")).select("v", F.explode(F.array(*map(F.lit, (0.01, 0.1, 0.4, 1.0)))).alias("d"))
     a, r = geo.alpha_rho("v", "d")
-    return g.select("v", "d", F.round(a, 9).alias("alpha"), F.round(r, 9).alias("rho"))
+    return g.select("v", "d", geo.rounded(a, 9).alias("alpha"), geo.rounded(r, 9).alias("rho"))
 
 
 @query(X.with_sql("units", body=", h AS (SELECT s_idx, CASE WHEN s_idx % 7 = 0 THEN NULL ELSE hsi * 1.2 END AS v FROM units) SELECT s_idx, round(least(1.0, greatest(0.0, coalesce(v, (SELECT avg(v) FROM h)))), 6) + 0.0 AS hsi FROM h"))
@@ -287,7 +287,7 @@ def bfs_hops(s, d):
 
 @query(X.with_sql("units", body="SELECT round(least(min(lon) - 0.25, -65.48), 6) AS west, round(least(min(lat) - 0.25, 43.04), 6) AS south, round(greatest(max(lon) + 0.25, -57.32), 6) AS east, round(greatest(max(lat) + 0.25, 47.27), 6) AS north FROM units"))
 def bbox_union(s, d):
-    return mesh.bbox_union(X.units(s, d), 0.25, (-65.48, 43.04, -57.32, 47.27)).select(*[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+    return mesh.bbox_union(X.units(s, d), 0.25, (-65.48, 43.04, -57.32, 47.27)).select(*[geo.rounded(c, 6).alias(c) for c in ("west", "south", "east", "north")])
 
 
 @query(X.with_sql("units", body=f", e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, avg(x) AS cx, avg(y) AS cy, sqrt(3.0) * 7.0 AS dx, 10.5 AS dy FROM units), c AS (SELECT r, cx + dx * c + CASE WHEN r % 2 <> 0 THEN dx / 2 ELSE 0.0 END AS x, cy + dy * r AS y FROM e, range(-100, 101) t(r), range(-100, 101) u(c) WHERE r BETWEEN floor((y0 - 7.0 - cy) / dy) AND ceil((y1 + 7.0 - cy) / dy) AND c BETWEEN floor((x0 - 7.0 - cx) / dx) AND ceil((x1 + 7.0 - cx) / dx)) SELECT CAST(row_number() OVER (ORDER BY y, x) AS INT) AS s_idx, {q6('x', 'x')}, {q6('y', 'y')} FROM c"))
@@ -367,7 +367,7 @@ def hsi_advantage(s, d):
 @query(X.with_sql("units", "edges", body=", n AS (SELECT s_idx, hsi - m AS a FROM (SELECT src, sum(w * hsi) / sum(w) AS m FROM edges JOIN units ON s_idx = dst GROUP BY src) JOIN units ON src = s_idx) SELECT s_idx, round(least(0.999, greatest(0.0, 0.3 + 0.5 * a)), 6) AS plain, round(least(0.999, greatest(0.0, 1 / (1 + exp(-(ln(0.3 / 0.7) + 0.5 * a))))), 6) AS logit FROM n"))
 def residency(s, d):
     a = habitat.advantage(X.units(s, d), X.edges(s, d))
-    return a.select("s_idx", F.round(habitat.residency(0.3, F.col("advantage"), 0.5), 6).alias("plain"), F.round(habitat.residency(0.3, F.col("advantage"), 0.5, "exp_difference"), 6).alias("logit"))
+    return a.select("s_idx", geo.rounded(habitat.residency(0.3, F.col("advantage"), 0.5), 6).alias("plain"), geo.rounded(habitat.residency(0.3, F.col("advantage"), 0.5, "exp_difference"), 6).alias("logit"))
 
 
 @query()
@@ -385,7 +385,7 @@ def kernel_static(s, d):
 
 @query(X.with_sql("kernel", body="SELECT src, round(sum(p), 9) AS total, count(*) AS n FROM kernel GROUP BY src"))
 def kernel_rowsum_check(s, d):
-    return kernel.row_sums(kern(s, d)).select("src", F.round("total", 9).alias("total"), "n")
+    return kernel.row_sums(kern(s, d)).select("src", geo.rounded("total", 9).alias("total"), "n")
 
 
 @query(X.with_sql("units", "edges", body=", st AS (SELECT CAST(step AS INT) AS step, s_idx, hsi * (1 + 0.1 * step) AS h, is_land FROM units, range(1, 4) t(step)), e AS (SELECT a.step, src, dst, w, w * exp(greatest(-25.0, least(25.0, b.h - a.h))) AS t FROM edges JOIN st a ON a.s_idx = src AND NOT a.is_land JOIN st b ON b.s_idx = dst AND b.step = a.step AND NOT b.is_land), m AS (SELECT step, src, dst, 0.7 * (0.5 * t / sum(t) OVER z + 0.5 * w / sum(w) OVER z) AS p FROM e WINDOW z AS (PARTITION BY step, src)) SELECT step, src, dst, round(p, 6) + 0.0 AS p FROM m UNION ALL SELECT st.step, s_idx, s_idx, round(1 - coalesce(o, 0.0), 6) + 0.0 FROM st LEFT JOIN (SELECT step, src, sum(p) AS o FROM m GROUP BY 1, 2) x ON x.step = st.step AND x.src = s_idx"))
@@ -440,7 +440,7 @@ def kstep_prob(s, d):
 @query(X.with_sql("pairs", "kernel", recursive=True, body=f"{_SWEEP} SELECT CAST(sum(n) AS BIGINT) AS n_pairs, CAST(coalesce(sum(n) FILTER (p > 0), 0) AS BIGINT) AS n_reachable, round(sum(n * ln(p)) FILTER (p > 0), 4) AS loglik FROM pr"))
 def loglik(s, d):
     r = markov.log_likelihood(markov.kstep(X.pairs(s, d), kern(s, d), N))
-    return r.select("n_pairs", F.col("n_reachable").cast("long").alias("n_reachable"), F.round("loglik", 4).alias("loglik"))
+    return r.select("n_pairs", F.col("n_reachable").cast("long").alias("n_reachable"), geo.rounded("loglik", 4).alias("loglik"))
 
 
 @query(X.with_sql("kernel", body=", m AS (SELECT CAST(a.region AS INT) AS from_region, CAST(b.region AS INT) AS to_region, sum(p) AS m FROM kernel JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst GROUP BY 1, 2) SELECT from_region, to_region, round(m / sum(m) OVER (PARTITION BY from_region), 6) + 0.0 AS p FROM m"))
@@ -457,7 +457,7 @@ def region_flow(s, d):
     p = obs.join(kern(s, d).toDF("release", "recapture", "p"), ["release", "recapture"], "left")
     p = p.join(u.select(F.col("s_idx").alias("release"), F.col("region").alias("from_region")), "release").join(u.select(F.col("s_idx").alias("recapture"), F.col("region").alias("to_region")), "recapture")
     g = p.groupBy("from_region", "to_region").agg(F.sum("c").alias("n"), F.sum("ks").alias("ks"), F.sum(F.col("c") * F.coalesce("p", F.lit(0.0))).alias("ps"))
-    return g.select("from_region", "to_region", "n", F.round(F.col("ks") / F.col("n"), 6).alias("mean_k"), r6(F.col("ps") / F.col("n"), "mean_p"))
+    return g.select("from_region", "to_region", "n", geo.rounded(F.col("ks") / F.col("n"), 6).alias("mean_k"), r6(F.col("ps") / F.col("n"), "mean_p"))
 
 
 @query(X.with_sql("units", body=", st AS (SELECT s_idx, CAST(region + 1 AS INT) AS region FROM units), z AS (SELECT region, count(*) AS c FROM st GROUP BY 1)" + ", me AS (SELECT a.s_idx AS src, b.s_idx AS dst FROM units a JOIN units b ON a.row = b.row AND abs(a.col - b.col) = 1), ke AS (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS p FROM me), m AS (SELECT a.region AS from_region, b.region AS to_region, sum(p) / (any_value(z1.c) * any_value(z2.c)) AS m FROM ke JOIN st a ON a.s_idx = src JOIN st b ON b.s_idx = dst JOIN z z1 ON z1.region = a.region JOIN z z2 ON z2.region = b.region GROUP BY 1, 2) SELECT from_region, to_region, round(m / sum(m) OVER (PARTITION BY from_region), 6) + 0.0 AS p FROM m"))
@@ -477,7 +477,7 @@ def _draws(s, d) -> DataFrame:
 
 @query("SELECT event_id % 4 AS chain, round(avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS acceptance, count(DISTINCT round(value, 9)) AS n_distinct, (avg(CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END) <= 0.01 OR count(DISTINCT round(value, 9)) <= 1) AS frozen FROM events GROUP BY 1")
 def chain_health(s, d):
-    return markov.chain_health(_draws(s, d)).select("chain", F.round("acceptance", 6).alias("acceptance"), "n_distinct", "frozen")
+    return markov.chain_health(_draws(s, d)).select("chain", geo.rounded("acceptance", 6).alias("acceptance"), "n_distinct", "frozen")
 
 
 @query()
@@ -542,7 +542,7 @@ def dynamic_walks(s, d):
 @query(X.with_sql("pairs", "units", "edges", recursive=True, body=f", {_KDYN}, {_FEW_SQL}, f AS (SELECT DISTINCT release, release AS node, CAST(1 AS DOUBLE) AS p, 0 AS t FROM o UNION ALL SELECT f.release, q.dst, sum(f.p * q.p), f.t + 1 FROM f JOIN kd q ON q.src = f.node AND q.step = least(3, f.t + 1) WHERE f.t < 24 GROUP BY f.release, q.dst, f.t + 1), b AS (SELECT DISTINCT recapture AS v, k, recapture AS node, CAST(1 AS DOUBLE) AS p, k AS t FROM o UNION ALL SELECT b.v, b.k, q.src, sum(b.p * q.p), b.t - 1 FROM b JOIN kd q ON q.dst = b.node AND q.step = least(3, b.t) WHERE b.t > 0 GROUP BY b.v, b.k, q.src, b.t - 1), z AS (SELECT o.*, coalesce(f.p, 0.0) AS z FROM o LEFT JOIN f ON f.release = o.release AND f.node = o.recapture AND f.t = o.k), c AS (SELECT f.node, sum(f.p * b.p / z / (z.k + 1)) AS c FROM z JOIN f ON f.release = z.release AND f.t <= z.k JOIN b ON b.v = z.recapture AND b.k = z.k AND b.t = f.t AND b.node = f.node WHERE z > 1e-15 GROUP BY 1 UNION ALL SELECT f.node, sum(f.p / 2 / (z.k + 1)) FROM z JOIN f ON f.release = z.release AND f.t <= z.k WHERE z <= 1e-15 GROUP BY 1 UNION ALL SELECT b.node, sum(b.p / 2 / (z.k + 1)) FROM z JOIN b ON b.v = z.recapture AND b.k = z.k WHERE z <= 1e-15 GROUP BY 1) SELECT CAST(node AS INT) AS s_idx, round(sum(c), 4) AS intensity FROM c GROUP BY node"))
 def dynamic_corridor(s, d):
     k = kernel.static(_changing(s, d), X.edges(s, d), 1.0, 0.3, 0.5, ("step",))
-    return dynamics.dynamic_corridors(_few(s, d), k, N).groupBy("s_idx").agg(F.round(F.sum("intensity"), 4).alias("intensity"))
+    return dynamics.dynamic_corridors(_few(s, d), k, N).groupBy("s_idx").agg(geo.rounded(F.sum("intensity"), 4).alias("intensity"))
 
 
 @query(X.with_sql("pairs", "units", "edges", recursive=True, body=f", {_FEW_SQL}, ph AS (SELECT CAST(step AS INT) AS step, s_idx, x, y, 1 + 3 * pow(1 - least(1.0, hsi * (1 + 0.1 * step)), 2) AS f FROM units, range(1, 4) t(step) WHERE NOT is_land), mv AS (SELECT a.step, src, dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, (a.f + b.f) / 2 AS f FROM edges JOIN ph a ON a.s_idx = src JOIN ph b ON b.s_idx = dst AND b.step = a.step), co AS (SELECT step, src, dst, d * f AS c FROM mv UNION ALL SELECT ph.step, s_idx, s_idx, 0.5 * coalesce(n.d, 1.0) * ph.f FROM ph LEFT JOIN (SELECT step, src, min(d) AS d FROM mv GROUP BY 1, 2) n ON n.step = ph.step AND n.src = s_idx), v AS (SELECT DISTINCT release, release AS node, CAST(0 AS DOUBLE) AS cost, 0 AS t FROM o UNION ALL SELECT v.release, q.dst, min(v.cost + q.c), v.t + 1 FROM v JOIN co q ON q.src = v.node AND q.step = least(3, v.t + 1) WHERE v.t < 24 GROUP BY v.release, q.dst, v.t + 1) SELECT o.release, o.recapture, o.k, round(v.cost, 6) + 0.0 AS cost FROM o JOIN v ON v.release = o.release AND v.node = o.recapture AND v.t = o.k"))
@@ -578,7 +578,7 @@ def corridor_bridge(s, d):
 
 @query()
 def corridor_all(s, d):
-    return markov.corridor_use(_few(s, d), kern(s, d), N).select("s_idx", F.round("prob", 4).alias("prob"))
+    return markov.corridor_use(_few(s, d), kern(s, d), N).select("s_idx", geo.rounded("prob", 4).alias("prob"))
 
 
 @query()
@@ -603,7 +603,7 @@ _WALK = "wk AS (SELECT tagid, s_idx AS mesh_unit FROM det)"
 @query(X.with_sql("det", "units", body=", v AS (SELECT s_idx AS u, count(DISTINCT tagid) AS visits, count(*) AS r FROM det GROUP BY 1) SELECT units.s_idx AS unit_id, coalesce(visits, 0) AS visits, round(coalesce(visits, 0) / (SELECT count(DISTINCT tagid) FROM det), 6) AS visit_probability, round(coalesce(r / visits, 0.0), 6) AS mean_dwell_steps FROM units LEFT JOIN v ON u = units.s_idx"))
 def space_use(s, d):
     w = X.detections(s, d).select("tagid", F.col("s_idx").alias("mesh_unit"))
-    return markov.space_use(w, X.units(s, d)).select("unit_id", "visits", F.round("visit_probability", 6).alias("visit_probability"), F.round("mean_dwell_steps", 6).alias("mean_dwell_steps"))
+    return markov.space_use(w, X.units(s, d)).select("unit_id", "visits", geo.rounded("visit_probability", 6).alias("visit_probability"), geo.rounded("mean_dwell_steps", 6).alias("mean_dwell_steps"))
 
 
 _COND = ", c AS (SELECT src, dst, w * exp(0.5 * (a.hsi + b.hsi)) AS c FROM edges JOIN units a ON a.s_idx = src AND NOT a.is_land JOIN units b ON b.s_idx = dst AND NOT b.is_land)"
@@ -646,24 +646,24 @@ _CIRC = "b AS (SELECT avg(sin(radians(value))) AS s, avg(cos(radians(value))) AS
 @query(f"WITH {_CIRC} SELECT n, round((degrees(atan2(s, c)) + 360.0) % 360.0, 4) AS mean_bearing, round(r, 6) AS resultant, round(n * r * r, 4) AS z FROM r")
 def circular_stats(s, d):
     e = X.table(s, d, "events").select(F.col("value").alias("bearing"))
-    return ecology.circular(e).select("n", F.round("mean_bearing", 4).alias("mean_bearing"), F.round("resultant", 6).alias("resultant"), F.round("z", 4).alias("z"))
+    return ecology.circular(e).select("n", geo.rounded("mean_bearing", 4).alias("mean_bearing"), geo.rounded("resultant", 6).alias("resultant"), geo.rounded("z", 4).alias("z"))
 
 
 @query(X.with_sql("det", body=", t AS (SELECT tagid, (max(epoch_us(ts)) - min(epoch_us(ts))) / 86400e6 AS days, count(*) AS n FROM det GROUP BY 1 HAVING count(*) > 1), v AS (SELECT s_idx, sum(days / (n - 1)) AS days FROM det JOIN t USING (tagid) GROUP BY 1) SELECT s_idx, round(days, 4) AS days, round(days / sum(days) OVER (), 6) AS share FROM v"))
 def residence_time(s, d):
-    return ecology.residence(X.detections(s, d)).select("s_idx", F.round("days", 4).alias("days"), F.round("share", 6).alias("share"))
+    return ecology.residence(X.detections(s, d)).select("s_idx", geo.rounded("days", 4).alias("days"), geo.rounded("share", 6).alias("share"))
 
 
 @query("SELECT coalesce(CAST(month(l_shipdate) AS INT), 0) AS month, coalesce(CAST(quarter(l_shipdate) AS INT), 0) AS quarter, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY GROUPING SETS ((1), (2), ())".replace("GROUPING SETS ((1), (2), ())", "GROUPING SETS ((CAST(month(l_shipdate) AS INT)), (CAST(quarter(l_shipdate) AS INT)), ())"))
 def phenology_grouping_sets(s, d):
     p = ecology.phenology(X.table(s, d, "lineitem"), F.month("l_shipdate"), F.col("l_quantity"))
-    return p.select(F.coalesce("month", F.lit(0)).alias("month"), F.coalesce("quarter", F.lit(0)).alias("quarter"), "n", F.round("mean", 6).alias("mean"))
+    return p.select(F.coalesce("month", F.lit(0)).alias("month"), F.coalesce("quarter", F.lit(0)).alias("quarter"), "n", geo.rounded("mean", 6).alias("mean"))
 
 
 @query("SELECT l_returnflag, regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
 def trait_ols(s, d):
     t = ecology.trait_regression(X.table(s, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
-    return t.select("l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("r2", 6).alias("r2"))
+    return t.select("l_returnflag", "n", geo.rounded("slope", 4).alias("slope"), geo.rounded("intercept", 3).alias("intercept"), geo.rounded("r2", 6).alias("r2"))
 
 
 _FLOW = ", f AS (SELECT CAST(a.region AS INT) AS from_region, CAST(b.region AS INT) AS to_region, count(*) AS n FROM pairs JOIN units a ON a.s_idx = release JOIN units b ON b.s_idx = recapture GROUP BY 1, 2)"
@@ -671,13 +671,13 @@ _FLOW = ", f AS (SELECT CAST(a.region AS INT) AS from_region, CAST(b.region AS I
 
 @query(X.with_sql("pairs", "units", body=f"{_FLOW} SELECT from_region, to_region, n, round(n / sum(n) OVER (), 6) AS share, round(n / sum(n) OVER (PARTITION BY from_region), 6) AS rate FROM f"))
 def stock_flows(s, d):
-    return ecology.flows(X.pairs(s, d), X.units(s, d)).select("from_region", "to_region", "n", F.round("share", 6).alias("share"), F.round("rate", 6).alias("rate"))
+    return ecology.flows(X.pairs(s, d), X.units(s, d)).select("from_region", "to_region", "n", geo.rounded("share", 6).alias("share"), geo.rounded("rate", 6).alias("rate"))
 
 
 @query(X.with_sql("pairs", "units", body=f"{_FLOW}, r AS (SELECT from_region AS region, CASE WHEN from_region <> to_region THEN n ELSE 0 END AS o, 0 AS i, CASE WHEN from_region = to_region THEN n ELSE 0 END AS own FROM f UNION ALL SELECT to_region, 0, CASE WHEN from_region <> to_region THEN n ELSE 0 END, 0 FROM f) SELECT region, CAST(sum(i) AS BIGINT) AS inflow, CAST(sum(o) AS BIGINT) AS outflow, CAST(sum(i) - sum(o) AS BIGINT) AS net, round(sum(own) / (sum(own) + sum(o)), 6) AS retention FROM r GROUP BY region"))
 def flow_balance(s, d):
     b = ecology.flow_balance(ecology.flows(X.pairs(s, d), X.units(s, d)))
-    return b.select("region", "inflow", "outflow", "net", F.round("retention", 6).alias("retention"))
+    return b.select("region", "inflow", "outflow", "net", geo.rounded("retention", 6).alias("retention"))
 
 
 @query(X.with_sql("pairs", body="SELECT release, recapture, count(*) AS n FROM pairs GROUP BY 1, 2 ORDER BY n DESC, release, recapture LIMIT 15"))
@@ -692,7 +692,7 @@ def histogram(s, d):
 
 @query("WITH t AS (SELECT value AS v FROM events), s AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM t), g AS (SELECT lo + i * (hi - lo) / 59 AS x, 1.06 * sd * pow(n, -0.2) AS bw, n FROM s, range(60) r(i)) SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / bw, 2))) / any_value(n * bw * sqrt(2 * pi())), 6) + 0.0 AS density FROM g, t GROUP BY x")
 def kde(s, d):
-    return ecology.density(X.table(s, d, "events"), "value").select(F.round("x", 6).alias("x"), r6("density"))
+    return ecology.density(X.table(s, d, "events"), "value").select(geo.rounded("x", 6).alias("x"), r6("density"))
 
 
 @query(X.with_sql("units", "edges", body=f"SELECT CAST(floor(({_BEAR} + 11.25) / 22.5) % 16 AS INT) AS sector, count(*) AS n FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst GROUP BY 1"))
@@ -704,7 +704,7 @@ def windrose(s, d):
 @query(X.with_sql("det", "units", body=f"{_LOC} SELECT CAST(round_even(lon / 0.18, 0) AS INT) AS cx, CAST(round_even(lat / 0.15, 0) AS INT) AS cy, count(*) AS n, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM loc WHERE tag = 0 GROUP BY 1, 2"))
 def release_clusters(s, d):
     r = located(s, d).where("tag = 0").withColumn("bearing", F.lit(0.0))
-    return ecology.release_clusters(r).select("cx", "cy", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return ecology.release_clusters(r).select("cx", "cy", "n", geo.rounded("lon", 6).alias("lon"), geo.rounded("lat", 6).alias("lat"))
 
 
 @query(X.with_sql("det", "units", body=", o AS (SELECT s_idx, count(*) / (SELECT count(*) FROM det) AS p FROM det GROUP BY 1), q AS (SELECT s_idx, hsi / (SELECT sum(hsi) FROM units) AS p FROM units) SELECT round(avg(pow(coalesce(o.p, 0) - coalesce(q.p, 0), 2)), 9) AS brier, round(sum(CASE WHEN o.p > 1e-10 AND q.p > 1e-10 THEN o.p * ln(o.p / q.p) END), 6) AS kl FROM o FULL JOIN q USING (s_idx)"))
@@ -713,14 +713,14 @@ def ppc_brier_kl(s, d):
     o = det.groupBy("s_idx").agg(F.count("*").alias("c"))
     o = o.select("s_idx", (F.col("c") / o.agg(F.sum("c")).scalar()).alias("p"))
     q = u.select("s_idx", (F.col("hsi") / u.agg(F.sum("hsi")).scalar()).alias("p"))
-    return ecology.brier_kl(o, q).select(F.round("brier", 9).alias("brier"), F.round("kl", 6).alias("kl"))
+    return ecology.brier_kl(o, q).select(geo.rounded("brier", 9).alias("brier"), geo.rounded("kl", 6).alias("kl"))
 
 
 @query(X.with_sql("pairs", "units", "edges", body=", dg AS (SELECT src AS s_idx, count(*) AS deg FROM edges GROUP BY 1), v AS (SELECT recapture AS s_idx, count(*) AS c FROM pairs GROUP BY 1) SELECT s_idx, round(c / deg, 6) AS bottleneck FROM v JOIN dg USING (s_idx)"))
 def bottleneck_index(s, d):
     deg = X.edges(s, d).groupBy(F.col("src").alias("s_idx")).agg(F.count("*").alias("deg"))
     v = X.pairs(s, d).groupBy(F.col("recapture").alias("s_idx")).agg(F.count("*").alias("c"))
-    return v.join(deg, "s_idx").select("s_idx", F.round(F.col("c") / F.col("deg"), 6).alias("bottleneck"))
+    return v.join(deg, "s_idx").select("s_idx", geo.rounded(F.col("c") / F.col("deg"), 6).alias("bottleneck"))
 
 
 # ------------------------------------------------------------------ draws, grids, adaptive meshes
@@ -751,12 +751,12 @@ def path_credible_intervals(s, d):
 @query()
 def bayesian_ensemble(s, d):
     p = posterior.ensemble(_few(s, d), X.units(s, d), X.edges(s, d), _parameters(s), N)
-    return p.groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", F.round("prob", 4).alias("prob"))
+    return p.groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", geo.rounded("prob", 4).alias("prob"))
 
 
 @query()
 def predictive_check(s, d):
-    return posterior.predictive_check(X.pairs(s, d), kern(s, d), N, draws=10).select("draw", F.round("brier", 9).alias("brier"), r6("kl"))
+    return posterior.predictive_check(X.pairs(s, d), kern(s, d), N, draws=10).select("draw", geo.rounded("brier", 9).alias("brier"), r6("kl"))
 
 
 @query()

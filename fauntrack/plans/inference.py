@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fauntrack.functions import geo
 from fauntrack.operators import agents, posterior
 from fauntrack.plans import fixtures as X
 from fauntrack.plans.catalog import N, kern, q6, query, r6
@@ -133,7 +134,7 @@ def log_posterior(s, d):
     t, k = X.table(s, d, "region"), F.col("r_regionkey")
     c = t.select(k.cast("int").alias("draw"), (0.1 + 0.15 * k).alias("mu_velocity"), (0.05 + 0.1 * k).alias("mu_diffusion"), (0.5 * k).alias("mu_gamma"))
     r = posterior.log_posterior(posterior.parameter_draws(c), X.pairs(s, d), X.units(s, d), X.edges(s, d), N)
-    return r.select(F.col("draw").cast("int").alias("draw"), "n_pairs", r6("prior"), F.round("loglik", 3).alias("loglik"), F.round("logp", 3).alias("logp"))
+    return r.select(F.col("draw").cast("int").alias("draw"), "n_pairs", r6("prior"), geo.rounded("loglik", 3).alias("loglik"), geo.rounded("logp", 3).alias("logp"))
 
 
 # ------------------------------------------------------------------ reports
@@ -210,8 +211,7 @@ def smooth_paths(s, d):
 @query(X.with_sql("units", "edges", body=f"SELECT src, dst, {q6('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))', 'plane')}, round(2 * 6378.137 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 4) + 0.0 AS globe FROM edges JOIN units a ON a.s_idx = src JOIN units b ON b.s_idx = dst"))
 def node_distance(s, d):
     """Lengths of edges in the plane, and of the same in degrees where the space is told from the values."""
-    from fauntrack.functions import geo
     from fauntrack.plans.catalog import _ends
 
     e = _ends(s, d)
-    return e.select("src", "dst", r6(geo.node_distance_km("x1", "y1", "x2", "y2", "planar_km"), "plane"), (F.round(geo.node_distance_km("lon1", "lat1", "lon2", "lat2"), 4) + 0.0).alias("globe"))
+    return e.select("src", "dst", r6(geo.node_distance_km("x1", "y1", "x2", "y2", "planar_km"), "plane"), (geo.rounded(geo.node_distance_km("lon1", "lat1", "lon2", "lat2"), 4) + 0.0).alias("globe"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fauntrack.functions import geo
+
 from . import readers
 
 # Columns and digits of the reports (None: as it is).
@@ -23,7 +25,7 @@ def report(df: DataFrame, name: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{name} lacks {', '.join(missing)}")
-    return df.select(*[F.col(c) if n is None else (F.round(c, n) + 0.0).alias(c) for c, n in columns.items()])
+    return df.select(*[F.col(c) if n is None else (geo.rounded(c, n) + 0.0).alias(c) for c, n in columns.items()])
 
 
 def connectivity_summary(connectivity: DataFrame, pairs: DataFrame, regions: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ DIGITS = {"start_lon": 4, "start_lat": 4, "end_lon": 4, "end_lat": 4, "duration_
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(c, DIGITS[c]) + 0.0).alias(c) if c in DIGITS else F.col(c) for c in df.columns])
+    return df.select(*[(geo.rounded(c, DIGITS[c]) + 0.0).alias(c) if c in DIGITS else F.col(c) for c in df.columns])
 
 
 def _ddl() -> str:
