@@ -149,104 +149,134 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _normalised(logits: np.ndarray) -> np.ndarray:
-    """e to the power of logits, which become less by the maximum of their row."""
-    logits -= logits.max(axis=1, keepdims=True)
+    """e to the power of logits, which become less by the maximum of their column."""
+    logits -= logits.max(axis=0)
     return np.exp(logits)
 
 
+def _columns(states: np.ndarray) -> np.ndarray:
+    """(steps, width, lanes) as (width, tokens)."""
+    return states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+
+
 class Gru:
+    """Arrays inside are (features, tokens), so that every pass over them, sums over features too, runs along memory."""
+
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.flat = shape, flat
         self.p = shape.views(flat)
-        self.class_of = np.repeat(np.arange(shape.classes), np.diff(shape.starts))
+        self.class_of = np.repeat(np.arange(shape.classes, dtype=np.int16), np.diff(shape.starts))
 
     def forward(self, before: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool):
-        """States of a window, and what the backward sweep needs."""
+        """States (steps, width, lanes) of a window, the last one (lanes, width), and what the backward sweep needs."""
         w = self.shape.width
         steps, n = before.shape
-        state, inputs = self.p["state"], self.p["inputs"]
-        states = np.empty((steps, n, w), F32)
-        kept = [np.empty((steps, n, w), F32) for _ in range(5)] if keep else None
+        state, inputs = np.ascontiguousarray(self.p["state"].T), np.ascontiguousarray(self.p["inputs"].T)
+        states = np.empty((steps, w, n), F32)
+        kept = [np.empty((steps, size * w, n), F32) for size in (1, 2, 1, 1)] if keep else None
+        h = np.ascontiguousarray(h.T, dtype=F32)
+        starts = begin.any(axis=1)
         for t in range(steps):
-            if begin[t].any():
-                h = np.where(begin[t][:, None], F32(0), h)
-            g, m = inputs[before[t]], h @ state
-            zr = _sigmoid(g[:, : 2 * w] + m[:, : 2 * w])
-            z, r = zr[:, :w], zr[:, w:]
-            new = r * m[:, 2 * w :]
-            new += g[:, 2 * w :]
+            if starts[t]:
+                h = np.where(begin[t], F32(0), h)
+            g, m = np.take(inputs, before[t], axis=1), state @ h
+            g[: 2 * w] += m[: 2 * w]
+            zr = _sigmoid(g[: 2 * w])
+            new = zr[w:] * m[2 * w :]
+            new += g[2 * w :]
             np.tanh(new, out=new)
             if keep:
-                for x, y in zip(kept, (h, z, r, new, m[:, 2 * w :]), strict=True):
+                for x, y in zip(kept, (h, zr, new, m[2 * w :]), strict=True):
                     x[t] = y
             out = states[t]
             np.subtract(h, new, out=out)
-            out *= z
+            out *= zr[:w]
             out += new
             h = out
-        return states, h, kept
+        return states, h.T, kept
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None):
         """Natural log probability of each target, and with grad the derivative of the summed loss by h (weights' into grad)."""
-        logits = h @ self.p["to_class"]
-        logits += self.p["class_bias"]
-        e = _normalised(logits)
-        total = e.sum(axis=1)
         k = self.class_of[target]
-        rows = np.arange(len(target))
-        out = logits[rows, k] - np.log(total)
+        order = np.argsort(k, kind="stable")
+        out = np.empty(len(target), np.result_type(h, F32))
+        logs, dh = self._sorted(np.take(h.T, order, axis=1), k[order], target[order], grad)
+        out[order] = logs
+        if dh is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[:, order] = dh
+        return out, back.T
+
+    def _sorted(self, h: np.ndarray, k: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None):
+        """output() of columns h whose targets are sorted by their class k."""
+        logits = self.p["to_class"].T @ h
+        logits += self.p["class_bias"][:, None]
+        e = _normalised(logits)
+        total = e.sum(axis=0)
+        every = np.arange(len(target))
+        out = logits[k, every] - np.log(total)
         dh = None
         if grad is not None:
-            e /= total[:, None]
-            e[rows, k] -= 1
-            grad["to_class"] += h.T @ e
-            grad["class_bias"] += e.sum(axis=0)
-            dh = e @ self.p["to_class"].T
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(self.shape.classes + 1))
+            e /= total
+            e[k, every] -= 1
+            grad["to_class"] += h @ e.T
+            grad["class_bias"] += e.sum(axis=1)
+            dh = self.p["to_class"] @ e
+        cuts = np.searchsorted(k, np.arange(self.shape.classes + 1))
         for c in range(self.shape.classes):
-            at = order[cuts[c] : cuts[c + 1]]
+            i, j = cuts[c], cuts[c + 1]
             a, b = self.shape.starts[c], self.shape.starts[c + 1]
-            if not len(at) or b - a == 1:
+            if i == j or b - a == 1:
                 continue
-            x, y, w = h[at], target[at] - a, self.p["to_word"][a:b]
-            logits = x @ w.T
-            logits += self.p["word_bias"][a:b]
+            x, y, w = h[:, i:j], target[i:j] - a, self.p["to_word"][a:b]
+            logits = w @ x
+            logits += self.p["word_bias"][a:b, None]
             e = _normalised(logits)
-            total = e.sum(axis=1)
-            mine = np.arange(len(at))
-            out[at] += logits[mine, y] - np.log(total)
+            total = e.sum(axis=0)
+            mine = every[: j - i]
+            out[i:j] += logits[y, mine] - np.log(total)
             if grad is not None:
-                e /= total[:, None]
-                e[mine, y] -= 1
-                grad["to_word"][a:b] += e.T @ x
-                grad["word_bias"][a:b] += e.sum(axis=0)
-                dh[at] += e @ w
+                e /= total
+                e[y, mine] -= 1
+                grad["to_word"][a:b] += e @ x.T
+                grad["word_bias"][a:b] += e.sum(axis=1)
+                dh[:, i:j] += w.T @ e
         return out, dh
 
     def backward(self, before, begin, kept, dstates, grad) -> None:
         """Backpropagation through one window (truncated at its first step)."""
-        h, z, r, new, m = kept
-        steps, n, w = h.shape
-        dg, dm = np.empty((steps, n, 3 * w), F32), np.empty((steps, n, 3 * w), F32)
-        dh = np.zeros((n, w), F32)
-        back = np.ascontiguousarray(self.p["state"].T)
+        h, zr, new, m = kept
+        steps, w, n = h.shape
+        z, r = zr[:, :w], zr[:, w:]
+        # what does not hang on later steps, for all steps at once
+        by_new = 1 - z
+        by_z = h - new
+        by_z *= z
+        by_z *= by_new
+        by_new *= 1 - new * new
+        by_r = m * r
+        by_r *= 1 - r
+        dg, dh, d = np.empty((steps, 3 * w, n), F32), np.zeros((w, n), F32), np.empty((3 * w, n), F32)
+        state, starts, by_state = self.p["state"], begin.any(axis=1), grad["state"]
         for t in range(steps - 1, -1, -1):
-            dh = dh + dstates[t]
-            dn = dh * (1 - z[t]) * (1 - new[t] * new[t])
-            dz = dh * (h[t] - new[t]) * z[t] * (1 - z[t])
-            dr = dn * m[t] * r[t] * (1 - r[t])
-            dg[t, :, :w], dg[t, :, w : 2 * w], dg[t, :, 2 * w :] = dz, dr, dn
-            dm[t, :, : 2 * w], dm[t, :, 2 * w :] = dg[t, :, : 2 * w], dn * r[t]
-            dh = dh * z[t] + dm[t] @ back
-            if begin[t].any():
-                dh = np.where(begin[t][:, None], F32(0), dh)
-        grad["state"] += h.reshape(-1, w).T @ dm.reshape(-1, 3 * w)
-        x = before.ravel()
+            dh += dstates[t]
+            dn = dg[t, 2 * w :]
+            np.multiply(dh, by_new[t], out=dn)
+            np.multiply(dh, by_z[t], out=d[:w])
+            np.multiply(dn, by_r[t], out=d[w : 2 * w])
+            np.multiply(dn, r[t], out=d[2 * w :])
+            dg[t, : 2 * w] = d[: 2 * w]
+            by_state += h[t] @ d.T
+            dh *= z[t]
+            dh += state @ d
+            if starts[t]:
+                dh[:, begin[t]] = 0
+        x = before.ravel().astype(np.int16 if self.shape.words < 1 << 15 else np.int32)
         order = np.argsort(x, kind="stable")
         x = x[order]
         at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        grad["inputs"][x[at]] += np.add.reduceat(dg.reshape(-1, 3 * w)[order], at, axis=0)
+        grad["inputs"][x[at]] += np.add.reduceat(dg.transpose(0, 2, 1).reshape(-1, 3 * w)[order], at, axis=0)
 
     def scores(self, laid: Lanes, documents: int, steps: int = 2 * STEPS) -> np.ndarray:
         """Natural log-likelihood of every document of the lanes."""
@@ -254,9 +284,13 @@ class Gru:
         h = np.zeros((len(laid.sizes), self.shape.width), F32)
         for before, now, begin, doc in laid.windows(steps):
             states, h, _ = self.forward(before, begin, h[: before.shape[1]], False)
-            real = doc >= 0
-            logs, _ = self.output(states[real], now[real])
-            out += np.bincount(doc[real], logs, documents)
+            real = np.flatnonzero(doc.ravel() >= 0)
+            target = now.ravel()[real]
+            k = self.class_of[target]
+            order = np.argsort(k, kind="stable")
+            real = real[order]
+            logs, _ = self._sorted(_columns(states)[:, real], k[order], target[order], None)
+            out += np.bincount(doc.ravel()[real], logs, documents)
         return out
 
     def gradient(self, window: tuple[np.ndarray, ...], h: np.ndarray, flat_grad: np.ndarray) -> tuple[float, int, np.ndarray]:
@@ -264,12 +298,17 @@ class Gru:
         before, now, begin, doc = window
         grad = self.shape.views(flat_grad)
         states, h, kept = self.forward(before, begin, h[: before.shape[1]], True)
-        real = doc >= 0
-        logs, d = self.output(states[real], now[real], grad)
-        dstates = np.zeros_like(states)
-        dstates[real] = d
+        real = np.flatnonzero(doc.ravel() >= 0)
+        target = now.ravel()[real]
+        k = self.class_of[target]
+        order = np.argsort(k, kind="stable")
+        real = real[order]
+        logs, d = self._sorted(_columns(states)[:, real], k[order], target[order], grad)
+        dstates = np.zeros((states.shape[1], before.size), F32)
+        dstates[:, real] = d
+        dstates = dstates.reshape(states.shape[1], *before.shape).transpose(1, 0, 2)
         self.backward(before, begin, kept, dstates, grad)
-        return -float(logs.sum()), int(real.sum()), h
+        return -float(logs.sum()), len(real), h
 
 
 class Trainer:
@@ -292,7 +331,15 @@ class Trainer:
             if norm > CLIP:
                 grad *= CLIP / norm
             a, b = DECAY
-            self.first += (1 - a) * (grad - self.first)
-            self.second += (1 - b) * (grad * grad - self.second)
+            self.first *= F32(a)
+            self.first += F32(1 - a) * grad
+            grad *= grad
+            grad *= F32(1 - b)
+            self.second *= F32(b)
+            self.second += grad
             rate = RATE * np.sqrt(1 - b**self.step) / (1 - a**self.step)
-            self.model.flat -= F32(rate) * self.first / (np.sqrt(self.second) + F32(1e-8))
+            np.sqrt(self.second, out=grad)
+            grad += F32(1e-8)
+            np.divide(self.first, grad, out=grad)
+            grad *= F32(rate)
+            self.model.flat -= grad

@@ -5,15 +5,16 @@
    to the workers, with the WORDS most frequent as the model's own words; any
    other word is one sign of the model, times the word's share by the counts
    among such words.
-2. The model is trained in ROUNDS. Each takes a share of the training documents
-   by a hash, in tasks of about TASK_BYTES of them; each task runs truncated
-   backpropagation from the round's parameters, and the tasks' results are
-   averaged by Spark, weighted by tokens: a fixed number of parameters reaches
-   the driver however large the input is. In all, a TRAINED-th of the training
-   documents pass through the network; counts come from all of them.
-3. One pass scores all documents, state carried through each of them. Words
-   that are not frequent leave it as the document's distinct words with their
-   numbers, and meet the table of counts in a join.
+2. One pass reads all texts and writes each document's signs for the model and
+   its share of the base score. Words that are not frequent leave it as the
+   document's distinct words with their numbers, and meet the table of counts in
+   a join.
+3. The model is trained on all training documents, each of them once, in ROUNDS.
+   A round takes those that a hash gives it, in tasks of about TASK_BYTES of text;
+   each task runs truncated backpropagation from the round's parameters, and the
+   tasks' results are averaged by Spark, weighted by tokens: a fixed number of
+   parameters reaches the driver however large the input is.
+4. One pass over the signs scores all documents, state carried through each.
 
 Defined results: a null or empty text is its end token; rows are separate
 documents even if their doc_id repeats; a null doc_id counts as the empty text
@@ -44,9 +45,9 @@ from .gru import Gru, Shape, Trainer, even_lanes, first_parameters, lanes
 HEAD_KEYS = 1 << 19
 #: Words of the model beside the end and the sign for all others.
 WORDS = 1022
-#: Rounds of training, and one in how many training documents is taken over all rounds.
-ROUNDS, TRAINED = 4, 4
-#: About so many bytes of text are a training task of one round; tokens that are scored together.
+#: Rounds of training; together they take every training document once.
+ROUNDS = 4
+#: About so many bytes of text are a training task of one round; tokens that are trained on or scored together.
 TASK_BYTES, SCORED = 4 << 20, 2_000_000
 #: Longer words, in characters, are counted under their digest.
 LONGEST = 64
@@ -126,47 +127,102 @@ def corpus_counts(docs: DataFrame, counts: DataFrame) -> tuple[Counts, Column]:
     return Counts(tokens, denominator, ends, {w: k for k, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.int64), model_id, mass[order], int(place[-2]), int(place[-1]), float(np.log10(rest / denominator))), frequent
 
 
-# ---------------------------------------------------------------- training
+# ---------------------------------------------------------------- signs
 
+_DOCUMENT_DDL = "row long, doc_id long, held_out boolean, n_known long, base_score double, beside double, signs binary, words array<string>, times array<int>"
+#: A sign in a document's row; WORDS and two more fit.
+SIGN = np.dtype("<u2")
 
-def _train(shared, shape: Shape):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, flat = shared.value
-        trainer, words, sizes = Trainer(shape, flat), [], []
 
-        def learn() -> None:
-            trainer.train(even_lanes(np.concatenate(words), np.array(sizes), counts.end))
-            words.clear()
-            sizes.clear()
+def _read(shared):
+    """Signs of every document, end included, what it has by the frequent words, and its other words; beside is what the model's score has from counts."""
 
-        get, model_id = counts.index.get, np.append(counts.model_id, np.int32(counts.other))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        known, log_share = counts.count > 0, counts.log_share(counts.count)
+        get, end = counts.index.get, counts.log_share(np.array([counts.end_count]))[0]
+        model_id = np.append(counts.model_id, np.int32(counts.other)).astype(SIGN)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for k in range(len(offsets) - 1):
-                found = [get(word_key(w), -1) for w in split_words(data[offsets[k] : offsets[k + 1]].tobytes())]
-                words.append(np.append(model_id[np.array(found, np.int64)], np.int32(counts.end)))
-                sizes.append(len(found) + 1)
-            if sum(sizes) > SCORED:
-                learn()
-        if sizes:
-            learn()
+            _, offsets = text_buffer(batch.column("text"))
+            for start, stop in pieces(offsets, 1 << 20):
+                part = batch.slice(start, stop - start)
+                data, cuts = text_buffer(part.column("text"))
+                rows = []
+                for k in range(stop - start):
+                    words = split_words(data[cuts[k] : cuts[k + 1]].tobytes())
+                    found = np.array([get(w, -1) for w in words], np.int64)
+                    rare: dict[bytes, int] = {}
+                    for at in np.flatnonzero(found < 0):
+                        key = word_key(words[at])
+                        found[at] = get(key, -1)  # a digest may be frequent
+                        if found[at] < 0:
+                            rare[key] = rare.get(key, 0) + 1
+                    ids = np.append(model_id[found], SIGN.type(counts.end))
+                    near = found[found >= 0]
+                    foreign = found[(found >= 0) & (ids[:-1] == counts.other)]
+                    others = int((ids == counts.other).sum())
+                    rows.append((int(known[near].sum()) + (counts.end_count > 0), float(log_share[near].sum()) + end, float(log_share[foreign].sum()) - others * counts.log_other, ids.tobytes(), [w.decode() for w in rare], list(rare.values())))
+                types = (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.record_batch([*(part.column(c) for c in ("row", "doc_id", "held_out")), *columns], ["row", "doc_id", "held_out", "n_known", "base_score", "beside", "signs", "words", "times"])
+
+    return run
+
+
+def documents(docs: DataFrame, counts: Counts) -> DataFrame:
+    """A written table, a row a document; see _DOCUMENT_DDL."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    return materialise(numbered.mapInArrow(_read(shared), _DOCUMENT_DDL), "lm-documents")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
+    """Batches of about SCORED tokens with their tokens and the sizes of their documents; a larger one stands alone."""
+    held: list[pa.RecordBatch] = []
+    tokens: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    waiting = 0
+    for batch in batches:
+        _, offsets = text_buffer(batch.column("signs"))
+        for start, stop in pieces(offsets, SCORED * SIGN.itemsize):
+            part = batch.slice(start, stop - start)
+            data, cuts = text_buffer(part.column("signs"))
+            held.append(part)
+            tokens.append(np.frombuffer(data.tobytes(), SIGN).astype(np.int32))
+            sizes.append(np.diff(cuts) // SIGN.itemsize)
+            waiting += len(tokens[-1])
+            if waiting > SCORED:
+                yield held, np.concatenate(tokens), np.concatenate(sizes)
+                held, tokens, sizes, waiting = [], [], [], 0
+    if waiting:
+        yield held, np.concatenate(tokens), np.concatenate(sizes)
+
+
+# ---------------------------------------------------------------- training
+
+
+def _train(shared, shape: Shape, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = Trainer(shape, shared.value)
+        for _, tokens, sizes in _dealt(batches):
+            trainer.train(even_lanes(tokens, sizes, end))
         if trainer.tokens:
             yield pa.record_batch([pa.array([trainer.tokens], pa.int64()), pa.array([trainer.model.flat], pa.list_(pa.float32()))], ["tokens", "flat"])
 
     return run
 
 
-def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, trained: int = TRAINED) -> tuple[Shape, np.ndarray]:
-    """Parameters of the model after all rounds."""
-    spark = docs.sparkSession
+def train(read: DataFrame, size: int, counts: Counts, rounds: int = ROUNDS) -> tuple[Shape, np.ndarray]:
+    """Parameters of the model after all rounds over documents(), whose texts have `size` bytes."""
+    spark = read.sparkSession
     shape = Shape.of(counts.mass)
     flat = first_parameters(shape, counts.mass)
-    tasks = blocks_for(text_bytes(docs) // (rounds * trained), TASK_BYTES)
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds * trained))
+    tasks = blocks_for(size // rounds, TASK_BYTES)
+    share = F.pmod(F.xxhash64("doc_id", "signs"), F.lit(rounds))
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((counts, flat))
-        some = docs.where(~is_held_out(F.col("doc_id")) & (share == k)).select("text").coalesce(tasks)
-        each = some.mapInArrow(_train(shared, shape), "tokens long, flat array<float>")
+        shared = spark.sparkContext.broadcast(flat)
+        some = read.where(~F.col("held_out") & (share == k)).select("signs").coalesce(tasks)
+        each = some.mapInArrow(_train(shared, shape, counts.end), "tokens long, flat array<float>")
         mean = each.select("tokens", F.posexplode("flat").alias("k", "v")).groupBy("k").agg((F.sum(F.col("v").cast("double") * F.col("tokens")) / F.sum("tokens")).alias("v")).toArrow()
         if mean.num_rows:
             flat = np.empty(shape.size, np.float32)
@@ -177,71 +233,34 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, trained: int =
 
 # ---------------------------------------------------------------- scores
 
-_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<string>, times array<int>"
-
 
-def _score(shared, shape: Shape):
+def _score(shared, shape: Shape, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, flat = shared.value
-        model = Gru(shape, flat)
-        known, log_share = counts.count > 0, counts.log_share(counts.count)
-        get, end = counts.index.get, counts.log_share(np.array([counts.end_count]))[0]
-        model_id = np.append(counts.model_id, np.int32(counts.other))
-
-        def scored(rows: list[tuple], signs: list[np.ndarray]) -> pa.RecordBatch:
-            sizes = np.array([len(x) for x in signs])
-            logs = model.scores(lanes(np.concatenate(signs), sizes, counts.end), len(signs)) / LN10
-            columns = list(zip(*rows, strict=True))
-            score = logs + np.array(columns.pop(6))
-            return pa.RecordBatch.from_pydict({"row": pa.array(columns[0], pa.int64()), "doc_id": pa.array(columns[1], pa.int64()), "held_out": columns[2], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(columns[3], pa.int64()), "base_score": pa.array(columns[4], pa.float64()), "score": score, "words": pa.array(columns[5], pa.list_(pa.string())), "times": pa.array(columns[6], pa.list_(pa.int32()))})
-
-        rows: list[tuple] = []
-        signs: list[np.ndarray] = []
-        waiting = 0
-        for batch in batches:
-            _, offsets = text_buffer(batch.column("text"))
-            for start, stop in pieces(offsets, 1 << 20):
-                part = batch.slice(start, stop - start)
-                data, cuts = text_buffer(part.column("text"))
-                for k, (row, doc_id, held) in enumerate(zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "held_out")), strict=True)):
-                    words = split_words(data[cuts[k] : cuts[k + 1]].tobytes())
-                    found = np.array([get(w, -1) for w in words], np.int64)
-                    rare: dict[bytes, int] = {}
-                    for at in np.flatnonzero(found < 0):
-                        key = word_key(words[at])
-                        found[at] = get(key, -1)  # a digest may be frequent
-                        if found[at] < 0:
-                            rare[key] = rare.get(key, 0) + 1
-                    ids = np.append(model_id[found], np.int32(counts.end))
-                    near = found[found >= 0]
-                    foreign = found[(found >= 0) & (ids[:-1] == counts.other)]
-                    others = int((ids == counts.other).sum())
-                    rows.append((row, doc_id, held, int(known[near].sum()) + (counts.end_count > 0), float(log_share[near].sum()) + end, [w.decode() for w in rare], float(log_share[foreign].sum()) - others * counts.log_other, list(rare.values())))
-                    signs.append(ids)
-                    waiting += len(ids)
-                if waiting > SCORED:
-                    yield scored(rows, signs)
-                    rows, signs, waiting = [], [], 0
-        if rows:
-            yield scored(rows, signs)
+        model = Gru(shape, shared.value)
+        for held, tokens, sizes in _dealt(batches):
+            logs = model.scores(lanes(tokens, sizes, end), len(sizes)) / LN10
+            rows = pa.Table.from_batches(held).drop_columns(["signs", "beside"]).combine_chunks()
+            score = logs + np.concatenate([b.column("beside").to_numpy() for b in held])
+            yield from rows.append_column("n_tokens", pa.array(sizes, pa.int64())).append_column("score", pa.array(score)).to_batches()
 
     return run
 
 
-def score_documents(docs: DataFrame, rounds: int = ROUNDS, trained: int = TRAINED) -> DataFrame:
+def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Counts, base score and the model's score of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = word_counts(docs)
     counts, frequent = corpus_counts(docs, words)
-    shape, flat = train(docs, counts, rounds, trained)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, flat))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
-    seen = materialise(numbered.mapInArrow(_score(shared, shape), _DDL), "lm-scores")
-    rare = seen.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    read = documents(docs, counts)
+    shape, flat = train(read, text_bytes(docs), counts, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast(flat)
+    kept = read.select("row", "doc_id", "held_out", "n_known", "base_score", "beside", "signs")
+    scored = materialise(kept.mapInArrow(_score(shared, shape, counts.end), "row long, doc_id long, held_out boolean, n_known long, base_score double, n_tokens long, score double"), "lm-scores")
+    rare = read.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     log_share = F.log10((F.col("c") + PSEUDO) / F.lit(counts.denominator))
     sums = rare.join(words.where(~frequent).select("word", "c"), "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n").cast("long")).otherwise(F.lit(0).cast("long"))).alias("more_known"), F.sum(F.col("n") * log_share).alias("more"))
     plus = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c)
-    return seen.drop("words", "times").join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), plus("base_score", "more"), plus("score", "more"))
+    return scored.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), plus("base_score", "more"), plus("score", "more"))
 
 
 def op11_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,3 +160,23 @@ def test_model_beats_the_counts_on_held_out_documents(scored):
     assert len(held_out) > 50 and np.isfinite(scored.score).all()
     gain = (held_out.score - held_out.base_score) / held_out.n_tokens
     assert held_out.score.sum() > held_out.base_score.sum() and (gain > 0).mean() > 0.6
+
+
+def test_every_training_document_passes_through_the_network(spark, monkeypatch):
+    """No training document is left out, and no held-out one taken, however many rounds there are."""
+    rows = [(k, f"word{k} " * (k % 5)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, _ = recurrent_lm.corpus_counts(docs, recurrent_lm.word_counts(docs))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(shared, shape, end):
+        def run(batches):
+            for b in batches:
+                seen.add(sum(len(x) // recurrent_lm.SIGN.itemsize for x in b.column("signs").to_pylist()))
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(recurrent_lm, "_train", counting)
+    recurrent_lm.train(recurrent_lm.documents(docs, counts), 10_000, counts)
+    assert seen.value == counts.tokens == sum(k % 5 + 1 for k, _ in rows if not held(k))
