@@ -14,6 +14,7 @@ from fauntrack.functions import geo
 
 from . import graphs as G
 from . import habitat, kernel
+from .dynamics import dealt
 
 
 def _mesh(units: DataFrame, edges: DataFrame, n_units: int):
@@ -354,30 +355,50 @@ def path_intervals(paths: DataFrame) -> DataFrame:
     return size.join(modal, ["release", "recapture"])
 
 
+def _ensemble_kernels(parameters: DataFrame) -> list[tuple[float, ...]]:
+    return [tuple(float(r[c]) for c in ("gamma", "rho", "alpha")) for r in parameters.select("gamma", "rho", "alpha").collect()]  # a bounded table
+
+
+def _averaged(batches: Iterator[pd.DataFrame], mesh: pd.DataFrame, g: G.Csr, rows: list[tuple[float, ...]]) -> Iterator[tuple]:
+    """Unit of release, unit of recapture, k and the corridor averaged over the draws, (k + 1) x units, for every event."""
+    kernels = [_kernel(mesh, g, mesh["hsi"].to_numpy(), *r) for r in rows]
+    for pdf in batches:
+        for u, part in pdf.groupby("release"):
+            events = list(zip((part["recapture"] - 1).tolist(), part["k"].tolist(), strict=True))
+            for (v, k), *found in zip(events, *(G.bridges(p, int(u) - 1, events) for p in kernels), strict=True):
+                yield int(u) - 1, v, k, sum(np.where(x > 1e-9, x, 0) for x in found) / len(rows)
+
+
 def ensemble(events: DataFrame, units: DataFrame, edges: DataFrame, parameters: DataFrame, n_units: int) -> DataFrame:
     """release, recapture, k, tau, s_idx, prob: the bridge corridor averaged over parameter draws; events are dealt by release."""
-    shared = _mesh(units, edges, n_units)
-    rows = [tuple(float(r[c]) for c in ("gamma", "rho", "alpha")) for r in parameters.select("gamma", "rho", "alpha").collect()]  # a bounded table
+    shared, rows = _mesh(units, edges, n_units), _ensemble_kernels(parameters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mesh, g = shared.value
-        kernels = [_kernel(mesh, g, mesh["hsi"].to_numpy(), *r) for r in rows]
-        for pdf in batches:
-            for u, part in pdf.groupby("release"):
-                events = list(zip((part["recapture"] - 1).tolist(), part["k"].tolist(), strict=True))
+        out = []
+        for u, v, k, b in _averaged(batches, *shared.value, rows):
+            t, s = np.nonzero(b)
+            out.append(pd.DataFrame({"release": np.int32(u + 1), "recapture": np.int32(v + 1), "k": np.int32(k), "tau": t.astype("int32"), "s_idx": (s + 1).astype("int32"), "prob": b[t, s]}))
+            if len(out) == 200:
+                yield pd.concat(out)
                 out = []
-                for (v, k), *found in zip(events, *(G.bridges(p, int(u) - 1, events) for p in kernels), strict=True):
-                    b = sum(np.where(x > 1e-9, x, 0) for x in found) / len(rows)
-                    t, s = np.nonzero(b)
-                    out.append(pd.DataFrame({"release": np.int32(u), "recapture": np.int32(v + 1), "k": np.int32(k), "tau": t.astype("int32"), "s_idx": (s + 1).astype("int32"), "prob": b[t, s]}))
-                    if len(out) == 200:
-                        yield pd.concat(out)
-                        out = []
-                if out:
-                    yield pd.concat(out)
-
-    distinct = events.select("release", "recapture", "k").distinct().repartition("release").sortWithinPartitions("release")
-    return distinct.mapInPandas(run, "release int, recapture int, k int, tau int, s_idx int, prob double")
+        if out:
+            yield pd.concat(out)
+
+    return dealt(events, "release", "recapture").mapInPandas(run, "release int, recapture int, k int, tau int, s_idx int, prob double")
+
+
+def ensemble_use(events: DataFrame, units: DataFrame, edges: DataFrame, parameters: DataFrame, n_units: int) -> DataFrame:
+    """s_idx, prob: ensemble() summed over all distinct events and their steps; cells are added up inside the tasks."""
+    shared, rows = _mesh(units, edges, n_units), _ensemble_kernels(parameters)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(n_units)
+        for *_, b in _averaged(batches, *shared.value, rows):
+            total += b.sum(0)
+        s = np.flatnonzero(total)
+        yield pd.DataFrame({"s_idx": (s + 1).astype("int32"), "prob": total[s]})
+
+    return dealt(events, "release", "recapture").mapInPandas(run, "s_idx int, prob double").groupBy("s_idx").agg(F.sum("prob").alias("prob"))
 
 
 def predictive_check(pairs: DataFrame, kernel: DataFrame, n_units: int, draws: int = 30, most_steps: int = 10, seed: int = 1) -> DataFrame:

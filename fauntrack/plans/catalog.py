@@ -750,8 +750,8 @@ def path_credible_intervals(s, d):
 
 @query()
 def bayesian_ensemble(s, d):
-    p = posterior.ensemble(_few(s, d), X.units(s, d), X.edges(s, d), _parameters(s), N)
-    return p.groupBy("s_idx").agg(F.sum("prob").alias("prob")).select("s_idx", geo.rounded("prob", 4).alias("prob"))
+    p = posterior.ensemble_use(_few(s, d), X.units(s, d), X.edges(s, d), _parameters(s), N)
+    return p.select("s_idx", geo.rounded("prob", 4).alias("prob"))
 
 
 @query()
