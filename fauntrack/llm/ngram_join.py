@@ -229,7 +229,8 @@ def _sign(buckets: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_buffer(batch.column("text"))
-            row = [int(x).to_bytes(8, "big") for x in batch.column("row").to_numpy()]
+            raw = batch.column("row").to_numpy().astype(">i8").tobytes()
+            row = [raw[k : k + 8] for k in range(0, len(raw), 8)]
             sigs, ents = [], []
             for s, e in pieces(offsets, _CHUNK):
                 values, cut = shingle_sets(buf[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s])
@@ -303,7 +304,9 @@ def frequent_features(docs: DataFrame, n_docs: int) -> np.ndarray:
     large group of copies do not look like a shared passage. The choice decides
     cost only.
     """
-    rows = hash_sample(docs.where("text is not null"), ["row"], SAMPLE_SETS, n_docs).select("text").mapInArrow(_sample, "features binary").collect()
+    # the place keeps exact copies from being taken all or none
+    placed = docs.where("text is not null").withColumn("place", F.monotonically_increasing_id())
+    rows = hash_sample(placed, ["row", "place"], SAMPLE_SETS, n_docs).select("text").mapInArrow(_sample, "features binary").collect()
     seen: dict[int, int] = {}
     unlike = []
     for k, r in enumerate(rows):  # bounded by SAMPLE_SETS
@@ -446,7 +449,13 @@ def rare_groups(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sketched(pairs: DataFrame, entities: DataFrame) -> DataFrame:
-    side = lambda k: entities.select(F.col("ent").alias(f"e{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    """Pairs that sizes and sketches leave possible; only entities that stand in a pair are shuffled."""
+    pairs = materialise(pairs.select("a", "b"), "ngram-near")
+
+    def side(k: str) -> DataFrame:
+        own = entities.join(sized(pairs.select(F.col(k).alias("_k")).distinct(), 16), F.col("ent") == F.col("_k"), "left_semi")
+        return own.select(F.col("ent").alias(f"e{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+
     p = pairs.join(side("a"), F.col("a") == F.col("ea")).join(side("b"), F.col("b") == F.col("eb"))
     p = p.where(DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb")
     return p.mapInArrow(_close, "a long, b long")
@@ -463,14 +472,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return p.mapInArrow(_linked, "a long, b long")
 
 
+def _texts(docs: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
+    """ent, tag, text of the rows that are asked for (a written table), each text once.
+
+    Where several rows have an address, which are copies with one doc_id, their
+    equal texts become one; only these are shuffled, after each task has done so
+    with its own. Texts that share an address by chance both come, and the set
+    tells which one was meant.
+    """
+    same = own.select("row").join(sized(asked.select("row"), 16), "row", "left_semi").groupBy("row").count().where("count > 1").select("row")
+    same = materialise(same, "ngram-repeated")
+    one = docs.join(sized(asked.join(sized(same, 16), "row", "left_anti"), 32), "row").select("ent", "tag", "text")
+    if not same.limit(1).count():
+        return one
+    return one.union(docs.join(sized(asked.join(sized(same, 16), "row", "left_semi"), 32), "row").select("ent", "tag", "text").distinct())
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    # written once, so that a row's number addresses its text whatever its doc_id, null or repeated
-    docs = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "ngram-texts")
+    # a hash of the row addresses its text, so that texts need not be written again; rows of one address are told apart in _texts()
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     size, n_docs = text_totals(docs)
     known = frequent_features(docs, n_docs)
     found = K.exchange(docs.mapInArrow(_sign(K.bucket_count(size // 2, docs), known), K.ROWS_DDL), "ngrams")
-    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("row"), F.substring("payload", 9, 8).alias("tag"), F.expr("substring(payload, 17)").alias("sketch"))
+    own = found.where(F.col("kind") == K.OWN).select(F.col("a").alias("doc_id"), F.col("b").alias("ent"), "n", F.col("bucket").alias("failed"), F.conv(F.hex(F.substring("payload", 1, 8)), 16, -10).cast("long").alias("row"), F.substring("payload", 9, 8).alias("tag"), F.expr("substring(payload, 17)").alias("sketch"))
     members = found.where(F.col("kind") == K.MEMBER).select("a", "b")
     stars = K.star_pairs(found)
     # of two sets that share a name by chance, the one with the smaller tag is looked at
@@ -480,8 +505,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     touched = close.select(F.col("a").alias("t")).union(close.select("b")).union(members.select("b")).union(entities.where("failed > 0").select("ent")).distinct()
     asked = entities.join(touched, F.col("ent") == F.col("t"), "left_semi").select("ent", "tag", "row")
     asked = materialise(asked, "ngram-asked")
-    texts = docs.join(sized(asked, 32), "row").select("ent", "tag", "text")
-    sets = materialise(texts.mapInArrow(_sets, "ent long, n long, features binary"), "ngram-sets")
+    sets = materialise(_texts(docs, own, asked).mapInArrow(_sets, "ent long, n long, features binary"), "ngram-sets")
     links = materialise(_verified(close, sets), "ngram-links")
     labels = K.components(links, "ngram-labels")
     # groups that are not of one class, and flagged sets, by the exact second way: stars first, then pairs across classes
