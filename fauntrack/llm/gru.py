@@ -148,19 +148,49 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _normalised(logits: np.ndarray) -> np.ndarray:
-    """e to the power of logits, which become less by the maximum of their column."""
-    logits -= logits.max(axis=0)
+#: Exponents up to this need no shift: neither they nor the sums of them leave what a float32 holds.
+PLAIN = 60.0
+
+
+def _bound(weights: np.ndarray) -> float:
+    """Largest magnitude of a row of weights times a vector with no component beyond one."""
+    return float(np.abs(weights).sum(axis=1).max())
+
+
+def _powers_of_e(logits: np.ndarray, plain: bool) -> np.ndarray:
+    """e to the power of logits, which, unless plain, become less by the maximum of their column."""
+    if not plain:
+        logits -= logits.max(axis=0)
     return np.exp(logits)
 
 
-def _columns(states: np.ndarray) -> np.ndarray:
-    """(steps, width, lanes) as (width, tokens)."""
-    return states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+def row_sums(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and for each the sum of its rows.
+
+    Runs of a key add up side by side, their k-th rows in step k; the few long ones each by themselves.
+    """
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(at, len(key)))
+    falling = np.argsort(-size, kind="stable")
+    at, size = at[falling], size[falling]
+    found = key[at]
+    rows = np.take(rows, order, axis=0)
+    out = np.take(rows, at, axis=0)
+    long = int(np.searchsorted(-size, -16, side="left"))
+    ones = np.ones(size[0] if long else 0, rows.dtype)
+    for k in range(long):
+        np.matmul(ones[: size[k]], rows[at[k] : at[k] + size[k]], out=out[k])
+    at, size, short = at[long:], size[long:], out[long:]
+    for k in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k, side="left"))
+        short[:n] += np.take(rows, at[:n] + k, axis=0)
+    return found, out
 
 
 class Gru:
-    """Arrays inside are (features, tokens), so that every pass over them, sums over features too, runs along memory."""
+    """Arrays of a step are (features, lanes), so that every pass over them runs along memory; what is sorted or gathered by token are rows."""
 
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.flat = shape, flat
@@ -168,87 +198,97 @@ class Gru:
         self.class_of = np.repeat(np.arange(shape.classes, dtype=np.int16), np.diff(shape.starts))
 
     def forward(self, before: np.ndarray, begin: np.ndarray, h: np.ndarray, keep: bool):
-        """States (steps, width, lanes) of a window, the last one (lanes, width), and what the backward sweep needs."""
+        """States of a window as rows (tokens, width and a one), the last one (lanes, width), and what the backward sweep needs."""
         w = self.shape.width
         steps, n = before.shape
-        state, inputs = np.ascontiguousarray(self.p["state"].T), np.ascontiguousarray(self.p["inputs"].T)
-        states = np.empty((steps, w, n), F32)
-        kept = [np.empty((steps, size * w, n), F32) for size in (1, 2, 1, 1)] if keep else None
+        state, inputs = np.ascontiguousarray(self.p["state"].T), self.p["inputs"]
+        rows = np.empty((steps, n, w + 1), F32)
+        rows[:, :, w] = 1
+        kept = [np.empty((steps if keep else 1, size * w, n), F32) for size in (1, 3, 1)]
         h = np.ascontiguousarray(h.T, dtype=F32)
         starts = begin.any(axis=1)
         for t in range(steps):
             if starts[t]:
                 h = np.where(begin[t], F32(0), h)
-            g, m = np.take(inputs, before[t], axis=1), state @ h
-            g[: 2 * w] += m[: 2 * w]
-            zr = _sigmoid(g[: 2 * w])
-            new = zr[w:] * m[2 * w :]
-            new += g[2 * w :]
-            np.tanh(new, out=new)
+            last, gates, new = (x[t if keep else 0] for x in kept)
             if keep:
-                for x, y in zip(kept, (h, zr, new, m[2 * w :]), strict=True):
-                    x[t] = y
-            out = states[t]
-            np.subtract(h, new, out=out)
-            out *= zr[:w]
-            out += new
-            h = out
-        return states, h.T, kept
+                last[:] = h
+            x = np.take(inputs, before[t], axis=0).T
+            np.matmul(state, h, out=gates)
+            zr = gates[: 2 * w]
+            zr += x[: 2 * w]
+            _sigmoid(zr)
+            np.multiply(zr[w:], gates[2 * w :], out=new)
+            new += x[2 * w :]
+            np.tanh(new, out=new)
+            h = h - new
+            h *= zr[:w]
+            h += new
+            rows[t, :, :w] = h.T
+        return rows.reshape(steps * n, w + 1), h.T, kept
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None = None):
         """Natural log probability of each target, and with grad the derivative of the summed loss by h (weights' into grad)."""
         k = self.class_of[target]
         order = np.argsort(k, kind="stable")
         out = np.empty(len(target), np.result_type(h, F32))
-        logs, dh = self._sorted(np.take(h.T, order, axis=1), k[order], target[order], grad)
+        rows = np.concatenate([h[order], np.ones((len(h), 1), h.dtype)], axis=1)
+        logs, dh = self._sorted(rows, k[order], target[order], grad)
         out[order] = logs
         if dh is None:
             return out, None
         back = np.empty_like(dh)
-        back[:, order] = dh
-        return out, back.T
+        back[order] = dh
+        return out, back
 
     def _sorted(self, h: np.ndarray, k: np.ndarray, target: np.ndarray, grad: dict[str, np.ndarray] | None):
-        """output() of columns h whose targets are sorted by their class k."""
-        logits = self.p["to_class"].T @ h
-        logits += self.p["class_bias"][:, None]
-        e = _normalised(logits)
+        """output() of rows h, each with a one at its end for the biases, whose targets are sorted by their class k."""
+        w, p, every = self.shape.width, self.p, np.arange(len(target))
+        by_class = np.concatenate([p["to_class"].T, p["class_bias"][:, None]], axis=1)
+        by_word = np.concatenate([p["to_word"], p["word_bias"][:, None]], axis=1)
+        plain = max(_bound(by_class), _bound(by_word)) * max(h.max(initial=1), -h.min(initial=0)) <= PLAIN
+        logits = by_class @ h.T
+        e = _powers_of_e(logits, plain)
         total = e.sum(axis=0)
-        every = np.arange(len(target))
-        out = logits[k, every] - np.log(total)
+        out = logits[k, every]
         dh = None
         if grad is not None:
             e /= total
-            e[k, every] -= 1
-            grad["to_class"] += h @ e.T
-            grad["class_bias"] += e.sum(axis=1)
-            dh = self.p["to_class"] @ e
-        cuts = np.searchsorted(k, np.arange(self.shape.classes + 1))
+            e[k, every] = np.exp(out) / total - 1
+            d = e @ h
+            grad["to_class"] += d[:, :w].T
+            grad["class_bias"] += d[:, w]
+            dh = e.T @ by_class[:, :w]
+            d_word = np.zeros_like(by_word)
+        inside = np.ones_like(total)
+        cuts, starts = np.searchsorted(k, np.arange(self.shape.classes + 1)).tolist(), self.shape.starts.tolist()
         for c in range(self.shape.classes):
-            i, j = cuts[c], cuts[c + 1]
-            a, b = self.shape.starts[c], self.shape.starts[c + 1]
+            i, j, a, b = cuts[c], cuts[c + 1], starts[c], starts[c + 1]
             if i == j or b - a == 1:
                 continue
-            x, y, w = h[:, i:j], target[i:j] - a, self.p["to_word"][a:b]
-            logits = w @ x
-            logits += self.p["word_bias"][a:b, None]
-            e = _normalised(logits)
-            total = e.sum(axis=0)
-            mine = every[: j - i]
-            out[i:j] += logits[y, mine] - np.log(total)
+            x, of = h[i:j], by_word[a:b]
+            logits = of @ x.T
+            e = _powers_of_e(logits, plain)
+            np.add.reduce(e, axis=0, out=inside[i:j])
+            at = (target[i:j] - a, every[: j - i])
+            out[i:j] += logits[at]
             if grad is not None:
-                e /= total
-                e[y, mine] -= 1
-                grad["to_word"][a:b] += e @ x.T
-                grad["word_bias"][a:b] += e.sum(axis=1)
-                dh[:, i:j] += w.T @ e
+                e /= inside[i:j]
+                e[at] -= 1
+                np.matmul(e, x, out=d_word[a:b])
+                dh[i:j] += e.T @ of[:, :w]
+        if grad is not None:
+            grad["to_word"] += d_word[:, :w]
+            grad["word_bias"] += d_word[:, w]
+        total *= inside
+        out -= np.log(total)
         return out, dh
 
     def backward(self, before, begin, kept, dstates, grad) -> None:
-        """Backpropagation through one window (truncated at its first step)."""
-        h, zr, new, m = kept
+        """Backpropagation through one window (truncated at its first step); dstates are rows as forward's."""
+        h, gates, new = kept
         steps, w, n = h.shape
-        z, r = zr[:, :w], zr[:, w:]
+        z, r, m = gates[:, :w], gates[:, w : 2 * w], gates[:, 2 * w :]
         # what does not hang on later steps, for all steps at once
         by_new = 1 - z
         by_z = h - new
@@ -257,26 +297,36 @@ class Gru:
         by_new *= 1 - new * new
         by_r = m * r
         by_r *= 1 - r
-        dg, dh, d = np.empty((steps, 3 * w, n), F32), np.zeros((w, n), F32), np.empty((3 * w, n), F32)
-        state, starts, by_state = self.p["state"], begin.any(axis=1), grad["state"]
+        # d are derivatives by: the new state's part from the state, the two gates, the new state's part from the input; rows have the last three
+        rows, dh, d = np.empty((steps, n, 3 * w), F32), np.zeros((w, n), F32), np.empty((4 * w, n), F32)
+        state, starts = np.roll(self.p["state"], w, axis=1), begin.any(axis=1)
+        by_state = np.zeros_like(state)
+        dstates = dstates.reshape(steps, n, w)
         for t in range(steps - 1, -1, -1):
-            dh += dstates[t]
-            dn = dg[t, 2 * w :]
+            dh += dstates[t].T
+            dn = d[3 * w :]
             np.multiply(dh, by_new[t], out=dn)
-            np.multiply(dh, by_z[t], out=d[:w])
-            np.multiply(dn, by_r[t], out=d[w : 2 * w])
-            np.multiply(dn, r[t], out=d[2 * w :])
-            dg[t, : 2 * w] = d[: 2 * w]
-            by_state += h[t] @ d.T
+            np.multiply(dn, r[t], out=d[:w])
+            np.multiply(dh, by_z[t], out=d[w : 2 * w])
+            np.multiply(dn, by_r[t], out=d[2 * w : 3 * w])
+            for k in range(0, 3 * w, w):
+                rows[t, :, k : k + w] = d[k + w : k + 2 * w].T
+            by_state += h[t] @ d[: 3 * w].T
             dh *= z[t]
-            dh += state @ d
+            dh += state @ d[: 3 * w]
             if starts[t]:
                 dh[:, begin[t]] = 0
-        x = before.ravel().astype(np.int16 if self.shape.words < 1 << 15 else np.int32)
-        order = np.argsort(x, kind="stable")
-        x = x[order]
-        at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        grad["inputs"][x[at]] += np.add.reduceat(dg.transpose(0, 2, 1).reshape(-1, 3 * w)[order], at, axis=0)
+        grad["state"] += np.roll(by_state, -w, axis=1)
+        x, sums = row_sums(rows.reshape(steps * n, 3 * w), before.ravel().astype(np.int16 if self.shape.words < 1 << 15 else np.int32))
+        grad["inputs"][x] += sums
+
+    def _targets(self, now: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in a window that hold a token, sorted by its class, with the class and the token."""
+        real = np.flatnonzero(doc.ravel() >= 0)
+        target = now.ravel()[real]
+        k = self.class_of[target]
+        order = np.argsort(k, kind="stable")
+        return real[order], k[order], target[order]
 
     def scores(self, laid: Lanes, documents: int, steps: int = 2 * STEPS) -> np.ndarray:
         """Natural log-likelihood of every document of the lanes."""
@@ -284,12 +334,8 @@ class Gru:
         h = np.zeros((len(laid.sizes), self.shape.width), F32)
         for before, now, begin, doc in laid.windows(steps):
             states, h, _ = self.forward(before, begin, h[: before.shape[1]], False)
-            real = np.flatnonzero(doc.ravel() >= 0)
-            target = now.ravel()[real]
-            k = self.class_of[target]
-            order = np.argsort(k, kind="stable")
-            real = real[order]
-            logs, _ = self._sorted(_columns(states)[:, real], k[order], target[order], None)
+            real, k, target = self._targets(now, doc)
+            logs, _ = self._sorted(np.take(states, real, axis=0), k, target, None)
             out += np.bincount(doc.ravel()[real], logs, documents)
         return out
 
@@ -298,15 +344,10 @@ class Gru:
         before, now, begin, doc = window
         grad = self.shape.views(flat_grad)
         states, h, kept = self.forward(before, begin, h[: before.shape[1]], True)
-        real = np.flatnonzero(doc.ravel() >= 0)
-        target = now.ravel()[real]
-        k = self.class_of[target]
-        order = np.argsort(k, kind="stable")
-        real = real[order]
-        logs, d = self._sorted(_columns(states)[:, real], k[order], target[order], grad)
-        dstates = np.zeros((states.shape[1], before.size), F32)
-        dstates[:, real] = d
-        dstates = dstates.reshape(states.shape[1], *before.shape).transpose(1, 0, 2)
+        real, k, target = self._targets(now, doc)
+        logs, d = self._sorted(np.take(states, real, axis=0), k, target, grad)
+        dstates = np.zeros((before.size, self.shape.width), F32)
+        dstates[real] = d
         self.backward(before, begin, kept, dstates, grad)
         return -float(logs.sum()), len(real), h
 

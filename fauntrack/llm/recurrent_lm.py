@@ -6,9 +6,8 @@
    other word is one sign of the model, times the word's share by the counts
    among such words.
 2. One pass reads all texts and writes each document's signs for the model and
-   its share of the base score. Words that are not frequent leave it as the
-   document's distinct words with their numbers, and meet the table of counts in
-   a join.
+   its share of the base score. Words that are not frequent leave it as they
+   stand, and meet the table of counts in a join.
 3. The model is trained on all training documents, each of them once, in ROUNDS.
    A round takes those that a hash gives it, in tasks of about TASK_BYTES of text;
    each task runs truncated backpropagation from the round's parameters, and the
@@ -35,10 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, materialise, pieces, table, text_buffer, text_bytes
+from .common import BATCH_ROWS, blocks_for, materialise, partitions, pieces, table, text_buffer, text_bytes
 from .gru import Gru, Shape, Trainer, even_lanes, first_parameters, lanes
 
 #: A word with at least one in this many of all words is known to the workers, so at most so many words are, whatever the input.
@@ -49,13 +49,13 @@ WORDS = 1022
 ROUNDS = 4
 #: About so many bytes of text are a training task of one round; tokens that are trained on or scored together.
 TASK_BYTES, SCORED = 4 << 20, 2_000_000
+#: About so many bytes of text are counted at once, or read at once; a part of the join with the counts has about so many words.
+COUNTED, READ, JOINED = 16 << 20, 4 << 20, 1 << 18
 #: Longer words, in characters, are counted under their digest.
 LONGEST = 64
 #: Added to every count.
 PSEUDO = 0.1
 
-#: Capitals and breaks, and what they are read as: small letters, and the one break that texts are split at.
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz" + 5 * " "
 LN10 = float(np.log(10.0))
 
 
@@ -66,27 +66,56 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def exploded_words(text: Column) -> Column:
-    """A row for each word of a text, and empty ones where breaks stand side by side or at its ends."""
-    return F.explode(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), " "))
+def word_key(word: str) -> str:
+    """What a word is counted under: long ones under a blank, which no word holds, and their digest."""
+    return " " + hashlib.sha256(word.encode()).hexdigest() if len(word) > LONGEST else word
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Keys of the words of all texts, end to end, and how many each text has: lower-cased and split at ASCII only."""
+    texts = texts.cast(pa.string()).fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    length = pc.binary_length(words).to_numpy()
+    if not length.all():  # breaks at the ends of a text leave empty ones
+        real = length > 0
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        words, length = words.filter(pa.array(real)), length[real]
+    long = length > LONGEST
+    if long.any():
+        long = pa.array(long)
+        words = pc.replace_with_mask(words, long, pa.array(map(word_key, words.filter(long).to_pylist()), pa.string()))
+    return words, sizes
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of about COUNTED bytes of text at a time, of training documents and of the others."""
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for trains in (True, False):
+            texts = pa.concat_arrays([b.column("text").filter(b.column("t") if trains else pc.invert(b.column("t"))) for b in held])
+            found = split_words(texts)[0].value_counts()
+            n = found.field("counts")
+            for k in range(0, len(found), BATCH_ROWS):
+                part = n.slice(k, BATCH_ROWS)
+                yield pa.record_batch([found.field("values").slice(k, BATCH_ROWS), part if trains else pa.array(np.zeros(len(part), np.int64)), part], ["word", "c", "n"])
 
-
-def word_key(word: bytes) -> bytes:
-    """The same for one word within a task."""
-    return b" " + hashlib.sha256(word).hexdigest().encode() if len(word) > LONGEST and len(word.decode()) > LONGEST else word
-
-
-def split_words(text: bytes) -> list[bytes]:
-    """Words of a text in UTF-8: lower-cased and split at ASCII only, as these methods of bytes do."""
-    return text.lower().split()
+    held: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        held.append(batch)
+        waiting += batch.column("text").nbytes
+        if waiting > COUNTED:
+            yield from counted(held)
+            held, waiting = [], 0
+    if held:
+        yield from counted(held)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """A written table: word, c (in training documents), n (in all documents)."""
-    each = docs.select((~is_held_out(F.col("doc_id"))).cast("long").alias("t"), exploded_words(F.col("text")).alias("word")).where("word <> ''")
-    # long words are counted under a blank, which no word holds, and their digest
-    each = each.withColumn("word", F.when(F.length("word") > LONGEST, F.concat(F.lit(" "), F.sha2("word", 256))).otherwise(F.col("word")))
-    return materialise(each.groupBy("word").agg(F.sum("t").alias("c"), F.count("*").alias("n")), "lm-words")
+    each = docs.select((~is_held_out(F.col("doc_id"))).alias("t"), "text").mapInArrow(_count, "word string, c long, n long")
+    return materialise(each.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "lm-words")
 
 
 @dataclass
@@ -96,7 +125,7 @@ class Counts:
     tokens: int  # of training documents, ends included
     denominator: float
     end_count: int
-    index: dict[bytes, int]  # frequent word to its place in the two arrays
+    words: pa.Array  # frequent ones, their places those in the two arrays
     count: np.ndarray
     model_id: np.ndarray
     mass: np.ndarray  # of the model's signs, falling
@@ -104,6 +133,10 @@ class Counts:
     other: int
     log_other: float  # log10 of the share, by the counts, of all words that are not the model's
 
+    @property
+    def index(self) -> dict[bytes, int]:
+        return {w.encode(): k for k, w in enumerate(self.words.to_pylist())}
+
     def log_share(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + PSEUDO) / self.denominator)
 
@@ -124,12 +157,12 @@ def corpus_counts(docs: DataFrame, counts: DataFrame) -> tuple[Counts, Column]:
     place[order] = np.arange(len(mass))
     model_id = np.full(len(head), place[-1], np.int32)
     model_id[: len(own)] = place[: len(own)]
-    return Counts(tokens, denominator, ends, {w: k for k, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.int64), model_id, mass[order], int(place[-2]), int(place[-1]), float(np.log10(rest / denominator))), frequent
+    return Counts(tokens, denominator, ends, pa.array([w.decode() for w, _ in head], pa.string()), np.array([c for _, c in head], np.int64), model_id, mass[order], int(place[-2]), int(place[-1]), float(np.log10(rest / denominator))), frequent
 
 
 # ---------------------------------------------------------------- signs
 
-_DOCUMENT_DDL = "row long, doc_id long, held_out boolean, n_known long, base_score double, beside double, signs binary, words array<string>, times array<int>"
+_DOCUMENT_DDL = "row long, doc_id long, held_out boolean, n_known long, base_score double, beside double, signs binary, words array<string>"
 #: A sign in a document's row; WORDS and two more fit.
 SIGN = np.dtype("<u2")
 
@@ -139,32 +172,29 @@ def _read(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        known, log_share = counts.count > 0, counts.log_share(counts.count)
-        get, end = counts.index.get, counts.log_share(np.array([counts.end_count]))[0]
+        # tables by place of a frequent word, and at the end what holds of all other words
         model_id = np.append(counts.model_id, np.int32(counts.other)).astype(SIGN)
+        known = np.append(counts.count > 0, False)
+        share = np.append(counts.log_share(counts.count), 0.0)
+        beside = np.where(model_id == counts.other, share - counts.log_other, 0.0)
+        end = counts.log_share(np.array([counts.end_count]))[0]
         for batch in batches:
             _, offsets = text_buffer(batch.column("text"))
-            for start, stop in pieces(offsets, 1 << 20):
+            for start, stop in pieces(offsets, READ):
                 part = batch.slice(start, stop - start)
-                data, cuts = text_buffer(part.column("text"))
-                rows = []
-                for k in range(stop - start):
-                    words = split_words(data[cuts[k] : cuts[k + 1]].tobytes())
-                    found = np.array([get(w, -1) for w in words], np.int64)
-                    rare: dict[bytes, int] = {}
-                    for at in np.flatnonzero(found < 0):
-                        key = word_key(words[at])
-                        found[at] = get(key, -1)  # a digest may be frequent
-                        if found[at] < 0:
-                            rare[key] = rare.get(key, 0) + 1
-                    ids = np.append(model_id[found], SIGN.type(counts.end))
-                    near = found[found >= 0]
-                    foreign = found[(found >= 0) & (ids[:-1] == counts.other)]
-                    others = int((ids == counts.other).sum())
-                    rows.append((int(known[near].sum()) + (counts.end_count > 0), float(log_share[near].sum()) + end, float(log_share[foreign].sum()) - others * counts.log_other, ids.tobytes(), [w.decode() for w in rare], list(rare.values())))
-                types = (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in ("row", "doc_id", "held_out")), *columns], ["row", "doc_id", "held_out", "n_known", "base_score", "beside", "signs", "words", "times"])
+                words, sizes = split_words(part.column("text"))
+                found = pc.index_in(words, value_set=counts.words).fill_null(-1).to_numpy()
+                n = len(sizes)
+                doc = np.repeat(np.arange(n), sizes)
+                add = lambda x: np.bincount(doc, x[found], n)  # noqa: B023, E731
+                cuts = np.append(0, np.cumsum(sizes + 1))
+                signs = np.full(cuts[-1], counts.end, SIGN)
+                signs[np.arange(len(found)) + doc] = model_id[found]
+                rare = found < 0
+                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(doc[rare], minlength=n))), pa.int32()), words.filter(pa.array(rare)))
+                signs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * SIGN.itemsize).astype(np.int32)), pa.py_buffer(signs)])
+                columns = [pa.array(add(known).astype(np.int64) + (counts.end_count > 0)), pa.array(add(share) + end), pa.array(add(beside), pa.float64()), signs, others]
+                yield pa.record_batch([*(part.column(c) for c in ("row", "doc_id", "held_out")), *columns], ["row", "doc_id", "held_out", "n_known", "base_score", "beside", "signs", "words"])
 
     return run
 
@@ -256,9 +286,12 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(flat)
     kept = read.select("row", "doc_id", "held_out", "n_known", "base_score", "beside", "signs")
     scored = materialise(kept.mapInArrow(_score(shared, shape, counts.end), "row long, doc_id long, held_out boolean, n_known long, base_score double, n_tokens long, score double"), "lm-scores")
-    rare = read.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    # both sides are dealt by word into parts whose share of the counts fits a hash table, so neither is sorted
+    parts = blocks_for(words.count(), JOINED, partitions(docs.sparkSession))
+    rare = read.select("row", F.explode("words").alias("word")).repartition(parts, "word")
+    facts = words.where(~frequent).select("word", "c").repartition(parts, "word").hint("shuffle_hash")
     log_share = F.log10((F.col("c") + PSEUDO) / F.lit(counts.denominator))
-    sums = rare.join(words.where(~frequent).select("word", "c"), "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n").cast("long")).otherwise(F.lit(0).cast("long"))).alias("more_known"), F.sum(F.col("n") * log_share).alias("more"))
+    sums = rare.join(facts, "word").groupBy("row").agg(F.count_if(F.col("c") > 0).alias("more_known"), F.sum(log_share).alias("more"))
     plus = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c)
     return scored.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"), plus("base_score", "more"), plus("score", "more"))
 
