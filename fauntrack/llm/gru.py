@@ -157,13 +157,6 @@ def _bound(weights: np.ndarray) -> float:
     return float(np.abs(weights).sum(axis=1).max())
 
 
-def _powers_of_e(logits: np.ndarray, plain: bool) -> np.ndarray:
-    """e to the power of logits, which, unless plain, become less by the maximum of their column."""
-    if not plain:
-        logits -= logits.max(axis=0)
-    return np.exp(logits)
-
-
 def row_sums(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and for each the sum of its rows.
 
@@ -248,7 +241,9 @@ class Gru:
         by_word = np.concatenate([p["to_word"], p["word_bias"][:, None]], axis=1)
         plain = max(_bound(by_class), _bound(by_word)) * max(h.max(initial=1), -h.min(initial=0)) <= PLAIN
         logits = by_class @ h.T
-        e = _powers_of_e(logits, plain)
+        if not plain:
+            logits -= logits.max(axis=0)
+        e = np.exp(logits)
         total = e.sum(axis=0)
         out = logits[k, every]
         dh = None
@@ -260,26 +255,32 @@ class Gru:
             grad["class_bias"] += d[:, w]
             dh = e.T @ by_class[:, :w]
             d_word = np.zeros_like(by_word)
-        inside = np.ones_like(total)
-        cuts, starts = np.searchsorted(k, np.arange(self.shape.classes + 1)).tolist(), self.shape.starts.tolist()
+        inside, own = np.ones_like(total), np.zeros_like(total)
+        cuts = np.searchsorted(k, np.arange(self.shape.classes + 1))
+        # where each target stands in the matrix of its class, words by targets
+        place = (target - self.shape.starts[k]) * np.diff(cuts)[k] + every - cuts[k]
+        cuts, starts = cuts.tolist(), self.shape.starts.tolist()
         for c in range(self.shape.classes):
             i, j, a, b = cuts[c], cuts[c + 1], starts[c], starts[c + 1]
             if i == j or b - a == 1:
                 continue
             x, of = h[i:j], by_word[a:b]
             logits = of @ x.T
-            e = _powers_of_e(logits, plain)
+            if not plain:
+                logits -= logits.max(axis=0)
+            e = np.exp(logits)
             np.add.reduce(e, axis=0, out=inside[i:j])
-            at = (target[i:j] - a, every[: j - i])
-            out[i:j] += logits[at]
+            mine = place[i:j]
+            own[i:j] = logits.ravel()[mine]
             if grad is not None:
                 e /= inside[i:j]
-                e[at] -= 1
+                e.ravel()[mine] -= 1
                 np.matmul(e, x, out=d_word[a:b])
                 dh[i:j] += e.T @ of[:, :w]
         if grad is not None:
             grad["to_word"] += d_word[:, :w]
             grad["word_bias"] += d_word[:, w]
+        out += own
         total *= inside
         out -= np.log(total)
         return out, dh
@@ -328,7 +329,7 @@ class Gru:
         order = np.argsort(k, kind="stable")
         return real[order], k[order], target[order]
 
-    def scores(self, laid: Lanes, documents: int, steps: int = 2 * STEPS) -> np.ndarray:
+    def scores(self, laid: Lanes, documents: int, steps: int = 8 * STEPS) -> np.ndarray:
         """Natural log-likelihood of every document of the lanes."""
         out = np.zeros(documents)
         h = np.zeros((len(laid.sizes), self.shape.width), F32)

@@ -50,7 +50,7 @@ ROUNDS = 4
 #: About so many bytes of text are a training task of one round; tokens that are trained on or scored together.
 TASK_BYTES, SCORED = 4 << 20, 2_000_000
 #: About so many bytes of text are counted at once, or read at once; a part of the join with the counts has about so many words.
-COUNTED, READ, JOINED = 16 << 20, 4 << 20, 1 << 18
+COUNTED, READ, JOINED = 32 << 20, 4 << 20, 1 << 18
 #: Longer words, in characters, are counted under their digest.
 LONGEST = 64
 #: Added to every count.
@@ -89,16 +89,16 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of about COUNTED bytes of text at a time, of training documents and of the others."""
+    """Counts of the words of about COUNTED bytes of text at a time, of training documents and of all."""
 
     def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trains in (True, False):
-            texts = pa.concat_arrays([b.column("text").filter(b.column("t") if trains else pc.invert(b.column("t"))) for b in held])
-            found = split_words(texts)[0].value_counts()
-            n = found.field("counts")
-            for k in range(0, len(found), BATCH_ROWS):
-                part = n.slice(k, BATCH_ROWS)
-                yield pa.record_batch([found.field("values").slice(k, BATCH_ROWS), part if trains else pa.array(np.zeros(len(part), np.int64)), part], ["word", "c", "n"])
+        table = pa.Table.from_batches(held).combine_chunks()
+        words, sizes = split_words(pa.concat_arrays(table.column("text").chunks))
+        words = words.dictionary_encode()
+        at, trains = words.indices.to_numpy(), np.repeat(table.column("t").to_numpy(), sizes)
+        n = len(words.dictionary)
+        both = [pa.array(np.bincount(x, minlength=n)) for x in (at[trains], at)]
+        yield from pa.table([words.dictionary, *both], ["word", "c", "n"]).to_batches(max_chunksize=BATCH_ROWS)
 
     held: list[pa.RecordBatch] = []
     waiting = 0
